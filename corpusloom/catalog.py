@@ -126,8 +126,7 @@ def _saved_vectors(spark, sf_dir) -> str:
     path = shared_path(spark, "vectors")
     docs = corpus(spark, sf_dir)
     run = build_dictionary(docs, SETTINGS)
-    labels = [row["label"] for row in run.categories.orderBy("code").collect()]
-    save_vectors(vectorize_corpus(docs, run.dictionary, SETTINGS), labels, path)
+    save_vectors(vectorize_corpus(docs, run.dictionary, SETTINGS), list(run.totals.labels), path)
     return path
 
 
@@ -237,42 +236,47 @@ def feature_ids(spark, sf_dir):
 
 @query
 def category_tf_matrix(spark, sf_dir):
-    cells = dictionary_run(spark, sf_dir).candidates
-    return cells.select("id", "term", F.posexplode("cells").alias("pos", "cell")).select(
-        "id", "term", (F.col("pos") + 1).alias("code"), "cell.tf"
+    run = dictionary_run(spark, sf_dir)
+    arrays = selection.class_arrays(run.scored, run.totals)
+    return arrays.select("id", "term", F.posexplode_outer("class_tf").alias("pos", "tf")).select(
+        "id", "term", (F.col("pos") + 1).alias("code"), "tf"
     )
 
 
 # --- scores and selection --------------------------------------------------
 
 
+def scored_terms(spark, sf_dir) -> DataFrame:
+    return score_corpus(corpus(spark, sf_dir), SETTINGS)[0]
+
+
 @query
 def class_entropy(spark, sf_dir):
-    return counts.corpus_totals(counts.class_counts(corpus(spark, sf_dir))).select("n", six("entropy"))
+    return counts.class_entropy(counts.class_counts(corpus(spark, sf_dir))).select("n", six("entropy"))
 
 
 @query
 def info_gain(spark, sf_dir):
-    return score_corpus(corpus(spark, sf_dir), SETTINGS).select("term", six("ig"))
+    return scored_terms(spark, sf_dir).select("term", six("ig"))
 
 
 @query
 def chi_square(spark, sf_dir):
-    scored = score_corpus(corpus(spark, sf_dir), SETTINGS)
-    return scored.select("term", F.posexplode_outer("class_chi").alias("pos", "chi")).select(
+    arrays = selection.class_arrays(*score_corpus(corpus(spark, sf_dir), SETTINGS))
+    return arrays.select("term", F.posexplode_outer("class_chi").alias("pos", "chi")).select(
         "term", (F.col("pos") + 1).alias("code"), six("chi")
     )
 
 
 @query
 def chi_dispersion(spark, sf_dir):
-    scored = score_corpus(corpus(spark, sf_dir), SETTINGS)
-    return scored.select("term", six("chi"), F.round(variance(F.col("class_chi")), 4).alias("chi_variance"))
+    arrays = selection.class_arrays(*score_corpus(corpus(spark, sf_dir), SETTINGS))
+    return arrays.select("term", six("chi"), F.round(variance(F.col("class_chi")), 4).alias("chi_variance"))
 
 
 @query
 def term_score(spark, sf_dir):
-    return score_corpus(corpus(spark, sf_dir), SETTINGS).select("term", "df", six("ig"), six("chi"), six("score"))
+    return scored_terms(spark, sf_dir).select("term", "df", six("ig"), six("chi"), six("score"))
 
 
 @query

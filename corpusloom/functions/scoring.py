@@ -9,52 +9,51 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.arrays import deviation, total
+from corpusloom.functions.arrays import deviation, let, total
 
 
-def share(count: Column, n: Column) -> Column:
-    """count / n, 0 for an empty corpus."""
-    return F.coalesce(F.try_divide(count.cast("double"), n.cast("double")), F.lit(0.0))
-
-
-def plogp(p: Column) -> Column:
-    """p * log2(p), 0 at p = 0."""
-    return F.when(p == 0, F.lit(0.0)).otherwise(p * F.log2(p))
-
-
-def class_entropy(class_docs: Column, n: Column) -> Column:
-    """Negative class entropy from an array of documents per class."""
-    return total(F.transform(class_docs, lambda n_c: plogp(share(n_c, n))))
+def plogp(count: Column, n: Column) -> Column:
+    """p * log2(p) of p = count / n, 0 at p = 0."""
+    p = count / n
+    return F.when(count == 0, F.lit(0.0)).otherwise(p * F.log2(p))
 
 
 def information_gain(cells: Column, df: Column, n: Column, entropy: Column) -> Column:
-    """Gain over ``cells`` (array of structs with ``a`` and ``n_docs``).
+    """Gain over ``cells``, an array of structs with ``a`` and ``n_docs``.
 
     The inner terms use the joint share a/n rather than a/df, which is the
     definition dictionaries of this kind are built with.
     """
-    with_term = total(F.transform(cells, lambda c: plogp(share(c["a"], n))))
-    without = total(F.transform(cells, lambda c: plogp(share(c["n_docs"] - c["a"], n))))
-    return -entropy + share(df, n) * with_term + share(n - df, n) * without
+    with_term = total(F.transform(cells, lambda c: plogp(c["a"], n)))
+    without = total(F.transform(cells, lambda c: plogp(c["n_docs"] - c["a"], n)))
+    return -entropy + df / n * with_term + (n - df) / n * without
 
 
-def chi_square(a: Column, n_c: Column, df: Column, n: Column) -> Column:
-    """One-class-against-the-rest chi-square; 0 unless both parts are positive.
+def class_pull(n_c: int, n: int) -> float:
+    """The part of chi-square that depends on the class alone: n / (n_c * (n - n_c))."""
+    rest = float(n_c) * float(n - n_c)
+    return n / rest if rest > 0 else 0.0
 
-    Everything is double: the products pass the range of a long on large corpora.
+
+def chi_squares(cells: Column, df: Column, n: Column) -> Column:
+    """One-class-against-the-rest chi-square of a term per cell, in class order.
+
+    The cross difference of the 2x2 table is a * n - df * n_c, and the margins
+    split into a class part (``pull``, see :func:`class_pull`) and a term part.
+    A value is 0 where a margin is empty. Everything is double: the products
+    pass the range of a long on large corpora.
     """
-    a, n_c, df, n = (x.cast("double") for x in (a, n_c, df, n))
-    b, c = df - a, n_c - a
-    d = n - n_c - b
-    diff = a * d - c * b
-    top = n * diff * diff
-    bottom = df * n_c * (n - n_c) * (n - df)
-    return F.when((top > 0.0) & (bottom > 0.0), top / bottom).otherwise(F.lit(0.0))
+    margins = df * (n - df)
+    term_pull = F.when(margins > 0, 1.0 / margins).otherwise(F.lit(0.0))
 
+    def value(c: Column, of_term: Column) -> Column:
+        difference = c["a"] * n - of_term["df"] * c["n_docs"]
+        return difference * difference * c["pull"] * of_term["pull"]
 
-def chi_squares(cells: Column, df: Column, n: Column) -> Column:
-    """Chi-square of a term against every class, in class order."""
-    return F.transform(cells, lambda c: chi_square(c["a"], c["n_docs"], df, n))
+    return let(
+        F.struct(df.alias("df"), term_pull.alias("pull")),
+        lambda of_term: F.transform(cells, lambda c: value(c, of_term)),
+    )
 
 
 def chi_dispersion(chis: Column) -> Column:

@@ -37,7 +37,7 @@ def fit_classifier(vectors: DataFrame, labels: Sequence[str], settings: Settings
     gamma = resolve_gamma(vectors, settings.gamma)
     kernel = RandomFourierFeatures(dims=settings.fourier_dims, gamma=gamma, seed=settings.seed)
     coded = vectors.withColumn("class", (label_code(labels) - 1).cast("double"))
-    ready = materialize(kernel.transform(coded).select("class", "kernel"))
+    ready = materialize(kernel.transform(coded).select("class", "kernel"), "kernel")
     svm = LinearSVC(
         regParam=1.0 / (settings.cost * max(1, ready.count())),
         maxIter=settings.max_iterations,

@@ -8,12 +8,14 @@ one row per task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.scoring import class_entropy
+from corpusloom.functions.scoring import class_pull, plogp
 from corpusloom.functions.text import term_bag, tokens
 from corpusloom.session import spread
 from corpusloom.sources.categories import categories_from_names
@@ -56,20 +58,59 @@ def class_counts(docs: DataFrame, categories: Sequence[str] | None = None) -> Da
     )
 
 
-def corpus_totals(classes: DataFrame) -> DataFrame:
-    """One row: ``n``, negative class ``entropy``, ``classes`` in code order."""
-    one = classes.agg(
-        F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n"),
-        F.sort_array(F.collect_list(F.struct("code", "label", "n_docs"))).alias("classes"),
-    )
-    return one.select(
-        "n", class_entropy(F.transform("classes", lambda c: c["n_docs"]), F.col("n")).alias("entropy"), "classes"
-    )
+def class_entropy(classes: DataFrame) -> DataFrame:
+    """One row ``(n, entropy)``: corpus size and negative class entropy."""
+    totals = CorpusTotals.of(classes)
+    terms = plogp(F.col("n_docs"), F.lit(float(totals.n)))
+    return classes.agg(F.sum("n_docs").alias("n"), F.sum(terms).alias("entropy"))
+
+
+@dataclass(frozen=True)
+class CorpusTotals:
+    """Documents per category, in code order: one number per category."""
+
+    labels: tuple[str, ...]
+    n_docs: tuple[int, ...]
 
+    @classmethod
+    def of(cls, classes: DataFrame) -> "CorpusTotals":
+        rows = classes.orderBy("code").collect()  # one row per category
+        return cls(tuple(r["label"] for r in rows), tuple(r["n_docs"] for r in rows))
+
+    @property
+    def n(self) -> int:
+        return sum(self.n_docs)
+
+    @property
+    def entropy(self) -> float:
+        return sum(c / self.n * math.log2(c / self.n) for c in self.n_docs if c)
+
+    def _per_class(self, of_class: Callable[[Column], Column]) -> Column:
+        classes = F.array(
+            *[
+                F.struct(
+                    F.lit(label).alias("label"),
+                    F.lit(float(n_c)).alias("n_docs"),
+                    F.lit(class_pull(n_c, self.n)).alias("pull"),
+                )
+                for label, n_c in zip(self.labels, self.n_docs)
+            ]
+        )
+        return F.transform(classes, of_class)
+
+    def cells(self, by_label: Column) -> Column:
+        """Per category a struct of doubles ``a, n_docs, pull``; a = 0 where ``by_label`` has no entry."""
+        return self._per_class(
+            lambda c: F.struct(
+                F.coalesce(F.try_element_at(by_label, c["label"])["a"].cast("double"), F.lit(0.0)).alias("a"),
+                c["n_docs"].alias("n_docs"),
+                c["pull"].alias("pull"),
+            )
+        )
 
-def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
-    """Attach the totals row as a struct column, through a scalar subquery."""
-    return df.withColumn("totals", totals.select(F.struct("n", "entropy", "classes")).scalar())
+    def class_tf(self, by_label: Column) -> Column:
+        """Term frequency per category, 0 where ``by_label`` has no entry."""
+        return self._per_class(lambda c: F.coalesce(F.try_element_at(by_label, c["label"])["tf"], F.lit(0)))
 
 
 def label_term_counts(bags: DataFrame) -> DataFrame:
@@ -104,28 +145,6 @@ def term_profiles(label_terms: DataFrame) -> DataFrame:
     )
 
 
-def with_cells(profiles: DataFrame, totals: DataFrame) -> DataFrame:
-    """Add ``cells``, ``n`` and ``entropy``; ``by_label`` goes.
-
-    ``cells`` has one struct per category in code order: ``label``, ``n_docs``,
-    ``a`` and ``tf``, with zeros where the class never holds the term.
-    """
-
-    def cell(c):
-        hit = F.try_element_at(F.col("by_label"), c["label"])
-        return F.struct(
-            c["label"].alias("label"),
-            c["n_docs"].alias("n_docs"),
-            F.coalesce(hit["a"], F.lit(0)).alias("a"),
-            F.coalesce(hit["tf"], F.lit(0)).alias("tf"),
-        )
-
-    kept = [c for c in profiles.columns if c != "by_label"]
-    return with_totals(profiles, totals).select(
-        *kept, F.transform("totals.classes", cell).alias("cells"), "totals.n", "totals.entropy"
-    )
-
-
 def candidates(terms: DataFrame) -> DataFrame:
     """Terms that may enter a dictionary: longer than one character, in two documents."""
     return terms.where((F.length("term") > 1) & (F.col("df") > 1))

@@ -8,7 +8,7 @@ is summed up centrally.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,18 +19,23 @@ from corpusloom.session import materialize
 ROW_BITS = 33
 
 
-def global_index(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+def global_index(
+    df: DataFrame,
+    keys: Sequence[str],
+    name: str,
+    finish: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
     """Add ``name`` = 1.. in the order of ``keys``, which must be unique together.
 
     The sorted rows go to the shared folder once, so that sizes and rows come
-    from the same evaluation even if executors are lost.
+    from the same evaluation even if executors are lost. ``finish`` may add
+    columns row by row on the way there, after the shuffle and its sampling.
     """
-    stamped = materialize(
-        df.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_stamp", F.monotonically_increasing_id())
-    ).select(
-        *df.columns,
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    stamped = materialize(finish(ordered.withColumn("_stamp", F.monotonically_increasing_id())), name)
+    columns = [c for c in stamped.columns if c != "_stamp"]
+    stamped = stamped.select(
+        *columns,
         F.shiftright("_stamp", ROW_BITS).cast("int").alias("_part"),
         F.col("_stamp").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("_row"),
     )
@@ -42,7 +47,7 @@ def global_index(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
         .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
     return stamped.join(F.broadcast(offsets), "_part").select(
-        *df.columns, (F.col("_offset") + F.col("_row") + 1).alias(name)
+        *columns, (F.col("_offset") + F.col("_row") + 1).alias(name)
     )
 
 
@@ -51,10 +56,10 @@ def group_rank(df: DataFrame, group: str, keys: Sequence[str], name: str) -> Dat
 
     ``group`` is a class label: the broadcast side has one row per class.
     """
-    placed = global_index(df.where(F.col(group).isNotNull()), [group, *keys], "_place")
-    firsts = placed.groupBy(group).agg(F.min("_place").alias("_first"))
+    placed = global_index(df.where(F.col(group).isNotNull()), [group, *keys], "place")
+    firsts = placed.groupBy(group).agg(F.min("place").alias("_first"))
     return placed.join(F.broadcast(firsts), group).select(
-        *df.columns, (F.col("_place") - F.col("_first") + 1).alias(name)
+        *df.columns, (F.col("place") - F.col("_first") + 1).alias(name)
     )
 
 

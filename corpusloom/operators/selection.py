@@ -2,40 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import let
 from corpusloom.functions.scoring import chi_dispersion, chi_squares, information_gain
+from corpusloom.operators.counts import CorpusTotals
 from corpusloom.operators.indexing import global_index
 
 
-def feature_ids(terms: DataFrame) -> DataFrame:
-    """Add ``id`` = 1.. in term order, before any pruning, so ids keep gaps later."""
-    return global_index(terms, ["term"], "id")
+def feature_ids(terms: DataFrame, finish: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Add ``id`` = 1.. in term order, before any pruning, so ids keep gaps later.
+
+    ``finish`` may add scores while the numbered terms are written.
+    """
+    return global_index(terms, ["term"], "id", finish)
 
 
-def score_terms(profiles: DataFrame) -> DataFrame:
-    """Add ``ig``, ``chi``, ``score`` = ig * chi, and the class arrays.
+def score_terms(profiles: DataFrame, totals: CorpusTotals) -> DataFrame:
+    """Add ``ig``, ``chi`` and ``score`` = ig * chi to one row per term.
 
-    A projection over one row per term: counting documents per term and class
-    once replaces a pass over the corpus for every term.
+    Counting documents per term and class once replaces a pass over the corpus
+    for every term: all scores are a projection over those counts.
     """
-    ig = information_gain(F.col("cells"), F.col("df"), F.col("n"), F.col("entropy"))
-    scored = let(
-        chi_squares(F.col("cells"), F.col("df"), F.col("n")),
-        lambda chis: F.struct(chis.alias("class_chi"), chi_dispersion(chis).alias("chi")),
+    n, entropy = F.lit(float(totals.n)), F.lit(totals.entropy)
+    df = F.col("df").cast("double")
+    both = let(
+        totals.cells(F.col("by_label")),
+        lambda cells: F.struct(
+            information_gain(cells, df, n, entropy).alias("ig"),
+            chi_dispersion(chi_squares(cells, df, n)).alias("chi"),
+        ),
     )
-    kept = [c for c in profiles.columns if c not in ("cells", "n", "entropy")]
-    return profiles.select(
-        *kept, ig.alias("ig"), scored.alias("_chi"), F.transform("cells", lambda c: c["tf"]).alias("class_tf")
-    ).select(
-        *kept,
-        "ig",
-        F.col("_chi.chi").alias("chi"),
-        (F.col("ig") * F.col("_chi.chi")).alias("score"),
-        "class_tf",
-        F.col("_chi.class_chi").alias("class_chi"),
+    scored = profiles.withColumn("_both", both)
+    return scored.select(
+        *profiles.columns,
+        F.col("_both.ig").alias("ig"),
+        F.col("_both.chi").alias("chi"),
+        (F.col("_both.ig") * F.col("_both.chi")).alias("score"),
+    )
+
+
+def class_arrays(scored: DataFrame, totals: CorpusTotals) -> DataFrame:
+    """``class_tf`` and ``class_chi`` in code order instead of ``by_label``."""
+    cells = totals.cells(F.col("by_label"))
+    return scored.select(
+        *[c for c in scored.columns if c != "by_label"],
+        totals.class_tf(F.col("by_label")).alias("class_tf"),
+        chi_squares(cells, F.col("df").cast("double"), F.lit(float(totals.n))).alias("class_chi"),
     )
 
 

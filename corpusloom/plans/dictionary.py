@@ -14,51 +14,50 @@ from corpusloom.sources.dictionary import write_dictionary, write_dictionary_tex
 
 @dataclass(frozen=True)
 class DictionaryRun:
-    """The pieces of a dictionary run; all lazy but the id assignment."""
+    """The pieces of a dictionary run. ``scored`` is a written table."""
 
-    categories: DataFrame
-    totals: DataFrame
-    candidates: DataFrame
+    totals: counts.CorpusTotals
     scored: DataFrame
     dictionary: DataFrame
-    meta: DataFrame
+
+    @property
+    def meta(self) -> DataFrame:
+        """``(n, max_id)``; ids are dense before pruning."""
+        max_id = F.coalesce(F.max("id"), F.lit(0)).cast("long")
+        return self.scored.agg(F.lit(self.totals.n).cast("long").alias("n"), max_id.alias("max_id"))
+
+    def with_class_arrays(self) -> DataFrame:
+        return selection.class_arrays(self.dictionary, self.totals)
 
     def save(self, path: str) -> None:
-        write_dictionary(self.dictionary, self.meta, path)
+        write_dictionary(self.with_class_arrays(), self.meta, path)
 
     def save_text(self, path: str) -> None:
-        write_dictionary_text(self.dictionary, self.meta, path)
+        write_dictionary_text(self.with_class_arrays(), self.meta, path)
+
+
+def candidate_profiles(docs: DataFrame, settings: Settings) -> tuple[DataFrame, counts.CorpusTotals]:
+    """``(term, df, by_label)`` of all candidate terms, and the class totals.
+
+    The texts are read once; the totals come from a scan of the label column.
+    """
+    totals = counts.CorpusTotals.of(counts.class_counts(docs, settings.category_names))
+    profiles = counts.term_profiles(counts.label_term_counts(counts.term_bags(docs)))
+    return counts.candidates(profiles), totals
+
+
+def score_corpus(docs: DataFrame, settings: Settings) -> tuple[DataFrame, counts.CorpusTotals]:
+    """Scores of all candidate terms without ids: nothing is sorted or written."""
+    profiles, totals = candidate_profiles(docs, settings)
+    return selection.score_terms(profiles, totals), totals
 
 
 def build_dictionary(docs: DataFrame, settings: Settings) -> DictionaryRun:
     """Score the terms of a corpus against its categories and keep the telling ones.
 
-    The texts are read once; class totals come from a scan of the label column.
-    The id assignment writes one row per candidate term to the shared folder,
-    and scoring and pruning are a projection over those rows.
+    The id assignment writes one scored row per candidate term to the shared
+    folder; pruning is a filter on that table.
     """
-    names = settings.category_names
-    classes = counts.class_counts(docs, names)
-    totals = counts.corpus_totals(classes)
-    profiles = counts.term_profiles(counts.label_term_counts(counts.term_bags(docs)))
-    with_ids = selection.feature_ids(counts.candidates(profiles))
-    cells = counts.with_cells(with_ids, totals)
-    scored = selection.score_terms(cells)
-    meta = totals.select(
-        "n", F.coalesce(with_ids.agg(F.max("id").alias("id")).scalar(), F.lit(0)).alias("max_id")
-    )
-    return DictionaryRun(
-        categories=classes.select("code", "label"),
-        totals=totals,
-        candidates=cells,
-        scored=scored,
-        dictionary=selection.select_terms(scored, settings.score_threshold),
-        meta=meta,
-    )
-
-
-def score_corpus(docs: DataFrame, settings: Settings) -> DataFrame:
-    """Scores of all candidate terms without feature ids: no sort, no write."""
-    totals = counts.corpus_totals(counts.class_counts(docs, settings.category_names))
-    profiles = counts.term_profiles(counts.label_term_counts(counts.term_bags(docs)))
-    return selection.score_terms(counts.with_cells(counts.candidates(profiles), totals))
+    profiles, totals = candidate_profiles(docs, settings)
+    scored = selection.feature_ids(profiles, lambda rows: selection.score_terms(rows, totals))
+    return DictionaryRun(totals, scored, selection.select_terms(scored, settings.score_threshold))

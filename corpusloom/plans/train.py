@@ -54,24 +54,18 @@ class TrainingRun:
     vectors: DataFrame
 
 
-def category_names(run_categories: DataFrame) -> list[str]:
-    """The categories in code order (one row each)."""
-    return [row["label"] for row in run_categories.orderBy("code").collect()]
-
-
 def prepare(docs: DataFrame, settings: Settings, scale: str = "minmax") -> tuple[DataFrame, DataFrame, list[str]]:
     """Dictionary and written-out vectors of a corpus, with its category names."""
     run = build_dictionary(docs, settings)
-    labels = settings.category_names or category_names(run.categories)
-    vectors = materialize(vectorize_corpus(docs, run.dictionary, settings, scale))
-    return run.dictionary, vectors, labels
+    vectors = materialize(vectorize_corpus(docs, run.dictionary, settings, scale), "vectors")
+    return run.dictionary, vectors, list(run.totals.labels)
 
 
 def train_classifier(docs: DataFrame, settings: Settings, scale: str = "minmax") -> TrainingRun:
     """Dictionary, vectors and model of a corpus.
 
     ``scale`` serves both sides, so that labelling sees weights as training did;
-    ``serve_scale`` of :func:`with_serving_scale` restores the historic mix.
+    :func:`with_serving_scale` restores the historic mix.
     """
     dictionary, vectors, labels = prepare(docs, settings, scale)
     model = classifier.fit_classifier(vectors.where("split = 'train'"), labels, settings)

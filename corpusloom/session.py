@@ -48,10 +48,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Evaluate ``df`` once into the shared folder and cut its lineage there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Evaluate ``df`` once into a table in the shared folder and go on from there.
+
+    The table survives lost executors, is pruned by column when read, and gives
+    the optimizer its size.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
