@@ -40,9 +40,8 @@ def read_corpus_directory(
     With ``categories`` only their folders are listed; empty ones are legal.
     """
     folders = "{" + ",".join(categories) + "}" if categories else "*"
-    reader = spark.read.option("wholetext", True)
     try:
-        files = reader.text(f"{root.rstrip('/')}/{folders}/*")
+        files = spark.read.text(f"{root.rstrip('/')}/{folders}/*", wholetext=True)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
