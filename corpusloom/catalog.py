@@ -325,32 +325,32 @@ def _packed(vectors: DataFrame, *keys: str) -> DataFrame:
 def doc_term_weight(spark, sf_dir):
     terms = counts.term_freq(bags(spark, sf_dir))
     dictionary = dictionary_run(spark, sf_dir).dictionary
-    return weights.weigh_terms(terms, dictionary, SETTINGS.max_broadcast_terms).select(
+    return weights.weigh_terms(terms, dictionary, SETTINGS.max_broadcast_bytes).select(
         "doc_id", "term", "id", "tf", six("w")
     )
 
 
-def _entries(spark, sf_dir, scale: str, max_broadcast_terms: int) -> DataFrame:
+def _entries(spark, sf_dir, scale: str, max_broadcast_bytes: int) -> DataFrame:
     vectors = weights.document_vectors(
-        bags(spark, sf_dir), dictionary_run(spark, sf_dir).dictionary, scale, max_broadcast_terms=max_broadcast_terms
+        bags(spark, sf_dir), dictionary_run(spark, sf_dir).dictionary, scale, max_broadcast_bytes=max_broadcast_bytes
     )
     return weights.vector_entries(vectors).select("doc_id", "id", six("w"))
 
 
 @query
 def weights_minmax(spark, sf_dir):
-    return _entries(spark, sf_dir, "minmax", SETTINGS.max_broadcast_terms)
+    return _entries(spark, sf_dir, "minmax", SETTINGS.max_broadcast_bytes)
 
 
 @query
 def weights_max(spark, sf_dir):
-    return _entries(spark, sf_dir, "max", SETTINGS.max_broadcast_terms)
+    return _entries(spark, sf_dir, "max", SETTINGS.max_broadcast_bytes)
 
 
 @query
 def weights_minmax_shuffled(spark, sf_dir):
     """The lookup for a dictionary too large to broadcast, hot terms salted."""
-    return _entries(spark, sf_dir, "minmax", 1000)
+    return _entries(spark, sf_dir, "minmax", 20_000)
 
 
 @query
@@ -371,7 +371,7 @@ def page_vectors(spark, sf_dir):
     """Serving vectors of all pages, empty ones included."""
     dictionary = dictionary_run(spark, sf_dir).dictionary
     pages = page_scan(spark, sf_dir)
-    vectors = vectors_of_pages(pages, dictionary, "max", SETTINGS.max_broadcast_terms)
+    vectors = vectors_of_pages(pages, dictionary, "max", SETTINGS.max_broadcast_bytes)
     return _packed(vectors.withColumnRenamed("doc_id", "page_id"), "page_id", "url")
 
 

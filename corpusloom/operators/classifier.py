@@ -49,7 +49,7 @@ def fit_classifier(vectors: DataFrame, labels: Sequence[str], settings: Settings
         featuresCol="kernel",
         labelCol="class",
         predictionCol="class_prediction",
-        parallelism=min(8, len(labels)),
+        parallelism=settings.fit_parallelism,
     )
     return PipelineModel([kernel, one_vs_rest.fit(ready)])
 

@@ -2,49 +2,64 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import let
 from corpusloom.functions.scoring import term_weight
+from corpusloom.session import materialize
+from corpusloom.settings import MAX_BROADCAST_BYTES
 
 # The smallest positive double, where the training maximum starts.
 SMALLEST_DOUBLE = 4.9e-324
 
 
-def lookup_terms(terms: DataFrame, dictionary: DataFrame, max_broadcast_terms: int) -> DataFrame:
+# What a broadcast row holds besides its term.
+ROW_BYTES = 32
+
+
+def lookup_terms(terms: DataFrame, dictionary: DataFrame, max_broadcast_bytes: int) -> DataFrame:
     """Add ``id`` and ``score``; terms outside the dictionary keep nulls there.
 
-    The dictionary is broadcast only if its rows are counted as few enough.
-    Beyond that both sides are shuffled on the term. The dictionary knows how
-    often each term occurs, so terms that would fill a task are spread over
-    several salts: their dictionary rows are repeated and every document picks
-    one salt. At most ``max_broadcast_terms`` terms can be that frequent.
+    The dictionary is broadcast only if its measured size allows it; beyond
+    that both sides are shuffled on the term, frequent terms spread by salt.
     """
     entries = dictionary.select("term", "id", "score")
-    size = dictionary.agg(F.count(F.lit(1)).alias("rows"), F.sum("df").alias("uses")).first()
-    if size["rows"] <= max_broadcast_terms:
+    size = entries.agg(F.sum(F.octet_length("term") + ROW_BYTES)).first()[0] or 0
+    if size <= max_broadcast_bytes:
         return terms.join(F.broadcast(entries), "term", "left")
-    return _salted_lookup(terms, dictionary, max(1, size["uses"] // max(1, max_broadcast_terms)))
+    return _salted_lookup(terms, entries, max_broadcast_bytes)
 
 
-def _salted_lookup(terms: DataFrame, dictionary: DataFrame, hot_uses: int) -> DataFrame:
-    # A term with more than hot_uses uses is hot; sum(df) / hot_uses bounds their number.
-    salts = F.floor(F.col("df") / F.lit(hot_uses)).cast("int") + 1
-    entries = dictionary.select("term", "id", "score", salts.alias("_salts"))
-    hot = entries.where("_salts > 1").select("term", "_salts")
-    spread = entries.select(
-        "term", "id", "score", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")
+def _salted_lookup(terms: DataFrame, entries: DataFrame, max_broadcast_bytes: int) -> DataFrame:
+    """Shuffled lookup in which no term fills a task, known or not.
+
+    A term in more than ``hot`` documents gets several salts: its dictionary
+    row is repeated for each and every document picks one. ``hot`` is chosen
+    from the summed size of all rows, so that the hot terms together stay
+    within ``max_broadcast_bytes``.
+    """
+    uses = materialize(terms.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("n")), "uses")
+    size = uses.agg(F.sum(F.col("n") * (F.octet_length("term") + ROW_BYTES))).first()[0] or 0
+    hot = max(1, math.ceil(size / max(1, max_broadcast_bytes)))
+    salts = F.broadcast(
+        uses.where(F.col("n") > hot).select("term", (F.floor(F.col("n") / hot) + 1).cast("int").alias("_salts"))
     )
-    salted = terms.join(F.broadcast(hot), "term", "left").withColumn(
-        "_salt", F.pmod(F.hash("doc_id"), F.coalesce("_salts", F.lit(1)))
+    many = F.coalesce("_salts", F.lit(1))
+    repeated = entries.join(salts, "term", "left").select(
+        "term", "id", "score", F.explode(F.sequence(F.lit(0), many - 1)).alias("_salt")
     )
-    return salted.join(spread.hint("merge"), ["term", "_salt"], "left").drop("_salts", "_salt")
+    # Documents without a term match nothing and may go anywhere.
+    pick = F.when(F.col("term").isNull(), F.hash("doc_id")).otherwise(F.pmod(F.hash("doc_id"), many))
+    salted = terms.join(salts, "term", "left").withColumn("_salt", pick)
+    return salted.join(repeated.hint("merge"), ["term", "_salt"], "left").drop("_salts", "_salt")
 
 
-def weigh_terms(terms: DataFrame, dictionary: DataFrame, max_broadcast_terms: int) -> DataFrame:
+def weigh_terms(terms: DataFrame, dictionary: DataFrame, max_broadcast_bytes: int) -> DataFrame:
     """``(doc_id, label, term, id, tf, w)`` for the terms of the dictionary."""
-    found = lookup_terms(terms, dictionary, max_broadcast_terms).where("id IS NOT NULL")
+    found = lookup_terms(terms, dictionary, max_broadcast_bytes).where("id IS NOT NULL")
     return found.select(
         "doc_id", "label", "term", "id", "tf", term_weight(F.col("tf"), F.col("score")).alias("w")
     )
@@ -85,7 +100,7 @@ def document_vectors(
     dictionary: DataFrame,
     scale: str = "minmax",
     keep_empty: bool = False,
-    max_broadcast_terms: int = 500_000,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """``(<keys>, features)``: sparse vectors in id order.
 
@@ -98,7 +113,7 @@ def document_vectors(
     terms = bags.select(*keys, F.inline_outer("bag"))
     if not keep_empty:
         terms = terms.where("term IS NOT NULL")
-    found = lookup_terms(terms, dictionary, max_broadcast_terms)
+    found = lookup_terms(terms, dictionary, max_broadcast_bytes)
     if not keep_empty:
         found = found.where("id IS NOT NULL")
     pair = F.struct("id", term_weight(F.col("tf"), F.col("score")).alias("w"))

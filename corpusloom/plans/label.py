@@ -9,6 +9,7 @@ from corpusloom.functions.text import html_to_text, term_bag, url_with_scheme
 from corpusloom.operators import classifier, one_class, weights
 from corpusloom.plans.train import TextClassifier
 from corpusloom.session import spread
+from corpusloom.settings import MAX_BROADCAST_BYTES
 
 
 def page_bags(pages: DataFrame) -> DataFrame:
@@ -20,17 +21,17 @@ def page_bags(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_vectors(pages: DataFrame, dictionary: DataFrame, scale: str, max_broadcast_terms: int) -> DataFrame:
+def page_vectors(pages: DataFrame, dictionary: DataFrame, scale: str, max_broadcast_bytes: int) -> DataFrame:
     """``(doc_id, url, features)``; a page without known terms keeps an empty vector."""
     return weights.document_vectors(
-        page_bags(pages), dictionary, scale, keep_empty=True, max_broadcast_terms=max_broadcast_terms
+        page_bags(pages), dictionary, scale, keep_empty=True, max_broadcast_bytes=max_broadcast_bytes
     )
 
 
 def label_pages(pages: DataFrame, text_classifier: TextClassifier) -> DataFrame:
     """``(page_id, url, prediction)``, one row for every page."""
     vectors = page_vectors(
-        pages, text_classifier.dictionary, text_classifier.scale, text_classifier.max_broadcast_terms
+        pages, text_classifier.dictionary, text_classifier.scale, text_classifier.max_broadcast_bytes
     )
     return classifier.predict_labels(vectors, text_classifier.model, text_classifier.labels).withColumnRenamed(
         "doc_id", "page_id"
@@ -42,9 +43,9 @@ def multi_label_pages(
     dictionary: DataFrame,
     models: one_class.OneClassModels,
     scale: str = "minmax",
-    max_broadcast_terms: int = 500_000,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """``(page_id, url, labels)``: every category that accepts the page, or ``unknown``."""
-    vectors = page_vectors(pages, dictionary, scale, max_broadcast_terms)
+    vectors = page_vectors(pages, dictionary, scale, max_broadcast_bytes)
     accepted = one_class.accepted_labels(vectors, models)
     return one_class.multi_labels(accepted).withColumnRenamed("doc_id", "page_id")

@@ -12,7 +12,7 @@ from corpusloom.operators import classifier, evaluation, one_class
 from corpusloom.plans.dictionary import build_dictionary
 from corpusloom.plans.vectorize import vectorize_corpus
 from corpusloom.session import materialize
-from corpusloom.settings import Settings
+from corpusloom.settings import MAX_BROADCAST_BYTES, Settings
 from corpusloom.sources.categories import categories_from_names
 from corpusloom.sources.results import append_report
 
@@ -25,14 +25,15 @@ class TextClassifier:
     labels: tuple[str, ...]
     model: PipelineModel
     scale: str = "minmax"
-    max_broadcast_terms: int = 500_000
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES
 
     def save(self, path: str) -> None:
         spark = self.dictionary.sparkSession
         self.dictionary.write.mode("overwrite").parquet(f"{path}/dictionary")
         categories_from_names(spark, self.labels).write.mode("overwrite").parquet(f"{path}/labels")
-        spark.createDataFrame([(self.scale, self.max_broadcast_terms)], "scale string, max_broadcast_terms int") \
-            .write.mode("overwrite").parquet(f"{path}/options")
+        options = [(self.scale, self.max_broadcast_bytes)]
+        options = spark.createDataFrame(options, "scale string, max_broadcast_bytes long")
+        options.write.mode("overwrite").parquet(f"{path}/options")
         self.model.write().overwrite().save(f"{path}/model")
 
     @classmethod
@@ -44,7 +45,7 @@ class TextClassifier:
             tuple(row["label"] for row in labels),
             PipelineModel.load(f"{path}/model"),
             options["scale"],
-            options["max_broadcast_terms"],
+            options["max_broadcast_bytes"],
         )
 
 
@@ -70,7 +71,7 @@ def train_classifier(docs: DataFrame, settings: Settings, scale: str = "minmax")
     dictionary, vectors, labels = prepare(docs, settings, scale)
     model = classifier.fit_classifier(vectors.where("split = 'train'"), labels, settings)
     return TrainingRun(
-        TextClassifier(dictionary, tuple(labels), model, scale, settings.max_broadcast_terms), vectors
+        TextClassifier(dictionary, tuple(labels), model, scale, settings.max_broadcast_bytes), vectors
     )
 
 

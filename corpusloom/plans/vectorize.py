@@ -20,7 +20,7 @@ def vectorize_corpus(
     """
     points = split.split_points(docs, settings.train_fraction)
     vectors = weights.document_vectors(
-        counts.term_bags(docs), dictionary, scale, max_broadcast_terms=settings.max_broadcast_terms
+        counts.term_bags(docs), dictionary, scale, max_broadcast_bytes=settings.max_broadcast_bytes
     )
     return split.assign_split(vectors, points).select("doc_id", "label", "split", "features")
 

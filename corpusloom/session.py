@@ -60,11 +60,11 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash a scan that has fewer splits than the session has cores.
+    """Hash a scan that would leave half of the session's cores idle or more.
 
-    Large inputs already arrive in more splits than cores and pass untouched.
+    Large inputs already arrive in enough splits and pass untouched.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    if df.isStreaming or 2 * df.rdd.getNumPartitions() > cores:
         return df
     return df.repartition(cores, key)

@@ -42,6 +42,8 @@ SHIPPED_CATEGORIES: tuple[tuple[str, float], ...] = (
     ("pet", 1.0),
 )
 
+MAX_BROADCAST_BYTES = 64 << 20
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -64,8 +66,10 @@ class Settings:
     seed: int = 42
     max_iterations: int = 50
     tolerance: float = 1e-3
-    # Above this many dictionary rows the lookup shuffles instead of broadcasting.
-    max_broadcast_terms: int = 500_000
+    # Binary models fitted side by side; each keeps its own copy of the kernel rows cached.
+    fit_parallelism: int = 4
+    # A larger dictionary is shuffled to its documents instead of broadcast.
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES
 
     @property
     def category_names(self) -> list[str] | None:

@@ -41,20 +41,29 @@ def test_serving_scale_keeps_empty_documents(make_docs, dictionary):
     assert got[1] == [] and got[2] == []
 
 
-@pytest.mark.parametrize("limit", [0, 1, 2])
+@pytest.mark.parametrize("limit", [0, 60, 100])
 @pytest.mark.parametrize("keep_empty", [False, True])
 def test_shuffled_lookup_equals_broadcast(make_docs, dictionary, limit, keep_empty):
     wide = vectors(make_docs, dictionary, keep_empty=keep_empty)
-    assert vectors(make_docs, dictionary, keep_empty=keep_empty, max_broadcast_terms=limit) == wide
-
-
-def test_shuffled_lookup_salts_hot_terms(make_docs, dictionary):
-    terms = counts.term_freq(counts.term_bags(make_docs([("a", "cat")] * 200 + [("b", "bee ant")])))
-    looked_up = weights.lookup_terms(terms, dictionary, 2)
-    plan = looked_up._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in plan
-    assert looked_up.count() == 202
-    assert looked_up.where("id IS NULL").count() == 0
+    assert vectors(make_docs, dictionary, keep_empty=keep_empty, max_broadcast_bytes=limit) == wide
+
+
+def test_shuffled_lookup_spreads_hot_terms(spark, make_docs, dictionary):
+    """A third of the documents hold one word the dictionary lacks, another third one it has."""
+    docs = make_docs([("a", "zzz")] * 200 + [("a", "cat")] * 200 + [("b", f"bee ant u{i}") for i in range(200)])
+    terms = counts.term_freq(counts.term_bags(docs))
+    entries = dictionary.select("term", "id", "score")
+    # AQE would join these few rows in one task.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        looked_up = weights._salted_lookup(terms, entries, 1000).withColumn("p", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(looked_up) == 1000
+    assert (looked_up.term == "zzz").sum() == 200
+    assert looked_up.id.notna().sum() == 600
+    tasks = looked_up.groupby("term").p.nunique()
+    assert tasks["zzz"] > 1 and tasks["cat"] > 1 and tasks["u1"] == 1
 
 
 @pytest.mark.parametrize("fraction", [0.6, 0.0, 1.0, 0.34])
