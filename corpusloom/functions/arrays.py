@@ -28,7 +28,10 @@ def variance(values: Column) -> Column:
     def around_mean(xs: Column) -> Column:
         n = F.size(xs)
         return F.when(n == 0, F.lit(0.0)).otherwise(
-            let(total(xs) / n, lambda m: total(F.transform(xs, lambda x: (x - m) * (x - m))) / n)
+            let(
+                total(xs) / n,
+                lambda m: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)) / n,
+            )
         )
 
     return let(values, around_mean)

@@ -6,6 +6,8 @@ a = documents of the class with the term.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,15 +20,25 @@ def plogp(count: Column, n: Column) -> Column:
     return F.when(count == 0, F.lit(0.0)).otherwise(p * F.log2(p))
 
 
-def information_gain(cells: Column, df: Column, n: Column, entropy: Column) -> Column:
-    """Gain over ``cells``, an array of structs with ``a`` and ``n_docs``.
+def xlogx(x: Column) -> Column:
+    """x * log2(x) of a count, 0 at 0."""
+    return x * F.log2(F.greatest(x, F.lit(1.0)))
+
 
-    The inner terms use the joint share a/n rather than a/df, which is the
-    definition dictionaries of this kind are built with.
+def information_gain(cells: Column, df: Column, n: int, entropy: float) -> Column:
+    """Gain over ``cells``, an array of structs of doubles with ``a`` and ``n_docs``.
+
+    It weighs, with df / n and (n - df) / n, the sums of p * log2(p) over the
+    classes, where p is the joint share a / n or (n_c - a) / n rather than the
+    share within df: the definition dictionaries of this kind are built with.
+    As the a sum up to df, the shares leave the sums, which run over counts.
     """
-    with_term = total(F.transform(cells, lambda c: plogp(c["a"], n)))
-    without = total(F.transform(cells, lambda c: plogp(c["n_docs"] - c["a"], n)))
-    return -entropy + df / n * with_term + (n - df) / n * without
+    n, bits = float(n), math.log2(n) if n else 0.0
+    rest = F.lit(n) - df
+    sums = F.aggregate(
+        cells, F.lit(0.0), lambda acc, c: acc + df * xlogx(c["a"]) + rest * xlogx(c["n_docs"] - c["a"])
+    )
+    return (sums - (df * df + rest * rest) * bits) / (n * n) - F.lit(entropy)
 
 
 def class_pull(n_c: int, n: int) -> float:
@@ -35,7 +47,7 @@ def class_pull(n_c: int, n: int) -> float:
     return n / rest if rest > 0 else 0.0
 
 
-def chi_squares(cells: Column, df: Column, n: Column) -> Column:
+def chi_squares(cells: Column, df: Column, n: int) -> Column:
     """One-class-against-the-rest chi-square of a term per cell, in class order.
 
     The cross difference of the 2x2 table is a * n - df * n_c, and the margins
@@ -43,6 +55,7 @@ def chi_squares(cells: Column, df: Column, n: Column) -> Column:
     A value is 0 where a margin is empty. Everything is double: the products
     pass the range of a long on large corpora.
     """
+    n = F.lit(float(n))
     margins = df * (n - df)
     term_pull = F.when(margins > 0, 1.0 / margins).otherwise(F.lit(0.0))
 

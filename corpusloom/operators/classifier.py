@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
@@ -13,6 +14,9 @@ from corpusloom.operators.kernel import RandomFourierFeatures
 from corpusloom.session import materialize
 from corpusloom.settings import Settings
 
+# Kernel features a task works on per iteration.
+TASK_BYTES = 32 << 20
+
 
 def resolve_gamma(vectors: DataFrame, gamma: float) -> float:
     """``gamma``, or 1 / the largest feature id in use where it is 0."""
@@ -32,14 +36,20 @@ def fit_classifier(vectors: DataFrame, labels: Sequence[str], settings: Settings
 
     A hinge loss weighted by the cost C against |w|^2 / 2 is MLlib's linear SVM
     with regParam = 1 / (C * rows). The kernel features are written out once,
-    since every iteration of every class reads them.
+    since every iteration of every class reads them. They are read in
+    partitions worth a task each; where those leave cores idle, classes are
+    fitted side by side. Each of those keeps its own cached copy, so a corpus
+    that fills the cluster is fitted class by class.
     """
     gamma = resolve_gamma(vectors, settings.gamma)
     kernel = RandomFourierFeatures(dims=settings.fourier_dims, gamma=gamma, seed=settings.seed)
     coded = vectors.withColumn("class", (label_code(labels) - 1).cast("double"))
     ready = materialize(kernel.transform(coded).select("class", "kernel"), "kernel")
+    rows = ready.count()
+    partitions = max(1, math.ceil(rows * settings.fourier_dims * 8 / TASK_BYTES))
+    cores = ready.sparkSession.sparkContext.defaultParallelism
     svm = LinearSVC(
-        regParam=1.0 / (settings.cost * max(1, ready.count())),
+        regParam=1.0 / (settings.cost * max(1, rows)),
         maxIter=settings.max_iterations,
         tol=settings.tolerance,
         standardization=False,
@@ -49,9 +59,9 @@ def fit_classifier(vectors: DataFrame, labels: Sequence[str], settings: Settings
         featuresCol="kernel",
         labelCol="class",
         predictionCol="class_prediction",
-        parallelism=settings.fit_parallelism,
+        parallelism=min(len(labels), max(1, cores // partitions)),
     )
-    return PipelineModel([kernel, one_vs_rest.fit(ready)])
+    return PipelineModel([kernel, one_vs_rest.fit(ready.coalesce(partitions))])
 
 
 def predict_labels(vectors: DataFrame, model: PipelineModel, labels: Sequence[str]) -> DataFrame:

@@ -21,8 +21,9 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Features gathered at once inside a task: bounds its memory at features x dims.
-BLOCK_FEATURES = 20_000
+# Features gathered at once inside a task, and ids drawn at once: both bound its memory.
+BLOCK_FEATURES = 100_000
+DRAWN_IDS = 4_096
 
 # Constants of the splitmix64 generator.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -41,14 +42,22 @@ def _uniforms(counter: np.ndarray) -> np.ndarray:
 
 def frequencies(ids: np.ndarray, count: int, gamma: float, seed: int) -> np.ndarray:
     """One row of ``count`` N(0, 2 gamma) draws per feature id."""
+    table = np.empty((len(ids), count))
+    for first in range(0, len(ids), DRAWN_IDS):
+        part = slice(first, first + DRAWN_IDS)
+        table[part] = _normals(ids[part], count, seed) * np.sqrt(2.0 * gamma)
+    return table
+
+
+def _normals(ids: np.ndarray, count: int, seed: int) -> np.ndarray:
+    """Standard normals by the Box-Muller transform."""
     half = (count + 1) // 2
     steps = np.arange(1, 2 * half + 1, dtype=np.uint64)
     start = ids.astype(np.uint64)[:, None] * np.uint64(2 * half) + np.uint64((seed * MIX_1) % 2**64)
     u = _uniforms(start + steps[None, :])
     radius = np.sqrt(-2.0 * np.log(u[:, :half]))
     angle = 2.0 * np.pi * u[:, half:]
-    normal = np.concatenate([radius * np.cos(angle), radius * np.sin(angle)], axis=1)
-    return normal[:, :count] * np.sqrt(2.0 * gamma)
+    return np.concatenate([radius * np.cos(angle), radius * np.sin(angle)], axis=1)[:, :count]
 
 
 def fourier_rows(ids: pd.Series, weights: pd.Series, dims: int, gamma: float, seed: int) -> np.ndarray:

@@ -27,13 +27,12 @@ def score_terms(profiles: DataFrame, totals: CorpusTotals) -> DataFrame:
     Counting documents per term and class once replaces a pass over the corpus
     for every term: all scores are a projection over those counts.
     """
-    n, entropy = F.lit(float(totals.n)), F.lit(totals.entropy)
-    df = F.col("df").cast("double")
+    # The document frequency is bound once too, as the lambdas below use it per class.
     both = let(
-        totals.cells(F.col("by_label")),
-        lambda cells: F.struct(
-            information_gain(cells, df, n, entropy).alias("ig"),
-            chi_dispersion(chi_squares(cells, df, n)).alias("chi"),
+        F.struct(totals.cells(F.col("by_label")).alias("cells"), F.col("df").cast("double").alias("df")),
+        lambda t: F.struct(
+            information_gain(t["cells"], t["df"], totals.n, totals.entropy).alias("ig"),
+            chi_dispersion(chi_squares(t["cells"], t["df"], totals.n)).alias("chi"),
         ),
     )
     scored = profiles.withColumn("_both", both)
@@ -51,7 +50,7 @@ def class_arrays(scored: DataFrame, totals: CorpusTotals) -> DataFrame:
     return scored.select(
         *[c for c in scored.columns if c != "by_label"],
         totals.class_tf(F.col("by_label")).alias("class_tf"),
-        chi_squares(cells, F.col("df").cast("double"), F.lit(float(totals.n))).alias("class_chi"),
+        chi_squares(cells, F.col("df").cast("double"), totals.n).alias("class_chi"),
     )
 
 

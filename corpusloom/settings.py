@@ -66,8 +66,6 @@ class Settings:
     seed: int = 42
     max_iterations: int = 50
     tolerance: float = 1e-3
-    # Binary models fitted side by side; each keeps its own copy of the kernel rows cached.
-    fit_parallelism: int = 4
     # A larger dictionary is shuffled to its documents instead of broadcast.
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES
 
