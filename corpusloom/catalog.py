@@ -19,7 +19,7 @@ from corpusloom.operators import classifier, counts, evaluation, one_class, sele
 from corpusloom.plans.dictionary import DictionaryRun, build_dictionary, score_corpus
 from corpusloom.plans.label import label_pages, multi_label_pages, page_vectors as vectors_of_pages
 from corpusloom.plans.train import TextClassifier, held_out_predictions, train_classifier, train_one_class
-from corpusloom.plans.vectorize import save_vectors, vectorize_corpus
+from corpusloom.plans.vectorize import save_one_class_vectors, save_vectors, vectorize_corpus
 from corpusloom.session import shared_path
 from corpusloom.settings import Settings
 from corpusloom.sources import categories as category_source
@@ -139,12 +139,8 @@ def _entry_sums(entries: DataFrame) -> DataFrame:
 @query
 def sparse_roundtrip(spark, sf_dir):
     """Sparse text rows written and read back, zero weights kept."""
-    path = _saved_vectors(spark, sf_dir)
-    parts = [
-        vector_source.read_sparse(spark, f"{path}/{part}").select(F.lit(part).alias("split"), "code", "features")
-        for part in ("train", "test")
-    ]
-    return _entry_sums(weights.vector_entries(parts[0].unionAll(parts[1])))
+    rows = vector_source.read_sparse(spark, _saved_vectors(spark, sf_dir), "split")
+    return _entry_sums(weights.vector_entries(rows))
 
 
 @query
@@ -153,7 +149,7 @@ def libsvm_roundtrip(spark, sf_dir):
     path = _saved_vectors(spark, sf_dir)
     loaded = None
     for part in ("train", "test"):
-        rows = vector_source.read_libsvm(spark, f"{path}/{part}").select(
+        rows = vector_source.read_libsvm(spark, f"{path}/split={part}").select(
             F.lit(part).alias("split"), F.col("label").cast("int").alias("code"),
             F.regexp_extract_all(F.col("features").cast("string"), F.lit(r"\[([^\]]*)\]"), F.lit(1)).alias("v"),
         )
@@ -168,6 +164,18 @@ def libsvm_roundtrip(spark, sf_dir):
     )
 
 
+@query
+def one_class_roundtrip(spark, sf_dir):
+    """One-class files of all categories written and read back."""
+    path = shared_path(spark, "one-class")
+    docs = corpus(spark, sf_dir)
+    save_one_class_vectors(vectorize_corpus(docs, build_dictionary(docs, SETTINGS).dictionary, SETTINGS), path)
+    rows = vector_source.read_sparse(spark, path, "label", "split").withColumn("features", F.size("features"))
+    return rows.groupBy("label", "split", "code").agg(
+        F.count(F.lit(1)).alias("docs"), F.sum("features").alias("features")
+    )
+
+
 # --- text ------------------------------------------------------------------
 
 
@@ -449,6 +457,13 @@ def trained_one_class(spark: SparkSession, sf_dir: str):
     return train_one_class(corpus(spark, sf_dir), SETTINGS)
 
 
+@query
+def default_gamma(spark, sf_dir):
+    """Kernel width of the training vectors where none is set."""
+    vectors = vectorize_corpus(corpus(spark, sf_dir), dictionary_run(spark, sf_dir).dictionary, SETTINGS)
+    return classifier.default_gamma(vectors.where("split = 'train'"))
+
+
 @query
 def svm_rbf_predict(spark, sf_dir):
     return held_out_predictions(trained(spark, sf_dir))

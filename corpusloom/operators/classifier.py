@@ -18,12 +18,15 @@ from corpusloom.settings import Settings
 TASK_BYTES = 32 << 20
 
 
+def default_gamma(vectors: DataFrame) -> DataFrame:
+    """One row ``(max_id, gamma)``: 1 / the largest feature id in use."""
+    top = vectors.agg(F.max(F.array_max(F.transform("features", lambda f: f["id"]))).alias("max_id"))
+    return top.select("max_id", (1.0 / F.col("max_id")).alias("gamma"))
+
+
 def resolve_gamma(vectors: DataFrame, gamma: float) -> float:
-    """``gamma``, or 1 / the largest feature id in use where it is 0."""
-    if gamma > 0:
-        return gamma
-    top = vectors.agg(F.max(F.array_max(F.transform("features", lambda f: f["id"])))).first()[0]
-    return 1.0 / top if top else 1.0
+    """``gamma``, or the default where it is 0."""
+    return gamma if gamma > 0 else default_gamma(vectors).first()["gamma"] or 1.0
 
 
 def label_code(labels: Sequence[str], label: str = "label") -> F.Column:

@@ -21,6 +21,12 @@ from corpusloom.session import spread
 from corpusloom.sources.categories import categories_from_names
 
 
+def members(docs: DataFrame, categories: Sequence[str] | None) -> DataFrame:
+    """The documents of the configured categories; all labelled ones if none are named."""
+    label = F.col("label")
+    return docs.where(label.isin(list(categories)) if categories else label.isNotNull())
+
+
 def token_stream(docs: DataFrame) -> DataFrame:
     """One row per token, with its position counted from 1."""
     found = docs.select("doc_id", F.posexplode_outer(tokens(F.col("text"))).alias("pos", "term"))
@@ -88,15 +94,13 @@ class CorpusTotals:
     def _per_class(self, of_class: Callable[[Column], Column]) -> Column:
         classes = F.array(
             *[
-                F.struct(
-                    F.lit(label).alias("label"),
-                    F.lit(float(n_c)).alias("n_docs"),
-                    F.lit(class_pull(n_c, self.n)).alias("pull"),
-                )
+                F.struct(F.lit(label), F.lit(float(n_c)), F.lit(class_pull(n_c, self.n)))
                 for label, n_c in zip(self.labels, self.n_docs)
             ]
         )
-        return F.transform(classes, of_class)
+        # The cast names the fields, and gives an empty corpus a type.
+        typed = classes.cast("array<struct<label:string,n_docs:double,pull:double>>")
+        return F.transform(typed, of_class)
 
     def cells(self, by_label: Column) -> Column:
         """Per category a struct of doubles ``a, n_docs, pull``; a = 0 where ``by_label`` has no entry."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.indexing import value_at_rank
@@ -33,6 +33,6 @@ def train_test_split(docs: DataFrame, fraction: float = 0.6) -> DataFrame:
     return assign_split(docs, split_points(docs, fraction))
 
 
-def one_class_rows(vectors: DataFrame, label: str, code: Column | None = None) -> DataFrame:
-    """Rows of one class, coded 1, as a one-class model takes them."""
-    return vectors.where(F.col("label") == label).withColumn("code", F.lit(1) if code is None else code)
+def one_class_rows(vectors: DataFrame) -> DataFrame:
+    """Rows as the one-class model of their own label takes them: all coded 1."""
+    return vectors.withColumn("code", F.lit(1))

@@ -108,6 +108,11 @@ SPLIT_SUMS = """ SELECT split, code, id, count(*) AS docs, round(sum(w), 6) AS w
 ORACLE["sparse_roundtrip"] = weighted() + SPLIT_SUMS.format(where="")
 ORACLE["libsvm_roundtrip"] = weighted() + SPLIT_SUMS.format(where="WHERE w <> 0")
 
+ORACLE["one_class_roundtrip"] = f"""{weighted()} SELECT label, split, CAST(1 AS INTEGER) AS code,
+  count(DISTINCT doc_id) AS docs, count(*) AS features FROM mm JOIN split USING (doc_id, label) GROUP BY ALL"""
+ORACLE["default_gamma"] = f"""{weighted()} SELECT max(id) AS max_id, 1 / max(id)::DOUBLE AS gamma
+  FROM mm JOIN split USING (doc_id, label) WHERE split = 'train'"""
+
 ORACLE["url_normalize"] = f"SELECT page_id, {URL} AS url FROM pages"
 ORACLE["url_normalize_http_only"] = (
     "SELECT page_id, CASE WHEN starts_with(url, 'http://') THEN url ELSE 'http://' || url END AS url FROM pages"

@@ -41,6 +41,7 @@ def candidate_profiles(docs: DataFrame, settings: Settings) -> tuple[DataFrame,
 
     The texts are read once; the totals come from a scan of the label column.
     """
+    docs = counts.members(docs, settings.category_names)
     totals = counts.CorpusTotals.of(counts.class_counts(docs, settings.category_names))
     profiles = counts.term_profiles(counts.label_term_counts(counts.term_bags(docs)))
     return counts.candidates(profiles), totals

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpusloom.operators import counts, split, weights
 from corpusloom.operators.classifier import label_code
@@ -18,6 +17,7 @@ def vectorize_corpus(
 
     The split counts all documents; those without a known term leave after it.
     """
+    docs = counts.members(docs, settings.category_names)
     points = split.split_points(docs, settings.train_fraction)
     vectors = weights.document_vectors(
         counts.term_bags(docs), dictionary, scale, max_broadcast_bytes=settings.max_broadcast_bytes
@@ -26,15 +26,10 @@ def vectorize_corpus(
 
 
 def save_vectors(vectors: DataFrame, labels: list[str], path: str) -> None:
-    """``<path>/train`` and ``<path>/test`` in sparse text form."""
-    coded = vectors.withColumn("code", label_code(labels))
-    for part in ("train", "test"):
-        write_sparse(coded.where(F.col("split") == part), f"{path}/{part}")
-
-
-def save_one_class_vectors(vectors: DataFrame, labels: list[str], path: str) -> None:
-    """One folder per category and split, every row coded 1."""
-    for label in labels:
-        own = split.one_class_rows(vectors, label)
-        for part in ("train", "test"):
-            write_sparse(own.where(F.col("split") == part), f"{path}/{label}/{part}")
+    """``<path>/split=train`` and ``<path>/split=test`` in sparse text form, in one job."""
+    write_sparse(vectors.withColumn("code", label_code(labels)), path, "split")
+
+
+def save_one_class_vectors(vectors: DataFrame, path: str) -> None:
+    """``<path>/label=<name>/split=<part>``, every row coded 1, in one job."""
+    write_sparse(split.one_class_rows(vectors), path, "label", "split")

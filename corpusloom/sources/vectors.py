@@ -2,33 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def sparse_lines(vectors: DataFrame, code: Column | None = None) -> DataFrame:
-    """``code id:weight id:weight ..`` lines from ``features``.
-
-    ``code=F.lit(1)`` gives the rows of a one-class file.
-    """
+def sparse_lines(vectors: DataFrame, *keys: str) -> DataFrame:
+    """``code id:weight id:weight ..`` lines from ``code`` and ``features``, next to ``keys``."""
     pairs = F.transform("features", lambda f: F.concat_ws(":", f["id"], f["w"]))
-    label = F.col("code") if code is None else code
-    return vectors.select(F.concat_ws(" ", label, F.array_join(pairs, " ")).alias("value"))
+    return vectors.select(*keys, F.concat_ws(" ", "code", F.array_join(pairs, " ")).alias("value"))
 
 
-def write_sparse(vectors: DataFrame, path: str, code: Column | None = None) -> None:
-    """Write the lines; any LIBSVM reader takes them.
+def write_sparse(vectors: DataFrame, path: str, *keys: str) -> None:
+    """Write the lines, one folder per value of ``keys``; any LIBSVM reader takes them.
 
     Zero weights are written too, as they are part of a training vector.
     """
-    sparse_lines(vectors, code).write.mode("overwrite").text(path)
+    sparse_lines(vectors, *keys).write.mode("overwrite").partitionBy(*keys).text(path)
 
 
-def read_sparse(spark: SparkSession, path: str) -> DataFrame:
-    """Back to ``(code, features)``, zero weights kept, ids as written."""
+def read_sparse(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """Back to ``(<keys>, code, features)``, zero weights kept, ids as written."""
     parts = F.filter(F.split("value", r"\s+"), lambda p: p != "")
     pair = lambda p: F.split(p, ":")
-    return spark.read.text(path).select(
+    # Named, a key stays text: the name of a category may look like a number.
+    schema = ", ".join(f"`{name}` string" for name in ("value", *keys))
+    return spark.read.schema(schema).text(path).select(
+        *keys,
         F.get(parts, F.lit(0)).cast("double").cast("int").alias("code"),
         F.transform(
             F.slice(parts, F.lit(2), F.size(parts)),

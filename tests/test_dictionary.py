@@ -86,13 +86,23 @@ def test_counts_add_up(make_docs):
 
 
 def test_empty_category_and_foreign_label(make_docs):
-    docs = make_docs([("a", "red red"), ("a", "red"), ("b", "blue"), ("b", "blue red")])
+    named = [("a", "red red"), ("a", "red"), ("b", "blue"), ("b", "blue red")]
+    docs = make_docs(named + [("foreign", "red blue"), (None, "red")])
     classes = counts.class_counts(docs, ["b", "none", "a"]).orderBy("code").collect()
     assert [(r["code"], r["label"], r["n_docs"]) for r in classes] == [(1, "b", 2), (2, "none", 0), (3, "a", 2)]
     run = build_dictionary(docs, Settings(categories=(("b", 1.0), ("none", 1.0), ("a", 1.0)), score_threshold=0.0))
     rows = {r["term"]: r for r in run.with_class_arrays().collect()}
     assert rows["red"]["class_tf"] == [1, 0, 3]
     assert rows["red"]["class_chi"][1] == 0.0
+    assert (rows["red"]["df"], run.meta.first()["n"]) == (3, 4)
+
+
+@pytest.mark.parametrize("categories", [(), (("a", 1.0), ("b", 1.0))])
+def test_empty_corpus(spark, categories):
+    docs = spark.createDataFrame([], "doc_id long, label string, text string")
+    run = build_dictionary(docs, Settings(categories=categories))
+    assert run.with_class_arrays().count() == 0
+    assert tuple(run.meta.first()) == (0, 0)
 
 
 def test_ids_are_dense_in_term_order_before_pruning(make_docs):

@@ -90,13 +90,13 @@ def test_sparse_files(spark, make_docs, dictionary, tmp_path):
     docs = make_docs(PAIRS)
     made = vectorize_corpus(docs, dictionary, Settings(train_fraction=0.5))
     save_vectors(made, ["a", "b"], str(tmp_path / "v"))
-    train = read_sparse(spark, str(tmp_path / "v/train")).collect()
-    test = read_sparse(spark, str(tmp_path / "v/test")).collect()
+    train = read_sparse(spark, str(tmp_path / "v/split=train")).collect()
+    test = read_sparse(spark, str(tmp_path / "v/split=test")).collect()
     # Class a: documents 0 | 1 (empty, left out); class b: 2 (unknown terms, left out) | 3, 4.
     assert [r["code"] for r in train] == [1] and sorted(r["code"] for r in test) == [2, 2]
     assert [(f["id"], round(f["w"], 6)) for f in train[0]["features"]][0] == (1, 1.0)
     assert len(train[0]["features"]) == 3
-    loaded = read_libsvm(spark, str(tmp_path / "v/train"), 7).first()
+    loaded = read_libsvm(spark, str(tmp_path / "v/split=train"), 7).first()
     assert loaded["label"] == 1.0 and loaded["features"].size == 7
-    save_one_class_vectors(made, ["a", "b"], str(tmp_path / "one"))
-    assert spark.read.text(str(tmp_path / "one/b/test")).where(F.col("value").startswith("1 ")).count() == 2
+    save_one_class_vectors(made, str(tmp_path / "one"))
+    assert spark.read.text(str(tmp_path / "one/label=b/split=test")).where(F.col("value").startswith("1 ")).count() == 2
