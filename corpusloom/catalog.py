@@ -16,9 +16,9 @@ from corpusloom.functions.arrays import variance
 from corpusloom.functions.text import html_to_text as visible_text
 from corpusloom.functions.text import url_with_http, url_with_scheme
 from corpusloom.operators import classifier, counts, evaluation, one_class, selection, split, weights
+from corpusloom.plans import train
 from corpusloom.plans.dictionary import DictionaryRun, build_dictionary, score_corpus
 from corpusloom.plans.label import label_pages, multi_label_pages, page_vectors as vectors_of_pages
-from corpusloom.plans.train import TextClassifier, held_out_predictions, train_classifier, train_one_class
 from corpusloom.plans.vectorize import save_one_class_vectors, save_vectors, vectorize_corpus
 from corpusloom.session import shared_path
 from corpusloom.settings import Settings
@@ -447,33 +447,35 @@ def one_class_report_lines(spark, sf_dir):
 
 
 @lru_cache(maxsize=4)
-def trained(spark: SparkSession, sf_dir: str):
-    """The classifier of the corpus, fitted once per session and scale."""
-    return train_classifier(corpus(spark, sf_dir), SETTINGS)
+def prepared(spark: SparkSession, sf_dir: str) -> train.Prepared:
+    """Dictionary and vectors of the corpus, written once per session and scale."""
+    return train.prepare(corpus(spark, sf_dir), SETTINGS)
 
 
 @lru_cache(maxsize=4)
-def trained_one_class(spark: SparkSession, sf_dir: str):
-    return train_one_class(corpus(spark, sf_dir), SETTINGS)
+def trained(spark: SparkSession, sf_dir: str) -> train.TrainingRun:
+    return train.train_classifier(prepared(spark, sf_dir), SETTINGS)
+
+
+@lru_cache(maxsize=4)
+def trained_one_class(spark: SparkSession, sf_dir: str) -> one_class.OneClassModels:
+    return train.train_one_class(prepared(spark, sf_dir), SETTINGS)
 
 
 @query
 def default_gamma(spark, sf_dir):
     """Kernel width of the training vectors where none is set."""
-    vectors = vectorize_corpus(corpus(spark, sf_dir), dictionary_run(spark, sf_dir).dictionary, SETTINGS)
-    return classifier.default_gamma(vectors.where("split = 'train'"))
+    return classifier.default_gamma(prepared(spark, sf_dir).part("train"))
 
 
 @query
 def svm_rbf_predict(spark, sf_dir):
-    return held_out_predictions(trained(spark, sf_dir))
+    return train.held_out_predictions(trained(spark, sf_dir))
 
 
 @query
 def svm_class_metrics(spark, sf_dir):
-    run = trained(spark, sf_dir)
-    categories = category_source.categories_from_names(spark, run.classifier.labels)
-    return evaluation.class_metrics(evaluation.confusion(held_out_predictions(run), categories))
+    return train.evaluate(trained(spark, sf_dir))
 
 
 @query
@@ -482,23 +484,19 @@ def model_roundtrip(spark, sf_dir):
     run = trained(spark, sf_dir)
     path = shared_path(spark, "classifier")
     run.classifier.save(path)
-    again = TextClassifier.load(spark, path)
-    test = run.vectors.where("split = 'test'").drop("split")
-    return classifier.predict_labels(test, again.model, again.labels)
+    again = train.TextClassifier.load(spark, path)
+    return classifier.predict_labels(run.prepared.part("test"), again.model, again.labels)
 
 
 @query
 def one_class_predict(spark, sf_dir):
-    models, vectors = trained_one_class(spark, sf_dir)
-    accepted = one_class.accepted_labels(vectors.where("split = 'test'").drop("split"), models)
+    accepted = one_class.accepted_labels(prepared(spark, sf_dir).part("test"), trained_one_class(spark, sf_dir))
     return one_class.own_class_accepted(accepted)
 
 
 @query
 def one_class_model_metrics(spark, sf_dir):
-    models, _ = trained_one_class(spark, sf_dir)
-    categories = category_source.categories_from_names(spark, models.labels)
-    return evaluation.one_class_metrics(one_class_predict(spark, sf_dir), categories)
+    return train.evaluate_one_class(trained_one_class(spark, sf_dir), prepared(spark, sf_dir))
 
 
 @query
@@ -508,8 +506,8 @@ def classify_pages(spark, sf_dir):
 
 @query
 def classify_multi(spark, sf_dir):
-    models, _ = trained_one_class(spark, sf_dir)
-    labelled = multi_label_pages(page_scan(spark, sf_dir), trained(spark, sf_dir).classifier.dictionary, models)
+    models, dictionary = trained_one_class(spark, sf_dir), prepared(spark, sf_dir).dictionary
+    labelled = multi_label_pages(page_scan(spark, sf_dir), dictionary, models)
     return labelled.select("page_id", "url", F.array_join("labels", " ").alias("labels"))
 
 

@@ -49,30 +49,44 @@ class TextClassifier:
         )
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """Dictionary and split vectors of a corpus, both written tables, and its category names."""
+
+    dictionary: DataFrame
+    vectors: DataFrame
+    labels: tuple[str, ...]
+    scale: str
+
+    def part(self, split: str) -> DataFrame:
+        """``(doc_id, label, features)`` of ``train`` or ``test``."""
+        return self.vectors.where(F.col("split") == split).drop("split")
+
+
 @dataclass(frozen=True)
 class TrainingRun:
     classifier: TextClassifier
-    vectors: DataFrame
+    prepared: Prepared
 
 
-def prepare(docs: DataFrame, settings: Settings, scale: str = "minmax") -> tuple[DataFrame, DataFrame, list[str]]:
-    """Dictionary and written-out vectors of a corpus, with its category names."""
+def prepare(docs: DataFrame, settings: Settings, scale: str = "minmax") -> Prepared:
+    """What every kind of training starts from."""
     run = build_dictionary(docs, settings)
     vectors = materialize(vectorize_corpus(docs, run.dictionary, settings, scale), "vectors")
-    return run.dictionary, vectors, list(run.totals.labels)
+    return Prepared(run.dictionary, vectors, run.totals.labels, scale)
 
 
-def train_classifier(docs: DataFrame, settings: Settings, scale: str = "minmax") -> TrainingRun:
-    """Dictionary, vectors and model of a corpus.
+def train_classifier(prepared: Prepared, settings: Settings) -> TrainingRun:
+    """Fit the multi-class model on the training part.
 
-    ``scale`` serves both sides, so that labelling sees weights as training did;
-    :func:`with_serving_scale` restores the historic mix.
+    The scale of the vectors serves both sides, so that labelling sees weights
+    as training did; :func:`with_serving_scale` restores the historic mix.
     """
-    dictionary, vectors, labels = prepare(docs, settings, scale)
-    model = classifier.fit_classifier(vectors.where("split = 'train'"), labels, settings)
-    return TrainingRun(
-        TextClassifier(dictionary, tuple(labels), model, scale, settings.max_broadcast_bytes), vectors
+    model = classifier.fit_classifier(prepared.part("train"), prepared.labels, settings)
+    made = TextClassifier(
+        prepared.dictionary, prepared.labels, model, prepared.scale, settings.max_broadcast_bytes
     )
+    return TrainingRun(made, prepared)
 
 
 def with_serving_scale(text_classifier: TextClassifier, scale: str = "max") -> TextClassifier:
@@ -82,39 +96,40 @@ def with_serving_scale(text_classifier: TextClassifier, scale: str = "max") -> T
 
 def held_out_predictions(run: TrainingRun) -> DataFrame:
     """``(doc_id, label, prediction)`` of the test documents."""
-    test = run.vectors.where("split = 'test'").drop("split")
-    return classifier.predict_labels(test, run.classifier.model, run.classifier.labels)
+    return classifier.predict_labels(run.prepared.part("test"), run.classifier.model, run.classifier.labels)
 
 
-def evaluate(predictions: DataFrame, labels: list[str]) -> DataFrame:
-    """Metrics per category."""
-    categories = categories_from_names(predictions.sparkSession, labels)
+def evaluate(run: TrainingRun) -> DataFrame:
+    """Held-out metrics per category."""
+    predictions = held_out_predictions(run)
+    categories = categories_from_names(predictions.sparkSession, run.classifier.labels)
     return evaluation.class_metrics(evaluation.confusion(predictions, categories))
 
 
 def train_and_report(docs: DataFrame, settings: Settings, report_path: str) -> TrainingRun:
     """Train, evaluate on the held-out part, append the report."""
-    run = train_classifier(docs, settings)
-    metrics = materialize(evaluate(held_out_predictions(run), list(run.classifier.labels)))
+    run = train_classifier(prepare(docs, settings), settings)
+    metrics = materialize(evaluate(run), "metrics")
     append_report(evaluation.report_lines(metrics, settings), report_path)
     return run
 
 
-def train_one_class(
-    docs: DataFrame, settings: Settings, scale: str = "minmax"
-) -> tuple[one_class.OneClassModels, DataFrame]:
-    """One model per category from its training documents, and the vectors."""
-    _, vectors, labels = prepare(docs, settings, scale)
-    return one_class.fit_one_class(vectors.where("split = 'train'"), labels, settings), vectors
+def train_one_class(prepared: Prepared, settings: Settings) -> one_class.OneClassModels:
+    """One model per category from its training documents."""
+    return one_class.fit_one_class(prepared.part("train"), prepared.labels, settings)
+
+
+def evaluate_one_class(models: one_class.OneClassModels, prepared: Prepared) -> DataFrame:
+    """Held-out acceptance per category."""
+    own = one_class.own_class_accepted(one_class.accepted_labels(prepared.part("test"), models))
+    categories = categories_from_names(own.sparkSession, models.labels)
+    return evaluation.one_class_metrics(own, categories)
 
 
 def one_class_report(
-    models: one_class.OneClassModels, vectors: DataFrame, settings: Settings, report_path: str
+    models: one_class.OneClassModels, prepared: Prepared, settings: Settings, report_path: str
 ) -> DataFrame:
     """Held-out acceptance per category; the report is appended to ``report_path``."""
-    test = vectors.where(F.col("split") == "test").drop("split")
-    own = one_class.own_class_accepted(one_class.accepted_labels(test, models))
-    categories = categories_from_names(vectors.sparkSession, models.labels)
-    metrics = materialize(evaluation.one_class_metrics(own, categories))
+    metrics = materialize(evaluate_one_class(models, prepared), "metrics")
     append_report(evaluation.one_class_report_lines(metrics, settings), report_path)
     return metrics

@@ -61,7 +61,7 @@ def docs(make_docs):
 
 @pytest.fixture(scope="module")
 def run(docs):
-    return train.train_classifier(docs, SETTINGS)
+    return train.train_classifier(train.prepare(docs, SETTINGS), SETTINGS)
 
 
 @pytest.fixture(scope="module")
@@ -115,7 +115,8 @@ def test_report_run(spark, docs, tmp_path):
 def test_one_class(spark, docs, pages, tmp_path):
     nus = (("ant", 0.1), ("bee", 1.0), ("cat", 0.3))
     settings = Settings(fourier_dims=128, categories=nus)
-    dictionary, vectors, labels = train.prepare(docs, settings)
+    made = train.prepare(docs, settings)
+    vectors, labels = made.vectors, list(made.labels)
     # The default width 1 / max id makes all kernel values of this small corpus alike.
     models = one_class.fit_one_class(vectors.where("split = 'train'"), labels, settings, gamma=0.125)
     accepted = one_class.accepted_labels(vectors, models)
@@ -123,19 +124,20 @@ def test_one_class(spark, docs, pages, tmp_path):
     refused = {r["label"]: r["n"] for r in own.where("NOT accepted").groupBy("label").agg(F.count("*").alias("n")).collect()}
     n = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     assert refused["ant"] == int(0.1 * n["ant"]) and refused["bee"] == n["bee"] and refused["cat"] == int(0.3 * n["cat"])
-    got = {r["page_id"]: r["labels"] for r in multi_label_pages(pages, dictionary, models).collect()}
+    got = {r["page_id"]: r["labels"] for r in multi_label_pages(pages, made.dictionary, models).collect()}
     assert got[0] == ["ant"] and got[1] == ["unknown"]
     # The page without known words is the zero vector: cos 0 = 1 and sin 0 = 0 in every dimension.
     zero = np.concatenate([np.ones(64), np.zeros(64)]) / 8.0
     expected = [c for c, score, cut in zip(labels, models.means @ zero, models.cuts) if score >= cut]
     assert got[3] == (expected or ["unknown"])
-    metrics = train.one_class_report(models, vectors, settings, str(tmp_path / "r"))
+    metrics = train.one_class_report(models, made, settings, str(tmp_path / "r"))
     assert {r["label"]: r["b"] for r in metrics.collect()} == {"ant": 24, "bee": 24, "cat": 24}
 
 
 def test_one_class_scores_are_mean_kernel_values(docs):
     settings = Settings(fourier_dims=64)
-    _, vectors, labels = train.prepare(docs, settings)
+    made = train.prepare(docs, settings)
+    vectors, labels = made.vectors, list(made.labels)
     models = one_class.fit_one_class(vectors, labels, settings)
     assert models.gamma == pytest.approx(resolve_gamma(vectors, 0.0))
     rows = vectors.select("label", "features", models.scores(F.col("features")).alias("s")).toPandas()
