@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.arrays import deviation, let, total
+from corpusloom.functions.arrays import deviation, let
 
 
 def plogp(count: Column, n: Column) -> Column:
