@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,18 +127,40 @@ def probe_hits(docs: DataFrame, window: int, blocks: Broadcast, bits: int) -> Da
     return _scan(docs, "anchor long, n long, aligned boolean", rows)
 
 
+# Room for a position below an id in one decimal, and a place before all ids.
+POSITIONS = 1 << 31
+BEFORE_ALL = -(1 << 64)
+
+
+def _earliest(id_type: T.DataType) -> tuple[Column, Column, Column]:
+    """How (id, pos) is aggregated to its minimum, and read back as id and position.
+
+    Whole-number ids and positions make one decimal, which is smaller to shuffle
+    than a struct and is aggregated by hashing; other ids stay in a struct. A
+    null id comes before all others.
+    """
+    at = F.col("at")
+    if not isinstance(id_type, T.IntegralType):
+        return F.min(F.struct("id", "pos")), F.col("at.id"), F.col("at.pos")
+    whole = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(BEFORE_ALL).cast("decimal(20,0)"))
+    size = F.lit(POSITIONS).cast("decimal(10,0)")
+    pos = F.pmod(at, size)
+    number = ((at - pos) / size).cast("decimal(20,0)")
+    own = F.when(number != F.lit(BEFORE_ALL).cast("decimal(20,0)"), number).cast(id_type)
+    return F.min((whole * size + F.col("pos")).cast("decimal(32,0)")), own, pos.cast("int")
+
+
 def first_windows(docs: DataFrame, window: int, live: Broadcast, bits: int) -> DataFrame:
     """``(id, firsts)``: where the windows around live anchors start for the first time.
 
-    Windows are told apart by 128 bits of hash, and the smallest (id, position)
+    Windows are told apart by 96 bits of hash, and the smallest (id, position)
     of each is an aggregate that combines on the map side.
     """
-    id_type = docs.schema["id"].dataType
     schema = T.StructType(
         [
-            T.StructField("id", id_type),
+            T.StructField("id", docs.schema["id"].dataType),
             T.StructField("h1", T.LongType()),
-            T.StructField("h2", T.LongType()),
+            T.StructField("h2", T.IntegerType()),
             T.StructField("pos", T.IntegerType()),
         ]
     )
@@ -148,40 +170,58 @@ def first_windows(docs: DataFrame, window: int, live: Broadcast, bits: int) -> D
         at, inside = piece.candidates(piece.useful & _in_filter(live.value, piece.anchors, bits))
         row = np.searchsorted(piece.words.bounds, at, side="right") - 1
         h1, h2 = (window_hashes(piece.hashes, window, base)[at] for base in WINDOW_BASES)
+        half = (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
         return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(row)), *_longs(h1, h2, inside.astype(np.int32))], names=["id", "h1", "h2", "pos"]
+            [ids.take(pa.array(row)), *_longs(h1, half, inside.astype(np.int32))], names=["id", "h1", "h2", "pos"]
         )
 
-    found = _scan(docs, schema, rows).groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("at"))
-    return found.groupBy("at.id").agg(F.collect_list("at.pos").alias("firsts"))
+    earliest, own_id, own_pos = _earliest(docs.schema["id"].dataType)
+    found = _scan(docs, schema, rows).groupBy("h1", "h2").agg(earliest.alias("at"))
+    return found.select(own_id.alias("id"), own_pos.alias("pos")).groupBy("id").agg(F.collect_list("pos").alias("firsts"))
 
 
-def kept_words(
-    docs: DataFrame, firsts: DataFrame, window: int, live: Broadcast, bits: int
-) -> DataFrame:
-    """``(id, text, n_words, n_removed, kept)`` after the words of later windows are cut out.
+def kept_words(docs: DataFrame, firsts: DataFrame, window: int, live: Broadcast, bits: int) -> DataFrame:
+    """``(id, n_words, n_removed, kept)`` after the words of later windows are cut out.
 
-    Every candidate window that is not the first of its kind is removed. Texts
-    are joined by id with the starts of their first windows.
+    Every candidate window that is not the first of its kind is removed. Only
+    texts with a candidate window meet the starts of their first windows in a
+    join; the others are finished where they are read.
     """
+    id_field = docs.schema["id"]
     schema = T.StructType(
         [
-            docs.schema["id"],
+            id_field,
             T.StructField("n_words", T.LongType()),
             T.StructField("n_removed", T.LongType()),
             T.StructField("kept", T.StringType()),
         ]
     )
-    starts = firsts.withColumnRenamed("id", "first_id")
-    joined = docs.join(starts, F.col("id").eqNullSafe(F.col("first_id")), "left").select("id", "text", "firsts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def touched(piece: Piece) -> np.ndarray:
+        at, _ = piece.candidates(piece.useful & _in_filter(live.value, piece.anchors, bits))
+        out = np.zeros(len(piece.texts), bool)
+        out[np.searchsorted(piece.words.bounds, at, side="right") - 1] = True
+        return out
+
+    def finished(texts: Texts, ids: pa.Array) -> pa.RecordBatch:
+        piece = Piece(texts, window)
+        plain = pa.array(~touched(piece))
+        keep = np.ones(len(piece.words.starts), bool)
+        return _result(ids, piece, keep).filter(plain)
+
+    def pending(texts: Texts, ids: pa.Array) -> pa.RecordBatch:
+        rows = np.flatnonzero(touched(Piece(texts, window)))
+        data, bounds = texts.data.tobytes(), texts.bounds
+        own = pa.array([data[bounds[r] : bounds[r + 1]].decode() for r in rows], pa.string())
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), own], names=["id", "text"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("firsts")
             for texts in pieces(batch.column("text")):
                 piece = Piece(texts, window)
                 words = piece.words
-                at, inside = piece.candidates(piece.useful & _in_filter(live.value, piece.anchors, bits))
+                at, _ = piece.candidates(piece.useful & _in_filter(live.value, piece.anchors, bits))
                 own = lists.slice(texts.first, len(texts))
                 sizes = own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 first = np.repeat(words.bounds[:-1], sizes) + own.flatten().to_numpy()
@@ -189,20 +229,22 @@ def kept_words(
                 depth = np.zeros(len(words.starts) + 1, np.int64)
                 np.add.at(depth, later, 1)
                 np.add.at(depth, later + window, -1)
-                keep = np.cumsum(depth)[:-1] == 0
-                kept = _joined(texts, words, keep)
-                removed = np.add.reduceat(np.append(~keep, False), words.bounds[:-1]) if len(texts) else np.empty(0)
-                removed = np.where(words.counts > 0, removed, 0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id").slice(texts.first, len(texts)),
-                        *_longs(words.counts.astype(np.int64), removed.astype(np.int64)),
-                        pa.array(kept, pa.string()),
-                    ],
-                    names=["id", "n_words", "n_removed", "kept"],
-                )
-
-    return joined.mapInArrow(run, schema)
+                yield _result(batch.column("id").slice(texts.first, len(texts)), piece, np.cumsum(depth)[:-1] == 0)
+
+    waiting = _scan(docs, T.StructType([id_field, T.StructField("text", T.StringType())]), pending)
+    starts = firsts.withColumnRenamed("id", "first_id")
+    joined = waiting.join(starts, F.col("id").eqNullSafe(F.col("first_id")), "left").select("id", "text", "firsts")
+    return _scan(docs, schema, finished).unionAll(joined.mapInArrow(cut, schema))
+
+
+def _result(ids: pa.Array, piece: Piece, keep: np.ndarray) -> pa.RecordBatch:
+    words = piece.words
+    gone = np.concatenate([[0], np.cumsum(~keep)])
+    removed = gone[words.bounds[1:]] - gone[words.bounds[:-1]]
+    return pa.RecordBatch.from_arrays(
+        [ids, *_longs(words.counts.astype(np.int64), removed.astype(np.int64)), pa.array(_joined(piece.texts, words, keep), pa.string())],
+        names=["id", "n_words", "n_removed", "kept"],
+    )
 
 
 def _joined(texts: Texts, words: Words, keep: np.ndarray) -> list[str]:
@@ -234,7 +276,7 @@ def remove_repeats(
        size lets through what may hit; equal 64-bit hashes then decide, and an
        anchor is live if its block stands in at least two places.
     3. Live anchors are extended to the full windows around them, and the first
-       start of each window is found by its 128-bit hash. Neighbouring windows
+       start of each window is found by its 96-bit hash. Neighbouring windows
        make up the maximal exact repeats.
 
     The bitmaps never lose a hit: where they fill up on larger inputs, more
