@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -129,7 +130,7 @@ def probe_hits(docs: DataFrame, window: int, blocks: Broadcast, bits: int) -> Da
 
 # Room for a position below an id in one decimal, and a place before all ids.
 POSITIONS = 1 << 31
-BEFORE_ALL = -(1 << 64)
+BEFORE_ALL = Decimal(-(1 << 64))
 
 
 def _earliest(id_type: T.DataType) -> tuple[Column, Column, Column]:
