@@ -240,7 +240,7 @@ def row_matches(points: np.ndarray, index: Index) -> list[tuple[int, int, int, i
     shapes: dict[tuple[int, int], list[tuple[Unit, int]]] = {}
     for unit_at, diagonal in regions:
         unit = index.units[unit_at]
-        shapes.setdefault((len(unit.points), unit.edits), []).append((unit, max(0, diagonal - unit.edits)))
+        shapes.setdefault((len(unit.points), unit.edits), []).append((unit, int(diagonal) - unit.edits))
     found = []
     for (m, edits), group in shapes.items():
         for at in range(0, len(group), VERIFY_ROWS):
@@ -249,18 +249,19 @@ def row_matches(points: np.ndarray, index: Index) -> list[tuple[int, int, int, i
 
 
 def _verify(squeezed: np.ndarray, origin: np.ndarray, group: list[tuple[Unit, int]], m: int, edits: int) -> Iterator[tuple]:
-    """Matches of units of one shape from the given first characters on."""
+    """Matches of units of one shape from the given first characters on, which may lie before the text."""
     # The band's own diagonals and `edits` more on either side.
     reach = m + 4 * edits + 3
     texts = np.full((len(group), reach), 0xFFFFFFFF, np.uint32)
     for k, (_, first) in enumerate(group):
-        part = squeezed[first : first + reach]
-        texts[k, : len(part)] = part
+        part = squeezed[max(0, first) : max(0, first + reach)]
+        texts[k, max(0, -first) : max(0, -first) + len(part)] = part
     sizes = np.minimum(len(squeezed) - np.array([first for _, first in group]), reach)
     patterns = np.stack([unit.points for unit, _ in group])
     for (unit, first), start, end, cost in zip(group, *banded_matches(patterns, texts, sizes, edits)):
+        start, end = max(0, first + int(start)), first + int(end)
         if cost <= edits and end > start:
-            yield unit.item, int(origin[first + start]), int(origin[first + end - 1]) + 1, int(cost)
+            yield unit.item, int(origin[start]), int(origin[end - 1]) + 1, int(cost)
 
 
 def merged(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:

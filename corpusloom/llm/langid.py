@@ -53,11 +53,15 @@ def row_letters(texts: Texts) -> Iterator[np.ndarray]:
 
 
 def grams(row: np.ndarray) -> np.ndarray:
-    """Codes of all 1-, 2- and 3-grams with a letter; 0 stands for a word boundary."""
+    """Codes of all 1-, 2- and 3-grams with a letter; 1 stands for a word boundary.
+
+    It is no letter's code point, and grams of different lengths differ as none begins with 0.
+    """
     shift = np.uint64(CODE_BITS)
-    one = row[row != 0]
+    row = np.maximum(row, np.uint64(1))
+    one = row[row != 1]
     two = (row[:-1] << shift) | row[1:]
-    middle = row[1:-1] != 0
+    middle = row[1:-1] != 1
     three = ((two[:-1] << shift) | row[2:])[middle]
     return np.concatenate([one, two, three])
 
