@@ -228,7 +228,7 @@ def test_passages_with_edits_are_found(spark, prose):
     edited = edit(item[:100], [("sub", 10), ("del", 30), ("ins", 55), ("sub", 77)])
     cases = [
         ("x " * 30 + item + " y", {1}), (prose(9, 300) + "\n" + item.upper().replace(" ", "\n ") + "z", {1}),
-        (prose(8, 5) + edited, {1}), (edited, {1}), (item[:79], set()), (item[:40] + prose(7, 20) + item[-40:], set()),
+        (prose(8, 5) + edited, {1}), (edited, {1}), (item[:70], set()), (item[:40] + prose(7, 20) + item[-40:], set()),
         ("é" * 40 + short + "é", {2}), (prose(4, 500), set()), (None, set()), ("", set()), (item + item, {1}), (item, {1}),
     ]
     docs = spark.createDataFrame([(i, t, 1) for i, (t, _) in enumerate(cases)], "doc_id long, text string, passages int")
