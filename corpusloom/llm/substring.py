@@ -61,10 +61,11 @@ class Piece:
 
 
 def _filter(marks: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Bitmap of a column of hashes: ``2^bits`` bits, combined on the map side."""
-    at = F.greatest(F.shiftrightunsigned(column, 64 - bits), F.lit(1))
+    """Bloom filter of a column of hashes: ``2^bits`` bits, two for each hash, combined on the map side."""
+    mask = (1 << bits) - 1
+    places = [F.shiftrightunsigned(column, shift).bitwiseAND(F.lit(mask)) for shift in _shifts(bits)]
     rows = (
-        marks.select(at.alias("bit"))
+        marks.select(F.explode(F.array(*[F.greatest(p, F.lit(1)) for p in places])).alias("bit"))
         .groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
     )
@@ -76,14 +77,19 @@ def _filter(marks: DataFrame, column: str, bits: int) -> np.ndarray:
     return out
 
 
-def _bit_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Where :func:`_filter` puts a hash: bitmap numbering starts at 1, so 0 and 1 share a bit."""
-    return np.maximum((hashes >> np.uint64(64 - bits)).astype(np.int64), 1) - 1
+def _shifts(bits: int) -> tuple[int, int]:
+    """The two parts of a hash that choose its bits."""
+    return 64 - bits, 0
 
 
 def _in_filter(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    at = _bit_of(hashes, bits)
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    """Hashes whose bits are both set; bitmap numbering starts at 1, so places 0 and 1 share a bit."""
+    found = np.ones(len(hashes), bool)
+    for shift in _shifts(bits):
+        rest = np.flatnonzero(found)
+        at = np.maximum(((hashes[rest] >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64), 1) - 1
+        found[rest] = (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return found
 
 
 def _scan(docs: DataFrame, schema: str | T.StructType, rows) -> DataFrame:
@@ -178,7 +184,9 @@ def first_windows(docs: DataFrame, window: int, live: Broadcast, bits: int) -> D
 
     earliest, own_id, own_pos = _earliest(docs.schema["id"].dataType)
     found = _scan(docs, schema, rows).groupBy("h1", "h2").agg(earliest.alias("at"))
-    return found.select(own_id.alias("id"), own_pos.alias("pos")).groupBy("id").agg(F.collect_list("pos").alias("firsts"))
+    # Moved as plain rows: lists made before the shuffle would be many and short.
+    starts = found.select(own_id.alias("id"), own_pos.alias("pos")).repartition("id")
+    return starts.groupBy("id").agg(F.collect_list("pos").alias("firsts"))
 
 
 def kept_words(docs: DataFrame, firsts: DataFrame, window: int, live: Broadcast, bits: int) -> DataFrame:
@@ -273,14 +281,14 @@ def remove_repeats(
 
     1. Non-overlapping blocks of ``(window + 1) // 2`` words index every row.
        Every window holds one of its own row's blocks whole.
-    2. Every rolling window of that size probes the index. A bitmap of fixed
+    2. Every rolling window of that size probes the index. A Bloom filter of fixed
        size lets through what may hit; equal 64-bit hashes then decide, and an
        anchor is live if its block stands in at least two places.
     3. Live anchors are extended to the full windows around them, and the first
        start of each window is found by its 96-bit hash. Neighbouring windows
        make up the maximal exact repeats.
 
-    The bitmaps never lose a hit: where they fill up on larger inputs, more
+    The filters never lose a hit: where they fill up on larger inputs, more
     windows are aggregated than needed and the result is the same.
 
     Null and empty texts have no words and give an empty text. A null id is
