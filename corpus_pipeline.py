@@ -31,11 +31,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each SimHash group: its smallest id, once.
 
-    Documents with a null id are no group's smallest and go if they link with
-    one that has an id; of a group without any id one document stays.
+    A row with a repeated id is the same document again and goes. Documents
+    without an id are no group's smallest; of these, one of each text stays.
     """
-    groups = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # A repeated id is one group member; without an id the fingerprint tells groups apart.
+    groups = simhash.near_duplicates(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     kept = groups.groupBy("doc_id").agg(F.lit(True).alias("keep")).select(F.col("doc_id").alias("kept_id"), "keep")
     rows = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(*COLUMNS)
     known = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
