@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +44,20 @@ def fit_classifier(vectors: DataFrame, labels: Sequence[str], settings: Settings
     partitions worth a task each; where those leave cores idle, classes are
     fitted side by side. Each of those keeps its own cached copy, so a corpus
     that fills the cluster is fitted class by class.
+
+    Categories without a training row are left out of the fit and are never
+    predicted; where one category has all rows, every prediction is it, and
+    without any row predictions are null.
     """
     gamma = resolve_gamma(vectors, settings.gamma)
     kernel = RandomFourierFeatures(dims=settings.fourier_dims, gamma=gamma, seed=settings.seed)
     coded = vectors.withColumn("class", (label_code(labels) - 1).cast("double"))
     ready = materialize(kernel.transform(coded).select("class", "kernel"), "kernel")
-    rows = ready.count()
+    counted = {r["class"]: r["count"] for r in ready.groupBy("class").count().collect()}  # one row per category
+    present, rows = sorted(counted), sum(counted.values())
+    if len(present) < 2:
+        only = f"{present[0]}D" if present else "CAST(NULL AS DOUBLE)"
+        return PipelineModel([kernel, SQLTransformer(statement=f"SELECT *, {only} AS class_prediction FROM __THIS__")])
     partitions = max(1, math.ceil(rows * settings.fourier_dims * 8 / TASK_BYTES))
     cores = ready.sparkSession.sparkContext.defaultParallelism
     svm = LinearSVC(
@@ -60,11 +69,16 @@ def fit_classifier(vectors: DataFrame, labels: Sequence[str], settings: Settings
     one_vs_rest = OneVsRest(
         classifier=svm,
         featuresCol="kernel",
-        labelCol="class",
-        predictionCol="class_prediction",
-        parallelism=min(len(labels), max(1, cores // partitions)),
+        labelCol="dense",
+        predictionCol="dense_prediction",
+        parallelism=min(len(present), max(1, cores // partitions)),
     )
-    return PipelineModel([kernel, one_vs_rest.fit(ready.coalesce(partitions))])
+    # The fit wants classes 0 .. k - 1 without gaps; predictions go back to label codes.
+    dense = (F.array_position(F.array(*map(F.lit, present)), F.col("class")) - 1).cast("double")
+    fitted = one_vs_rest.fit(ready.withColumn("dense", dense).coalesce(partitions))
+    codes = ", ".join(f"{code}D" for code in present)
+    back = f"SELECT *, element_at(array({codes}), CAST(dense_prediction AS INT) + 1) AS class_prediction FROM __THIS__"
+    return PipelineModel([kernel, fitted, SQLTransformer(statement=back)])
 
 
 def predict_labels(vectors: DataFrame, model: PipelineModel, labels: Sequence[str]) -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.scoring import class_pull, plogp
 from corpusloom.functions.text import term_bag, tokens
-from corpusloom.session import spread
 from corpusloom.sources.categories import categories_from_names
 
 
@@ -36,11 +35,8 @@ def token_stream(docs: DataFrame) -> DataFrame:
 
 
 def term_bags(docs: DataFrame) -> DataFrame:
-    """``(doc_id, label, bag)``: every document with its term counts.
-
-    ``docs`` should be a plain scan: its splits are counted here.
-    """
-    return spread(docs, "doc_id").select("doc_id", "label", term_bag(F.col("text")).alias("bag"))
+    """``(doc_id, label, bag)``: every document with its term counts, made where it is read."""
+    return docs.select("doc_id", "label", term_bag(F.col("text")).alias("bag"))
 
 
 def term_freq(bags: DataFrame) -> DataFrame:

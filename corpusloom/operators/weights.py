@@ -101,10 +101,12 @@ def document_vectors(
     scale: str = "minmax",
     keep_empty: bool = False,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    row_key: str | None = None,
 ) -> DataFrame:
     """``(<keys>, features)``: sparse vectors in id order.
 
-    All columns of ``bags`` but the bag are keys. Documents without any known
+    All columns of ``bags`` but the bag are keys, or ``row_key`` alone is one
+    and the others go along with it. Documents without any known
     term are dropped for training and kept with an empty vector for serving.
     After a broadcast lookup a document's terms still sit in one task, so the
     map side packs them and one row per document is shuffled.
@@ -117,9 +119,12 @@ def document_vectors(
     if not keep_empty:
         found = found.where("id IS NOT NULL")
     pair = F.struct("id", term_weight(F.col("tf"), F.col("score")).alias("w"))
-    raw = found.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), pair))).alias("features")
-    )
+    features = F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), pair))).alias("features")
+    if row_key is None:
+        raw = found.groupBy(*keys).agg(features)
+    else:
+        along = [F.first(k).alias(k) for k in keys if k != row_key]
+        raw = found.groupBy(row_key).agg(*along, features)
     return raw.withColumn("features", SCALES[scale](F.col("features")))
 
 

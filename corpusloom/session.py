@@ -17,6 +17,9 @@ def local_session(cpus: int | str = "*", app: str = "corpusloom", memory: str =
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Small tables are read in enough splits for all cores.
+        .config("spark.sql.files.maxPartitionBytes", "2m")
+        .config("spark.sql.files.openCostInBytes", "512k")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -57,14 +60,3 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash a scan that would leave half of the session's cores idle or more.
-
-    Large inputs already arrive in enough splits and pass untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or 2 * df.rdd.getNumPartitions() > cores:
-        return df
-    return df.repartition(cores, key)

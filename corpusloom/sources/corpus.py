@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
-from pyspark.errors import AnalysisException
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.session import materialize
+
 
 def corpus_from_table(
     table: DataFrame,
@@ -32,22 +36,80 @@ def corpus_from_table(
     )
 
 
+LISTED = "label string, path string, bytes long, hidden boolean"
+
+
+def _place(spark: SparkSession, root: str) -> tuple[str, str]:
+    """Scheme with host, and the path of ``root`` in it, as the session resolves it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}", uri.getPath().rstrip("/")
+
+
+def list_files(spark: SparkSession, root: str, categories: Sequence[str] | None = None) -> DataFrame:
+    """``(label, path, bytes, hidden)`` of every file of the category folders, one task per folder.
+
+    ``hidden`` names begin with a dot or an underscore; Spark's readers leave
+    them out, and files without a byte as well.
+    """
+    base, top = _place(spark, root)
+    system, _ = fs.FileSystem.from_uri(f"{base}{top}")
+    found = system.get_file_info(fs.FileSelector(top, allow_not_found=True))
+    folders = [f.base_name for f in found if f.type == fs.FileType.Directory]
+    labels = [(c,) for c in folders if categories is None or c in set(categories)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, _ = fs.FileSystem.from_uri(f"{base}{top}")
+        for batch in batches:
+            for label in batch["label"]:
+                files = [f for f in own.get_file_info(fs.FileSelector(f"{top}/{label}")) if f.type == fs.FileType.File]
+                yield pd.DataFrame(
+                    [(label, f"{base}{f.path}", f.size, f.base_name[0] in "._") for f in files],
+                    columns=["label", "path", "bytes", "hidden"],
+                )
+
+    names = spark.createDataFrame(labels, "label string").repartition(max(1, len(labels)))
+    return names.mapInPandas(run, LISTED)
+
+
+def _read_skipped(files: DataFrame, base: str, top: str) -> DataFrame:
+    """Texts of listed files that Spark's readers leave out, file by file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, _ = fs.FileSystem.from_uri(f"{base}{top}")
+        for batch in batches:
+            for label, path in zip(batch["label"], batch["path"]):
+                with system.open_input_file(path.removeprefix(base)) as source:
+                    text = source.read().decode("utf-8", "replace")
+                yield pd.DataFrame({"doc_id": [path], "label": [label], "text": [text]})
+
+    return files.repartition("path").mapInPandas(run, "doc_id string, label string, text string")
+
+
 def read_corpus_directory(
     spark: SparkSession, root: str, categories: Sequence[str] | None = None
 ) -> DataFrame:
     """``<root>/<category>/<file>``, one document per file; the path is its id.
 
-    With ``categories`` only their folders are listed; empty ones are legal.
+    Every file counts, empty ones and those whose name begins with a dot or an
+    underscore included. With ``categories`` only their folders are read;
+    missing and empty folders are legal, and any character may be in a name.
     """
-    folders = "{" + ",".join(categories) + "}" if categories else "*"
-    try:
-        files = spark.read.text(f"{root.rstrip('/')}/{folders}/*", wholetext=True)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "doc_id string, label string, text string")
+    base, top = _place(spark, root)
+    files = materialize(list_files(spark, root, categories), "listing")
+    ordinary = (F.col("bytes") > 0) & ~F.col("hidden")
+    labels = [r["label"] for r in files.where(ordinary).select("label").distinct().collect()]  # one row per category
+    skipped = _read_skipped(files.where(~ordinary), base, top)
+    if not labels:
+        return skipped
+    folders = [f"{base}{_no_glob(top)}/{_no_glob(label)}/*" for label in labels]
     # _metadata paths are url-encoded; a plus sign there is a plus sign.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return files.select(
+    texts = spark.read.text(folders, wholetext=True).select(
         path.alias("doc_id"), F.element_at(F.split(path, "/"), -2).alias("label"), F.col("value").alias("text")
     )
+    return texts.unionByName(skipped)
+
+
+def _no_glob(name: str) -> str:
+    return re.sub(r"([\\{}\[\]*?^,])", r"\\\1", name)

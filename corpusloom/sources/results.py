@@ -18,10 +18,11 @@ def append_report(lines: DataFrame, path: str) -> None:
 
 
 def label_lines(labelled: DataFrame) -> DataFrame:
-    """One padded ``url label`` line per page."""
-    return labelled.select(
-        F.concat(pad_right(F.col("url"), URL_WIDTH), pad_right(F.col("prediction"), LABEL_WIDTH)).alias("value")
-    )
+    """One padded ``url label`` line per page; a failed page has its error after the label's place."""
+    url, label = (F.coalesce(F.col(c), F.lit("")) for c in ("url", "prediction"))
+    error = F.col("error") if "error" in labelled.columns else F.lit(None).cast("string")
+    line = F.concat(pad_right(url, URL_WIDTH), pad_right(label, LABEL_WIDTH), F.coalesce(error, F.lit("")))
+    return labelled.select(line.alias("value"))
 
 
 def write_label_lines(labelled: DataFrame, path: str) -> None:
