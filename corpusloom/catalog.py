@@ -519,3 +519,69 @@ def classify_pages_stream(spark, sf_dir):
     run = label_page_stream(pages, trained(spark, sf_dir).classifier, out, checkpoint, once=True)
     run.awaitTermination()
     return spark.read.parquet(out).select("page_id", "url", "prediction")
+
+
+# --- what is exact about the models ----------------------------------------
+
+
+@query
+def svm_known_labels(spark, sf_dir):
+    """Every held-out document has a category of the corpus as its prediction."""
+    known = F.col("prediction").isin(list(trained(spark, sf_dir).classifier.labels))
+    return svm_rbf_predict(spark, sf_dir).select("doc_id", "label", F.coalesce(known, F.lit(False)).alias("known"))
+
+
+@query
+def svm_class_rows(spark, sf_dir):
+    """Held-out documents of each category, from the metrics."""
+    return svm_class_metrics(spark, sf_dir).select("label", (F.col("a") + F.col("b")).cast("long").alias("docs"))
+
+
+@query
+def model_roundtrip_same(spark, sf_dir):
+    """The reloaded classifier agrees with the saved one on every held-out document."""
+    before = svm_rbf_predict(spark, sf_dir).select("doc_id", "label", F.col("prediction").alias("before"))
+    return before.join(model_roundtrip(spark, sf_dir), ["doc_id", "label"]).select(
+        "doc_id", "label", F.col("before").eqNullSafe(F.col("prediction")).alias("same")
+    )
+
+
+@query
+def one_class_refusals(spark, sf_dir):
+    """No category refuses more than the share nu of its own training documents."""
+    accepted = one_class.accepted_labels(prepared(spark, sf_dir).part("train"), trained_one_class(spark, sf_dir))
+    own = one_class.own_class_accepted(accepted).groupBy("label")
+    counted = own.agg(F.count(F.lit(1)).alias("docs"), F.count_if(~F.col("accepted")).alias("refused"))
+    return counted.select("label", "docs", (F.col("refused") <= F.floor(F.col("docs") * SETTINGS.default_nu)).alias("within"))
+
+
+@query
+def classify_pages_known(spark, sf_dir):
+    """Every page has a category of the corpus as its label."""
+    known = F.col("prediction").isin(list(trained(spark, sf_dir).classifier.labels))
+    return classify_pages(spark, sf_dir).select("page_id", "url", F.coalesce(known, F.lit(False)).alias("known"))
+
+
+@query
+def classify_pages_twice(spark, sf_dir):
+    """Repeated page rows stay apart: every row of the doubled table has a label of its own."""
+    pages = page_scan(spark, sf_dir)
+    labelled = label_pages(pages.unionAll(pages), trained(spark, sf_dir).classifier)
+    return labelled.groupBy("page_id", "url").agg(F.count("prediction").alias("n"))
+
+
+@query
+def classify_multi_rows(spark, sf_dir):
+    """Every page has one category or more, or ``unknown`` alone."""
+    labels = F.split("labels", " ")
+    alone = ~F.array_contains(labels, one_class.UNKNOWN) | (F.size(labels) == 1)
+    return classify_multi(spark, sf_dir).select("page_id", "url", (alone & (F.col("labels") != "")).alias("labelled"))
+
+
+@query
+def classify_stream_same(spark, sf_dir):
+    """The stream gives each page the label of the batch."""
+    streamed = classify_pages_stream(spark, sf_dir).withColumnRenamed("prediction", "streamed")
+    return classify_pages(spark, sf_dir).join(streamed, ["page_id", "url"]).select(
+        "page_id", "url", F.col("prediction").eqNullSafe(F.col("streamed")).alias("same")
+    )

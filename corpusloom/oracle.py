@@ -242,3 +242,17 @@ parts AS (
   SELECT 7, ' ' UNION ALL
   SELECT 8, {padded(SLIM, "'ACCURACY:'", short('avg(accuracy)'))} FROM acc)
 SELECT CAST(ord AS INTEGER) AS ord, line FROM parts"""
+
+# What is exact about the models needs no model.
+PART = "SELECT DISTINCT doc_id, label FROM mm JOIN split USING (doc_id, label) WHERE split = '{part}'"
+HELD_OUT = PART.format(part="test")
+ORACLE["svm_known_labels"] = f"{weighted()} SELECT doc_id, label, true AS known FROM ({HELD_OUT})"
+ORACLE["svm_class_rows"] = f"{weighted()} SELECT label, count(*) AS docs FROM ({HELD_OUT}) GROUP BY label"
+ORACLE["model_roundtrip_same"] = f"{weighted()} SELECT doc_id, label, true AS same FROM ({HELD_OUT})"
+ORACLE["one_class_refusals"] = (
+    f"{weighted()} SELECT label, count(*) AS docs, true AS within FROM ({PART.format(part='train')}) GROUP BY label"
+)
+ORACLE["classify_pages_known"] = f"SELECT page_id, {URL} AS url, true AS known FROM pages"
+ORACLE["classify_pages_twice"] = f"SELECT page_id, {URL} AS url, 2 * count(*) AS n FROM pages GROUP BY ALL"
+ORACLE["classify_multi_rows"] = f"SELECT page_id, {URL} AS url, true AS labelled FROM pages"
+ORACLE["classify_stream_same"] = f"SELECT page_id, {URL} AS url, true AS same FROM pages"

@@ -96,7 +96,7 @@ def test_stream_equals_batch(spark, run, pages, tmp_path):
 
     def drain():
         label_page_stream(stream_pages(spark, where[0]), run.classifier, where[1], where[2], once=True).awaitTermination()
-        rows = spark.read.parquet(where[1]).select("page_id", "url", "prediction").collect()
+        rows = spark.read.parquet(where[1]).select("page_id", "url", "prediction", "error").collect()
         return sorted(rows)
 
     batch = sorted(label_pages(pages, run.classifier).collect())
