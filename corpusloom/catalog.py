@@ -27,6 +27,7 @@ from corpusloom.sources import dictionary as dictionary_source
 from corpusloom.sources import pages as page_source
 from corpusloom.sources import vectors as vector_source
 from corpusloom.sources.corpus import corpus_from_table
+from corpusloom.sources.results import append_report, write_label_lines
 from corpusloom.streaming.pages import label_page_stream
 
 SETTINGS = Settings(corpus_name="documents")
@@ -122,6 +123,24 @@ def dict_text_roundtrip(spark, sf_dir):
     return _dictionary_rows(*dictionary_source.read_dictionary_text(spark, f"{path}/dict"))
 
 
+def _class_file(spark, sf_dir, kind: str, value: Column) -> DataFrame:
+    path = shared_path(spark, "dictionary-text")
+    dictionary_run(spark, sf_dir).save_text(path)
+    return dictionary_source.read_class_lines(spark, f"{path}/{kind}").select("id", "code", value.alias(kind))
+
+
+@query
+def class_tf_file(spark, sf_dir):
+    """Term counts per category of the dictionary's terms, read back from their text file."""
+    return _class_file(spark, sf_dir, "tf", F.col("value").cast("long"))
+
+
+@query
+def class_chi_file(spark, sf_dir):
+    """Chi-square per category of the dictionary's terms, read back from their text file."""
+    return _class_file(spark, sf_dir, "chi", F.round(F.col("value").cast("double"), 6))
+
+
 def _saved_vectors(spark, sf_dir) -> str:
     path = shared_path(spark, "vectors")
     docs = corpus(spark, sf_dir)
@@ -443,6 +462,15 @@ def one_class_report_lines(spark, sf_dir):
     return evaluation.one_class_report_lines(_quality_accepted(spark, sf_dir), QUALITY_SETTINGS)
 
 
+@query
+def report_file(spark, sf_dir):
+    """Two reports appended to one file, read back: every line twice as often."""
+    path = shared_path(spark, "report")
+    for _ in range(2):
+        append_report(report_lines(spark, sf_dir), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- models ----------------------------------------------------------------
 
 
@@ -555,6 +583,37 @@ def one_class_refusals(spark, sf_dir):
     return counted.select("label", "docs", (F.col("refused") <= F.floor(F.col("docs") * SETTINGS.default_nu)).alias("within"))
 
 
+@query
+def one_class_gamma(spark, sf_dir):
+    """Kernel width of each category's model."""
+    models = trained_one_class(spark, sf_dir)
+    rows = [(label, float(gamma)) for label, gamma in zip(models.labels, models.gammas)]
+    return spark.createDataFrame(rows, "label string, gamma double")
+
+
+@query
+def one_class_roundtrip_same(spark, sf_dir):
+    """The reloaded one-class models agree with the saved ones on every held-out document."""
+    models, test = trained_one_class(spark, sf_dir), prepared(spark, sf_dir).part("test")
+    path = shared_path(spark, "one-class-models")
+    models.save(spark, path)
+    before = one_class.accepted_labels(test, models).select("doc_id", "label", F.col("accepted").alias("before"))
+    after = one_class.accepted_labels(test, one_class.OneClassModels.load(spark, path))
+    return before.join(after, ["doc_id", "label"]).select("doc_id", "label", (F.col("before") == F.col("accepted")).alias("same"))
+
+
+@query
+def label_line_file(spark, sf_dir):
+    """Labelled pages written as lines and read back: url first, a category of the corpus last."""
+    path = shared_path(spark, "label-lines")
+    write_label_lines(classify_pages(spark, sf_dir), path)
+    # A label follows a long url without a space.
+    label = "(" + "|".join(trained(spark, sf_dir).classifier.labels) + r")\s*$"
+    url = F.rtrim(F.regexp_replace("value", label, ""))
+    lines = spark.read.text(path).select(url.alias("url"), F.col("value").rlike(label).alias("known"))
+    return lines.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.every("known").alias("known"))
+
+
 @query
 def classify_pages_known(spark, sf_dir):
     """Every page has a category of the corpus as its label."""

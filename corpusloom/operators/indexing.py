@@ -31,8 +31,7 @@ def global_index(
     from the same evaluation even if executors are lost. ``finish`` may add
     columns row by row on the way there, after the shuffle and its sampling.
     """
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    stamped = materialize(finish(ordered.withColumn("_stamp", F.monotonically_increasing_id())), name)
+    stamped = _sorted_table(df, keys, name, finish)
     columns = [c for c in stamped.columns if c != "_stamp"]
     stamped = stamped.select(
         *columns,
@@ -51,6 +50,14 @@ def global_index(
     )
 
 
+def _sorted_table(
+    df: DataFrame, keys: Sequence[str], name: str, finish: Callable[[DataFrame], DataFrame] = lambda rows: rows
+) -> DataFrame:
+    """Rows in the order of ``keys``, written with ``_stamp``: the partition above ``ROW_BITS``, the row in it below."""
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return materialize(finish(ordered.withColumn("_stamp", F.monotonically_increasing_id())), name)
+
+
 def group_rank(df: DataFrame, group: str, keys: Sequence[str], name: str) -> DataFrame:
     """Add the 1-based rank by ``keys`` inside each ``group``.
 
@@ -70,11 +77,22 @@ def value_at_rank(
 
     ``rank`` is an expression over ``n``, the rows of the group. ``value`` is
     null where no row has that rank.
+
+    The sorted table is read twice: for the rows of each group in each
+    partition, two numbers that tell which row is wanted, and for that row.
     """
-    ranked = group_rank(df, group, keys, "_rank")
-    sizes = ranked.groupBy(group).agg(F.max("_rank").alias(n))
-    wanted = sizes.select(group, n, rank.alias("_rank"))
-    hits = ranked.select(group, "_rank", F.col(keys[0]).alias(value)).join(
-        F.broadcast(wanted.drop(n)), [group, "_rank"]
+    stamped = _sorted_table(df.where(F.col(group).isNotNull()), [group, *keys], "ranked")
+    spans = stamped.groupBy(group, F.shiftright("_stamp", ROW_BITS).alias("_part")).agg(
+        F.min("_stamp").alias("_first"), F.count(F.lit(1)).alias("_rows")
+    )
+    own = Window.partitionBy(group)
+    before = own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # A group has at most one row per partition of the sort.
+    spans = spans.select(
+        group, "_first", "_rows", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"), F.sum("_rows").over(own).alias(n)
     )
-    return sizes.join(hits.drop("_rank"), group, "left")
+    at = rank - F.col("_before")
+    stamp = F.when((at > 0) & (at <= F.col("_rows")), F.col("_first") + at - 1)
+    wanted = materialize(spans.groupBy(group).agg(F.first(n).alias(n), F.max(stamp).alias("_stamp")), "wanted")
+    hits = stamped.select("_stamp", F.col(keys[0]).alias(value)).join(F.broadcast(wanted.select(group, "_stamp")), "_stamp")
+    return wanted.select(group, n).join(hits.drop("_stamp"), group, "left")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Features gathered at once inside a task, and ids drawn at once: both bound its memory.
-BLOCK_FEATURES = 100_000
+BLOCK_FEATURES = 32_768
 DRAWN_IDS = 4_096
 
 # Constants of the splitmix64 generator.
@@ -60,10 +60,13 @@ def _normals(ids: np.ndarray, count: int, seed: int) -> np.ndarray:
     return np.concatenate([radius * np.cos(angle), radius * np.sin(angle)], axis=1)[:, :count]
 
 
-def fourier_rows(ids: pd.Series, weights: pd.Series, dims: int, gamma: float, seed: int) -> np.ndarray:
-    """Feature rows [cos(wx), sin(wx)] / sqrt(dims / 2); an empty vector is x = 0."""
+def projections(ids: pd.Series, weights: pd.Series, count: int, seed: int) -> np.ndarray:
+    """Rows wx for ``count`` frequencies of unit width; an empty vector is x = 0.
+
+    A row's sums do not depend on the rows around it.
+    """
     sizes = np.fromiter((len(x) for x in ids), dtype=np.int64, count=len(ids))
-    projected = np.zeros((len(ids), dims // 2))
+    projected = np.zeros((len(ids), count))
     ends = np.cumsum(sizes)
     first = 0
     while first < len(ids):
@@ -72,14 +75,36 @@ def fourier_rows(ids: pd.Series, weights: pd.Series, dims: int, gamma: float, se
         last = max(first + 1, int(np.searchsorted(ends, base + BLOCK_FEATURES, side="right")))
         block_ids = np.concatenate([np.asarray(x, dtype=np.int64) for x in ids.iloc[first:last]])
         unique, position = np.unique(block_ids, return_inverse=True)
-        table = frequencies(unique, dims // 2, gamma, seed)
-        offset = 0
-        for row in range(first, last):
-            at = position[offset : offset + sizes[row]]
-            projected[row] = np.asarray(weights.iloc[row], dtype=np.float64) @ table[at]
-            offset += sizes[row]
+        block_weights = np.concatenate([np.asarray(x, dtype=np.float64) for x in weights.iloc[first:last]])
+        # Frequencies of width 1/2 have variance 1.
+        table = frequencies(unique, count, 0.5, seed)[position]
+        table *= block_weights[:, None]
+        filled = first + np.flatnonzero(sizes[first:last])
+        if len(filled):
+            projected[filled] = np.add.reduceat(table, ends[filled] - sizes[filled] - base, axis=0)
         first = last
-    return np.concatenate([np.cos(projected), np.sin(projected)], axis=1) / np.sqrt(dims / 2)
+    return projected
+
+
+def waves(projected: np.ndarray, gamma: float) -> np.ndarray:
+    """Feature rows [cos(wx), sin(wx)] / sqrt(dims / 2) of the kernel of width ``gamma``."""
+    angles = projected * np.sqrt(2.0 * gamma)
+    return np.concatenate([np.cos(angles), np.sin(angles)], axis=1) / np.sqrt(projected.shape[1])
+
+
+def fourier_rows(ids: pd.Series, weights: pd.Series, dims: int, gamma: float, seed: int) -> np.ndarray:
+    return waves(projections(ids, weights, dims // 2, seed), gamma)
+
+
+def projected_array(features: Column, count: int, seed: int) -> Column:
+    """:func:`projections` of a sparse ``array<struct<id,w>>`` as ``array<double>``."""
+
+    @F.pandas_udf("array<double>")
+    def project(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ids, weights in batches:
+            yield pd.Series(list(projections(ids, weights, count, seed)))
+
+    return project(F.transform(features, lambda f: f["id"]), F.transform(features, lambda f: f["w"]))
 
 
 def fourier_array(features: Column, dims: int, gamma: float, seed: int) -> Column:

@@ -103,6 +103,10 @@ DICTIONARY_ROWS = f"""{scored()} SELECT id, term, df, round(ig, 6) AS ig, round(
 ORACLE["dict_roundtrip"] = DICTIONARY_ROWS
 ORACLE["dict_text_roundtrip"] = DICTIONARY_ROWS
 
+TOLD = "id IN (SELECT id FROM dict)"
+ORACLE["class_tf_file"] = f"{scored()} SELECT id, code, tf FROM cells WHERE {TOLD}"
+ORACLE["class_chi_file"] = f"{scored()} SELECT id, code, round(x, 6) AS chi FROM chi WHERE {TOLD}"
+
 SPLIT_SUMS = """ SELECT split, code, id, count(*) AS docs, round(sum(w), 6) AS w
   FROM mm JOIN split USING (doc_id, label) JOIN cls USING (label) {where} GROUP BY ALL"""
 ORACLE["sparse_roundtrip"] = weighted() + SPLIT_SUMS.format(where="")
@@ -231,6 +235,7 @@ parts AS (
   SELECT 12, {padded(WIDE, "'COST:'", "'32.0'")} UNION ALL
   SELECT 13, {padded(WIDE, "'GAMMA:'", "'0.125'")})
 SELECT CAST(ord AS INTEGER) AS ord, line FROM parts"""
+ORACLE["report_file"] = f"SELECT line, 2 * count(*) AS n FROM ({ORACLE['report_lines']}) GROUP BY line"
 ORACLE["one_class_report_lines"] = f"""{QUALITY},
 parts AS (
   SELECT 0 AS ord, {RULE} AS line UNION ALL
@@ -256,3 +261,7 @@ ORACLE["classify_pages_known"] = f"SELECT page_id, {URL} AS url, true AS known F
 ORACLE["classify_pages_twice"] = f"SELECT page_id, {URL} AS url, 2 * count(*) AS n FROM pages GROUP BY ALL"
 ORACLE["classify_multi_rows"] = f"SELECT page_id, {URL} AS url, true AS labelled FROM pages"
 ORACLE["classify_stream_same"] = f"SELECT page_id, {URL} AS url, true AS same FROM pages"
+ORACLE["one_class_gamma"] = f"""{weighted()} SELECT label, 1 / max(id)::DOUBLE AS gamma
+  FROM mm JOIN split USING (doc_id, label) WHERE split = 'train' GROUP BY label"""
+ORACLE["one_class_roundtrip_same"] = ORACLE["model_roundtrip_same"]
+ORACLE["label_line_file"] = f"SELECT {URL} AS url, count(*) AS n, true AS known FROM pages GROUP BY ALL"

@@ -70,3 +70,10 @@ def read_dictionary_text(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
         F.get(head, F.lit(0)).cast("long").alias("n"), F.get(head, F.lit(1)).cast("long").alias("max_id")
     )
     return terms, meta
+
+
+def read_class_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, code, value)`` from a ``tf`` or ``chi`` file or folder, the value as text."""
+    parts = F.split("value", " +")
+    lines = spark.read.text(path).select(F.get(parts, F.lit(0)).cast("long").alias("id"), parts.alias("parts"))
+    return lines.select("id", F.posexplode("parts").alias("code", "value")).where("code > 0")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusloom import Settings
 from corpusloom.operators import kernel, one_class
-from corpusloom.operators.classifier import resolve_gamma
 from corpusloom.plans import train
 from corpusloom.plans.label import label_pages, multi_label_pages
 from corpusloom.sources.pages import stream_pages
@@ -130,6 +129,9 @@ def test_one_class(spark, docs, pages, tmp_path):
     zero = np.concatenate([np.ones(64), np.zeros(64)]) / 8.0
     expected = [c for c, score, cut in zip(labels, models.means @ zero, models.cuts) if score >= cut]
     assert got[3] == (expected or ["unknown"])
+    models.save(spark, str(tmp_path / "m"))
+    again = one_class.OneClassModels.load(spark, str(tmp_path / "m"))
+    assert sorted(one_class.accepted_labels(vectors, again).collect()) == sorted(accepted.collect())
     metrics = train.one_class_report(models, made, settings, str(tmp_path / "r"))
     assert {r["label"]: r["b"] for r in metrics.collect()} == {"ant": 24, "bee": 24, "cat": 24}
 
@@ -139,11 +141,14 @@ def test_one_class_scores_are_mean_kernel_values(docs):
     made = train.prepare(docs, settings)
     vectors, labels = made.vectors, list(made.labels)
     models = one_class.fit_one_class(vectors, labels, settings)
-    assert models.gamma == pytest.approx(resolve_gamma(vectors, 0.0))
+    own_top = vectors.select("label", F.explode("features").alias("f")).groupBy("label").agg(F.max("f.id").alias("top"))
+    tops = {r["label"]: r["top"] for r in own_top.collect()}
+    assert models.gammas == pytest.approx([1 / tops[label] for label in labels])
+    at = labels.index("bee")
     rows = vectors.select("label", "features", models.scores(F.col("features")).alias("s")).toPandas()
     z = kernel.fourier_rows(
         rows["features"].map(lambda f: [x["id"] for x in f]), rows["features"].map(lambda f: [x["w"] for x in f]),
-        64, models.gamma, settings.seed,
+        64, models.gammas[at], settings.seed,
     )
     own = z[(rows["label"] == "bee").to_numpy()]
-    assert np.allclose(np.vstack(rows["s"])[:, labels.index("bee")], (z @ own.T).mean(axis=1))
+    assert np.allclose(np.vstack(rows["s"])[:, at], (z @ own.T).mean(axis=1))
