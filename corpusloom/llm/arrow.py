@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 # Text bytes that one piece holds, unless a single row is longer.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)

@@ -39,7 +39,7 @@ def _powers(base: int, count: int) -> np.ndarray:
 
 def powers(base: int, count: int) -> np.ndarray:
     """``base`` to 0 .. count - 1 modulo 2^64."""
-    return _powers(base, 1 << max(21, (count - 1).bit_length()))[:count]
+    return _powers(base, 1 << max(19, (count - 1).bit_length()))[:count]
 
 
 @dataclass(frozen=True)
