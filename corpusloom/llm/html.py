@@ -137,9 +137,8 @@ class _Reader:
 def leaf_blocks(page: str) -> list[Block]:
     """Text between block-level tags, character references decoded and white space collapsed."""
     reader, at = _Reader(), 0
-    for match in _TOKEN.finditer(page):
-        if match.start() < at:
-            continue
+    # Each search begins where the last token or skipped element ended: no token begins inside a script.
+    while match := _TOKEN.search(page, at):
         if match.start() > at:
             reader.text(page[at : match.start()])
         at = match.end()
@@ -150,10 +149,10 @@ def leaf_blocks(page: str) -> list[Block]:
         if match["end"] or match["end2"]:
             reader.end(tag)
         elif tag in SKIPPED_TAGS:
-            if tag in BLOCK_TAGS or tag in ("title", "textarea"):
+            if tag in ("title", "textarea"):
                 reader.end_block()
-            closing = regex.compile(rf"</{tag}\b[^>]*>?", regex.IGNORECASE).search(page, at)
             if not (match["attrs"] or "").rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
+                closing = regex.compile(rf"</{tag}\b[^>]*>?", regex.IGNORECASE).search(page, at)
                 at = closing.end() if closing else len(page)
         else:
             reader.start(tag, match["attrs"] or match["attrs2"] or "")

@@ -133,6 +133,15 @@ def test_leaf_blocks():
     assert [b.text for b in html.leaf_blocks("<p>a<3 &am <b")] in (["a<3 &am <b"], ["a<3 &am"])
 
 
+@pytest.mark.parametrize("script", ["for(i=0; i<n ;i++){} // don't", "a = '<!-- '", "if (a<b) x = \"<p\"; // \" it's", "/* <b title=' */", "x <![CDATA["])
+@pytest.mark.parametrize("tag", ["script", "style", "title"])
+def test_markup_after_raw_text_is_read(script, tag):
+    page = f"<{tag}>{script}</{tag}><nav>Menu</nav><article><h1>It's here</h1><p>One \"word\" --> more</p></article>"
+    blocks = html.leaf_blocks(page)
+    assert [b.text for b in blocks] == ["Menu", "It's here", 'One "word" --> more']
+    assert [[e.tag for e in b.path] for b in blocks] == [["nav"], ["article", "h1"], ["article", "p"]]
+
+
 @pytest.fixture(scope="module")
 def field():
     return html.trained_field()
