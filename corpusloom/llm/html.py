@@ -27,8 +27,8 @@ BLOCK_TAGS = frozenset(
     "section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Their contents are no text of the page.
-SKIPPED_TAGS = frozenset("script style template title textarea iframe noembed noframes svg math canvas audio video object".split())
+# Their contents are no markup and no text of the page; without an end tag they reach to its end.
+RAW_TAGS = frozenset("script style title textarea iframe noembed noframes".split())
 # A start tag of the key ends open elements of these kinds, up to the nearest of the stops.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -43,6 +43,7 @@ _TOKEN = regex.compile(
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)",
     regex.DOTALL,
 )
+_TEMPLATE_END = regex.compile(r"</template\b[^>]*>?", regex.IGNORECASE)
 _NAMED = regex.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", regex.IGNORECASE)
 _HIDDEN = regex.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", regex.IGNORECASE)
 _NAME_WORD = regex.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -136,7 +137,7 @@ class _Reader:
 
 def leaf_blocks(page: str) -> list[Block]:
     """Text between block-level tags, character references decoded and white space collapsed."""
-    reader, at = _Reader(), 0
+    reader, at, open_template = _Reader(), 0, False
     # Each search begins where the last token or skipped element ended: no token begins inside a script.
     while match := _TOKEN.search(page, at):
         if match.start() > at:
@@ -148,13 +149,17 @@ def leaf_blocks(page: str) -> list[Block]:
         tag = tag.lower()
         if match["end"] or match["end2"]:
             reader.end(tag)
-        elif tag in SKIPPED_TAGS:
+        elif tag == "template" and (closing := None if open_template else _TEMPLATE_END.search(page, at)):
+            # Never shown; an unclosed one is read on.
+            at = closing.end()
+        elif tag in RAW_TAGS:
             if tag in ("title", "textarea"):
                 reader.end_block()
             if not (match["attrs"] or "").rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
                 closing = regex.compile(rf"</{tag}\b[^>]*>?", regex.IGNORECASE).search(page, at)
                 at = closing.end() if closing else len(page)
         else:
+            open_template = open_template or tag == "template"
             reader.start(tag, match["attrs"] or match["attrs2"] or "")
     if at < len(page):
         reader.text(page[at:])

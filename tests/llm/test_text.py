@@ -142,6 +142,13 @@ def test_markup_after_raw_text_is_read(script, tag):
     assert [[e.tag for e in b.path] for b in blocks] == [["nav"], ["article", "h1"], ["article", "p"]]
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "canvas", "audio", "video", "object", "template"])
+def test_text_after_an_unclosed_tag_is_read(tag):
+    assert [b.text for b in html.leaf_blocks(f"<p>a<{tag} x='1'></p><article><p>b</p></article>")] == ["a", "b"]
+    closed = [b.text for b in html.leaf_blocks(f"<article><p>a <{tag}>c</{tag}> d</p></article>")]
+    assert closed == (["a d"] if tag == "template" else ["a c d"])
+
+
 @pytest.fixture(scope="module")
 def field():
     return html.trained_field()
