@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, langid, packing, simhash, substring
-from corpusloom.session import shared_path
+from corpusloom.llm import decontaminate, langid, packing, shingles, simhash, substring
+from corpusloom.session import materialize, shared_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # Texts further from every profile than any known language is from another are in none of them.
@@ -34,7 +34,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     A row with a repeated id is the same document again and goes. Documents
     without an id are no group's smallest; of these, one of each text stays.
     """
-    groups = simhash.near_duplicates(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    return _keep_smallest(docs, simhash.near_duplicates(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash groups first; of what they leave, one document of each group of five-word Jaccard similarity 0.8 or more.
+
+    Near copies down to 0.8 differ in up to some 15 bits, more than SimHash buckets can bring together.
+    """
+    # Written, as the second rule reads its documents more than once.
+    left = materialize(drop_near_duplicates(spark, docs, sf_dir), "simhash-kept")
+    return _keep_smallest(left, shingles.near_duplicates(left))
+
+
+def _keep_smallest(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    groups = groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     kept = groups.groupBy("doc_id").agg(F.lit(True).alias("keep")).select(F.col("doc_id").alias("kept_id"), "keep")
     rows = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(*COLUMNS)
     known = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
@@ -72,7 +86,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("language_id", identify_language),
-    ("simhash_dedup", drop_near_duplicates),
+    ("simhash_dedup", drop_near_copies),
     ("substring_dedup", cut_repeats),
     ("decontamination", decontaminate_documents),
     ("packing", pack_sequences),

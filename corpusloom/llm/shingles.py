@@ -1,0 +1,161 @@
+"""Near duplicates by the Jaccard similarity of word shingles: MinHash buckets propose, the whole sets decide."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corpusloom.llm.arrow import Texts, pieces
+from corpusloom.llm.buckets import meet, whole_groups
+from corpusloom.llm.components import connected_components
+from corpusloom.llm.words import MIX_1, WINDOW_BASES, find_words, mix, whole_windows, window_hashes, word_hashes
+from corpusloom.session import materialize
+
+SHINGLE = 5
+SIMILARITY = 0.8
+# A pair at similarity s meets in a band with probability 1 - (1 - s^BAND)^BANDS: 99.995 % at 0.8.
+BANDS = 25
+BAND = 5
+# Texts of a part of a hot bucket: two parts are in memory at once.
+PART_TEXTS = 1024
+# Tasks that the rows of one bucket are dealt over when it is chosen.
+SALTS = 16
+
+
+def shingle_hashes(texts: Texts, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all rows, and the first one of each row.
+
+    A-Z are lower-cased; words stand between ASCII white space. A text of fewer
+    words is one shingle, and so is a text without any.
+    """
+    data = texts.data
+    small = Texts(np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8), texts.bounds, texts.first)
+    words = find_words(small)
+    hashes = word_hashes(small, words)
+    sizes = words.counts
+    counts = np.maximum(sizes - shingle + 1, 1)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    out = np.zeros(bounds[-1], np.uint64)
+    out[np.repeat(sizes >= shingle, counts)] = window_hashes(hashes, shingle, WINDOW_BASES[0])[whole_windows(words, shingle)[0]]
+    for row in np.flatnonzero((sizes < shingle) & (sizes > 0)):
+        out[bounds[row]] = window_hashes(hashes[words.bounds[row] : words.bounds[row + 1]], int(sizes[row]), WINDOW_BASES[0])[0]
+    return out, bounds
+
+
+def band_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of each row, each made of the minima of ``BAND`` hash functions."""
+    rng = np.random.default_rng(5)
+    keys = np.zeros((len(bounds) - 1, BANDS), np.uint64)
+    for band in range(BANDS):
+        for factor in rng.integers(1 << 62, 1 << 63, BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1):
+            keys[:, band] = mix(keys[:, band] * np.uint64(MIX_1) + np.minimum.reduceat(hashes * factor, bounds[:-1]))
+    return keys
+
+
+def linked(sets: list[np.ndarray], at: int, rest: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the sets ``rest`` are at ``similarity`` or more to the set ``at``."""
+    own = sets[at]
+    sizes = np.array([len(sets[i]) for i in rest])
+    out = np.minimum(sizes, len(own)) >= similarity * np.maximum(sizes, len(own))
+    near = rest[out]
+    if len(near):
+        flat = np.concatenate([sets[i] for i in near])
+        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        sizes = sizes[out]
+        common = np.add.reduceat((own[place] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+        out[out] = common >= similarity * (sizes + len(own) - common) - 1e-9
+    return out
+
+
+def group_links(sets: list[np.ndarray], part: np.ndarray, cross: bool, similarity: float) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links of one group: a set that is found is not looked for again."""
+    rest, queue = np.arange(len(sets)), []
+    while len(rest):
+        if not queue:
+            queue, rest = [int(rest[0])], rest[1:]
+        at = queue.pop()
+        hit = linked(sets, at, rest, similarity)
+        if cross:
+            hit &= part[rest] != part[at]
+        queue.extend(rest[hit].tolist())
+        yield from ((at, int(i)) for i in rest[hit])
+        rest = rest[~hit]
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    similarity: float = SIMILARITY,
+    limit: int = PART_TEXTS,
+) -> DataFrame:
+    """``(<id_col>, component_id)``, one row per input row.
+
+    Texts link if the sets of their shingles have a Jaccard similarity of
+    ``similarity`` or more, and a component is named by its smallest id. Equal
+    texts are one node. Pairs are proposed by MinHash bands and decided on the
+    whole sets, so no pair below the bound links. Buckets with the same members
+    are searched once; the texts of those alone are moved. Null texts
+    count as empty, and texts without a word link with one another. A null id
+    stays null and never names a component that has another id.
+    """
+    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    given = docs.select(F.col(id_col).alias("id"), node.alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in pieces(batch.column(2)):
+                keys = band_keys(*shingle_hashes(texts, shingle)).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+                part = batch.slice(texts.first, len(texts))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["id", "node", "bands"])
+
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    marks = materialize(given.mapInArrow(sketch, schema), "sketches")
+    nodes = materialize(marks.groupBy("node").agg(F.min("id").alias("least"), F.first("bands").alias("bands")), "nodes")
+    joined = connected_components(_edges(given, nodes, shingle, similarity, limit))
+    rooted = nodes.join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = materialize(rooted.join(names, "root").select("node", "component_id"), "labels")
+    return marks.join(labels, "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def _edges(given: DataFrame, nodes: DataFrame, shingle: int, similarity: float, limit: int) -> DataFrame:
+    """``(a, b)``: nodes that link, enough of them to join each component."""
+    rows = nodes.select("node", F.posexplode("bands").alias("t", "k"))
+    buckets = rows.groupBy("t", "k").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("mark")
+    )
+    # One bucket of those with the same members.
+    chosen = buckets.where("n > 1").groupBy("n", "low", "high", "mark").agg(F.min(F.struct("t", "k")).alias("s")).select("s.t", "s.k")
+    chosen = materialize(chosen, "buckets").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    members = materialize(dealt.join(chosen, ["t", "k", "salt"]).select("t", "k", "node"), "members")
+    wanted = materialize(members.select("node").distinct(), "wanted")
+    # Equal texts are merged on the map side.
+    texts = given.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    placed = meet(materialize(members.join(texts, "node"), "member-texts"), ["t", "k"], F.col("node"), limit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, ["t", "k", "lo", "hi"]):
+            node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
+            cross = table.column("lo").to_numpy() != table.column("hi").to_numpy()
+            a, b = [], []
+            for first, last in zip(bounds[:-1], bounds[1:]):
+                column = table.column("text").slice(first, last - first).combine_chunks()
+                sets = []
+                for some in pieces(column):
+                    hashes, edges = shingle_hashes(some, shingle)
+                    sets += [np.unique(hashes[s:e]) for s, e in zip(edges[:-1], edges[1:])]
+                for i, j in group_links(sets, part[first:last], bool(cross[first]), similarity):
+                    a.append(node[first + i])
+                    b.append(node[first + j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return placed.mapInArrow(run, "a long, b long")

@@ -1,10 +1,11 @@
 """The pipeline's stages one by one, and the registered queries."""
 
 import corpus_pipeline as pipeline
+import numpy as np
 import pytest
 
 from __spark_entry__ import queries
-from corpusloom.llm import simhash
+from corpusloom.llm import shingles, simhash
 from corpusloom.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -34,6 +35,38 @@ def test_simhash_stage_keeps_the_smallest_of_each_group(spark, documents, sf_dir
     assert not kept & {100001, 100002} and kept & {1, 2}
 
 
+def test_near_copies_from_a_similarity_of_eight_tenths_go(spark, sf_dir, prose):
+    """Texts with some words changed, held against the Jaccard similarity of all pairs."""
+    texts, rng = [], np.random.default_rng(1)
+    for c in range(60):
+        words = prose(1000 + c, 300).split()
+        texts.append(" ".join(words))
+        for changes in (1, 3, 5, 6, 7, 8, 12):
+            other = list(words)
+            for at in rng.choice(len(words), changes, replace=False):
+                other[at] = f"x{c}"
+            texts.append(" ".join(other))
+    texts += ["one two", "One  two", "one three", "", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+
+    def least(among):
+        out = {i: i for i in among}
+        for _ in range(10):
+            for i, j in links:
+                if i in out and j in out:
+                    out[i] = out[j] = min(out[i], out[j])
+        return out
+
+    for limit in (3, 1024):
+        groups = shingles.near_duplicates(docs, limit=limit).collect()
+        assert {r.doc_id: r.component_id for r in groups} == least(range(len(texts)))
+    first = {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()}
+    kept = {r.doc_id for r in dict(pipeline.STAGES)["simhash_dedup"](spark, docs, sf_dir).collect()}
+    assert kept == set(least(first).values()) and 60 < len(kept) < len(first)
+
+
 def test_repeat_and_benchmark_stages(spark, sf_dir, prose):
     item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
     a, b = prose(1, 60), prose(2, 60)
