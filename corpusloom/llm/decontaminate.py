@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.arrow import Texts, pieces
 
-# Characters of a passage unit, edits allowed in it, and the q-gram length: a
-# unit within EDITS edits shares at least UNIT + 1 - Q * (EDITS + 1) q-grams.
+# Characters of a passage unit, edits allowed in it, and the q-gram length: any
+# unit of an item within EDITS edits shares at least UNIT + 1 - Q * (EDITS + 1) q-grams.
 UNIT = 80
 EDITS = 4
 Q = 12
@@ -70,17 +70,17 @@ def gram_keys(points: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Unit:
-    """A stretch of one benchmark item that is searched for with ``edits`` edits."""
+    """One benchmark item, any ``size`` characters of which are searched for with ``edits`` edits."""
 
     item: int
-    start: int
+    size: int
     points: np.ndarray
     edits: int
 
 
 @dataclass(frozen=True)
 class Index:
-    """Sorted q-grams of all units: key, unit and place in the unit."""
+    """Sorted q-grams of all items: key, item and place in the item."""
 
     units: tuple[Unit, ...]
     keys: np.ndarray
@@ -93,7 +93,7 @@ class Index:
 
     @classmethod
     def of(cls, items: list[tuple[int, str]], unit: int, edits: int, q: int) -> "Index":
-        units = [u for number, text in items for u in cut_units(number, text, unit, edits, q)]
+        units = [u for number, text in items for u in search_units(number, text, unit, edits, q)]
         keys = [gram_keys(u.points, q) for u in units]
         owner = np.repeat(np.arange(len(units)), [len(k) for k in keys]) if units else np.empty(0, np.int64)
         place = np.concatenate([np.arange(len(k)) for k in keys]) if units else np.empty(0, np.int64)
@@ -101,10 +101,10 @@ class Index:
         order = np.argsort(flat, kind="stable")
         table = np.zeros(1 << TABLE_BITS, bool)
         table[_slot(flat)] = True
-        bounds = [lemma_bound(len(u.points), u.edits, q) for u in units]
+        bounds = [lemma_bound(u.size, u.edits, q) for u in units]
         return cls(
             tuple(units), flat[order], owner[order], place[order], table, q,
-            min(bounds, default=1), max((len(u.points) + u.edits for u in units), default=1),
+            min(bounds, default=1), max((u.size + u.edits for u in units), default=1),
         )
 
 
@@ -117,21 +117,18 @@ def lemma_bound(length: int, edits: int, q: int) -> int:
     return length + 1 - q * (edits + 1)
 
 
-def cut_units(item: int, text: str, unit: int, edits: int, q: int) -> Iterator[Unit]:
-    """Stretches of ``unit`` characters half overlapping, or the whole of a shorter item.
+def search_units(item: int, text: str, unit: int, edits: int, q: int) -> Iterator[Unit]:
+    """The item, to be searched for by all its stretches of ``unit`` characters, or as a whole if it is shorter.
 
     A shorter item gets the share of the edits that keeps the lemma useful; one
     below ``LEAST_CHARS`` is left out.
     """
     points = fold(code_points(" ".join(text.split()).encode()))
-    if len(points) <= unit:
+    if len(points) > unit:
+        yield Unit(item, unit, points, edits)
+    elif len(points) >= max(q, LEAST_CHARS):
         own = min(edits * len(points) // unit, max(0, (len(points) + 1) // q - 2))
-        if len(points) >= max(q, LEAST_CHARS):
-            yield Unit(item, 0, points, own)
-        return
-    last = len(points) - unit
-    for start in [*range(0, last, unit // 2), last]:
-        yield Unit(item, start, points[start : start + unit], edits)
+        yield Unit(item, len(points), points, own)
 
 
 def squeeze(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,46 +144,48 @@ def squeeze(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def find_regions(points: np.ndarray, index: Index) -> np.ndarray:
-    """Rows ``(unit, first diagonal of a band)`` that meet the lemma's bound.
+    """Rows ``(item, start in it, first diagonal of a band)`` whose stretch meets the lemma's bound.
 
-    Hits of a unit are counted in bands of diagonals ``2 * edits + 1`` wide that
-    overlap by half and more, so that any match lies whole in one of them.
+    Hits are counted in bands of diagonals that overlap by half, so that any
+    match lies whole in one of them, and in a band for every start in the item.
     """
     keys = gram_keys(points, index.q)
     if not len(keys) or not len(index.keys):
-        return np.empty((0, 2), np.int64)
+        return np.empty((0, 3), np.int64)
     at = np.flatnonzero(index.table[_slot(keys)])
     # A match leaves at least `bound` hits within `span` characters, whatever the unit.
     at = _dense(at, index.bound, index.span)
     if not len(at):
-        return np.empty((0, 2), np.int64)
+        return np.empty((0, 3), np.int64)
     low = np.searchsorted(index.keys, keys[at], side="left")
     high = np.searchsorted(index.keys, keys[at], side="right")
     count = high - low
     if not count.any():
-        return np.empty((0, 2), np.int64)
+        return np.empty((0, 3), np.int64)
     spot = np.repeat(at, count)
     entry = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-    unit, diagonal = index.unit[entry], spot - index.place[entry]
+    unit, place = index.unit[entry], index.place[entry]
+    diagonal = spot - place
     edits = np.array([u.edits for u in index.units])[unit]
     width = edits + 1
     # Bands [k * width, (k + 2) * width): a match drifts over at most `edits` diagonals.
     band = diagonal // width
     bands = np.concatenate([np.stack([unit, band], 1), np.stack([unit, band - 1], 1)])
-    spots = np.concatenate([spot, spot])
-    order = np.lexsort((spots, bands[:, 1], bands[:, 0]))
-    bands, spots = bands[order], spots[order]
-    # One document place counts once in a band.
-    fresh = np.ones(len(bands), bool)
-    fresh[1:] = (bands[1:] != bands[:-1]).any(axis=1) | (spots[1:] != spots[:-1])
-    bands = bands[fresh]
+    places = np.concatenate([place, place])
+    order = np.lexsort((places, bands[:, 1], bands[:, 0]))
+    bands, places = bands[order], places[order]
     first = np.flatnonzero(np.concatenate([[True], (bands[1:] != bands[:-1]).any(axis=1)]))
-    counts = np.diff(np.append(first, len(bands)))
-    need = np.array([lemma_bound(len(u.points), u.edits, index.q) for u in index.units])
-    chosen = bands[first[counts >= need[bands[first, 0]]]]
-    if len(chosen):
-        chosen[:, 1] *= np.array([u.edits for u in index.units])[chosen[:, 0]] + 1
-    return chosen
+    last = np.append(first[1:], len(bands))
+    need = np.array([lemma_bound(u.size, u.edits, index.q) for u in index.units])
+    out = [np.empty((0, 3), np.int64)]
+    for a, b in zip(*(x[last - first >= need[bands[first, 0]]] for x in (first, last))):
+        at, unit = int(bands[a, 0]), index.units[bands[a, 0]]
+        own, grams = places[a:b], unit.size + 1 - index.q
+        starts = np.arange(max(0, own[0] - grams + 1), min(len(unit.points) - unit.size, own[-1]) + 1)
+        starts = starts[np.searchsorted(own, starts + grams) - np.searchsorted(own, starts) >= need[at]]
+        diagonal = bands[a, 1] * (unit.edits + 1)
+        out.append(np.stack([np.full(len(starts), at), starts, np.full(len(starts), diagonal)], 1))
+    return np.concatenate(out)
 
 
 def _dense(at: np.ndarray, bound: int, span: int) -> np.ndarray:
@@ -237,10 +236,10 @@ def row_matches(points: np.ndarray, index: Index) -> list[tuple[int, int, int, i
     """``(item, start, end, edits)`` of the verified units of one text, in its own characters."""
     squeezed, origin = squeeze(points)
     regions = find_regions(squeezed, index)
-    shapes: dict[tuple[int, int], list[tuple[Unit, int]]] = {}
-    for unit_at, diagonal in regions:
+    shapes: dict[tuple[int, int], list[tuple[Unit, int, int]]] = {}
+    for unit_at, start, diagonal in regions.tolist():
         unit = index.units[unit_at]
-        shapes.setdefault((len(unit.points), unit.edits), []).append((unit, int(diagonal) - unit.edits))
+        shapes.setdefault((unit.size, unit.edits), []).append((unit, start, start + diagonal - unit.edits))
     found = []
     for (m, edits), group in shapes.items():
         for at in range(0, len(group), VERIFY_ROWS):
@@ -248,17 +247,17 @@ def row_matches(points: np.ndarray, index: Index) -> list[tuple[int, int, int, i
     return found
 
 
-def _verify(squeezed: np.ndarray, origin: np.ndarray, group: list[tuple[Unit, int]], m: int, edits: int) -> Iterator[tuple]:
+def _verify(squeezed: np.ndarray, origin: np.ndarray, group: list[tuple[Unit, int, int]], m: int, edits: int) -> Iterator[tuple]:
     """Matches of units of one shape from the given first characters on, which may lie before the text."""
     # The band's own diagonals and `edits` more on either side.
     reach = m + 4 * edits + 3
     texts = np.full((len(group), reach), 0xFFFFFFFF, np.uint32)
-    for k, (_, first) in enumerate(group):
+    for k, (_, _, first) in enumerate(group):
         part = squeezed[max(0, first) : max(0, first + reach)]
         texts[k, max(0, -first) : max(0, -first) + len(part)] = part
-    sizes = np.minimum(len(squeezed) - np.array([first for _, first in group]), reach)
-    patterns = np.stack([unit.points for unit, _ in group])
-    for (unit, first), start, end, cost in zip(group, *banded_matches(patterns, texts, sizes, edits)):
+    sizes = np.minimum(len(squeezed) - np.array([first for _, _, first in group]), reach)
+    patterns = np.stack([unit.points[at : at + m] for unit, at, _ in group])
+    for (unit, _, first), start, end, cost in zip(group, *banded_matches(patterns, texts, sizes, edits)):
         start, end = max(0, first + int(start)), first + int(end)
         if cost <= edits and end > start:
             yield unit.item, int(origin[start]), int(origin[end - 1]) + 1, int(cost)
@@ -314,7 +313,7 @@ def find_passages(
 ) -> DataFrame:
     """All columns of ``docs`` and ``passages``: ``array<struct<item_id, start, end, edits>>``.
 
-    A passage is a stretch of ``unit`` characters of a benchmark item (a whole
+    A passage is any stretch of ``unit`` characters of a benchmark item (a whole
     item if it is shorter) that the text holds with at most ``edits`` edits, case
     and the width of white space apart. ``start`` and ``end`` are code points of
     the text; overlapping passages of an item are one.

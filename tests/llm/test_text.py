@@ -259,6 +259,19 @@ def test_passages_with_edits_are_found(spark, prose):
     assert decontaminate.find_passages(docs, benchmark.limit(0)).where("size(passages) > 0").count() == 0
 
 
+def test_partial_copies_are_found_at_every_place(prose):
+    item = prose(1, 60)[:300]
+    index = decontaminate.Index.of([(7, item)], decontaminate.UNIT, decontaminate.EDITS, decontaminate.Q)
+    for at in range(0, 221):
+        for text in (item[at : at + 80], edit(item[at : at + 84], [("sub", 20), ("del", 40), ("del", 60), ("sub", 75)])):
+            for before in ("", "Zq~ " * 9):
+                found = decontaminate.row_matches(decontaminate.code_points((before + text + " ~Zq" * 9).encode()), index)
+                if at + 84 <= 300 or len(text) == 80:
+                    assert [m[0] for m in decontaminate.merged(found)] == [7], (at, text)
+        # Six characters fewer than a passage are more edits than allowed.
+        assert not decontaminate.row_matches(decontaminate.code_points(("~" * 30 + item[at : at + 74] + "~" * 30).encode()), index)
+
+
 def test_banded_alignment_equals_full_alignment():
     rng = np.random.default_rng(6)
     for _ in range(200):
