@@ -36,7 +36,8 @@ SPREAD = 0x9E3779B97F4A7C15
 def _folding() -> np.ndarray:
     table = np.arange(0x110000, dtype=np.uint32)
     table[65:91] += 32
-    table[9:14] = 32
+    # All white space is in the basic plane.
+    table[[c for c in range(0x10000) if chr(c).isspace()]] = 32
     return table
 
 

@@ -272,6 +272,15 @@ def test_partial_copies_are_found_at_every_place(prose):
         assert not decontaminate.row_matches(decontaminate.code_points(("~" * 30 + item[at : at + 74] + "~" * 30).encode()), index)
 
 
+def test_white_space_of_any_kind_is_one(prose):
+    item = prose(1, 60)[:300]
+    index = decontaminate.Index.of([(7, item)], decontaminate.UNIT, decontaminate.EDITS, decontaminate.Q)
+    for blank in ("\u00a0", "\u3000", "\u2028", "\u00a0 \u2003"):
+        text = "x " + item.replace(" ", blank)
+        (found,) = decontaminate.merged(decontaminate.row_matches(decontaminate.code_points(text.encode()), index))
+        assert found[1:] == (2, len(text), 0)
+
+
 def test_banded_alignment_equals_full_alignment():
     rng = np.random.default_rng(6)
     for _ in range(200):
