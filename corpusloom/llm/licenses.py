@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -16,8 +17,6 @@ from corpusloom.llm.license_texts import TEMPLATES
 from corpusloom.llm.words import WINDOW_BASES, Words, find_words, window_hashes, word_hashes
 
 THRESHOLD = 0.8
-# Words without a template bigram that may stand inside one region.
-GAP = 4
 # Normalised words are runs of ASCII letters and digits and of all bytes beyond ASCII.
 BREAKS = np.array([not (chr(b).isalnum() or b >= 0x80) if b < 0x80 else False for b in range(256)])
 
@@ -31,15 +30,18 @@ class Bigrams:
 
 
 @lru_cache(maxsize=8)
-def _templates(texts: tuple[tuple[str, str], ...]) -> tuple[tuple[Bigrams, ...], np.ndarray]:
-    """Templates by size, and all their bigrams sorted."""
+def _templates(texts: tuple[tuple[str, str], ...]) -> tuple[tuple[Bigrams, ...], np.ndarray, np.ndarray]:
+    """Templates by size, all their bigrams sorted, and how often each template has each of them."""
     out = []
     for name, text in texts:
         data = np.frombuffer(text.encode(), np.uint8)
         out.append(Bigrams(name, np.sort(_Normal(Texts(data, np.array([0, len(data)]), 0)).bigrams())))
     out.sort(key=lambda t: (len(t.values), t.license_id))
     every = np.unique(np.concatenate([t.values for t in out])) if out else np.empty(0, np.uint64)
-    return tuple(out), every
+    counts = np.zeros((len(out), len(every)), np.int32)
+    for row, template in zip(counts, out):
+        np.add.at(row, np.searchsorted(every, template.values), 1)
+    return tuple(out), every, counts
 
 
 class _Normal:
@@ -68,67 +70,64 @@ def size_range(size: int, threshold: float) -> tuple[float, float]:
     return size * threshold / (2 - threshold), size * (2 - threshold) / threshold
 
 
-def best_template(region: np.ndarray, templates: Sequence[Bigrams], threshold: float) -> tuple[str, float] | None:
-    """The template of the largest coefficient from ``threshold`` up; equal ones by size, then name."""
-    low, high = size_range(len(region), threshold)
-    best = None
-    for template in templates:
-        if low <= len(template.values) <= high:
-            value = dice(region, template.values)
-            if value >= threshold and (best is None or value > best[1]):
-                best = template.license_id, value
-    return best
+def best_windows(at: np.ndarray, codes: np.ndarray, counts: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
+    """``(first, last, dice)``: for every start the best window of bigrams from ``threshold`` up, the longest of equal ones.
 
-
-def regions(known: np.ndarray, breaks: np.ndarray, gap: int) -> list[tuple[int, int]]:
-    """Runs of bigrams [a, b) that begin and end in known ones, with up to ``gap`` unknown between.
-
-    ``breaks`` marks bigrams over a line end: the lines of a run are regions too,
-    so that two notices on neighbouring lines are both found.
+    ``at`` and ``codes`` are places and kinds of the template's bigrams in a
+    text, ``counts`` how often the template has each kind. A best window begins
+    and ends in such bigrams, and ``size_range`` bounds it and their number.
     """
-    at = np.flatnonzero(known)
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > gap + 1)
-    out = []
-    for a, b in zip(np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(at) - 1]])):
-        first, last = int(at[a]), int(at[b]) + 1
-        out.append((first, last))
-        lines = np.flatnonzero(breaks[first:last]) + first
-        if len(lines):
-            edges = [first - 1, *lines.tolist(), last]
-            out.extend((s + 1, e) for s, e in zip(edges[:-1], edges[1:]) if e > s + 1)
-    return out
-
-
-def scan_row(normal: _Normal, row: int, templates, every: np.ndarray, bigrams: np.ndarray, known: np.ndarray, threshold: float):
+    size = int(counts.sum())
+    low, high = size_range(size, threshold)
+    least = max(1, int(np.ceil(low - 1e-9)))
+    if len(at) < least:
+        return
+    near = at[least - 1 :] - at[: len(at) - least + 1] + 1 <= high + 1e-9
+    ends = np.searchsorted(at, at + high + 1e-9 - 1, side="right")
+    for i in np.flatnonzero(near).tolist():
+        own = codes[i : ends[i]]
+        order = np.argsort(own, kind="stable")
+        kinds = own[order]
+        rank = np.empty(len(own), np.int64)
+        rank[order] = np.arange(len(own)) - np.searchsorted(kinds, kinds, side="left")
+        value = 2.0 * np.cumsum(rank < counts[own]) / (at[i : ends[i]] - at[i] + 1 + size)
+        j = len(value) - 1 - int(value[::-1].argmax())
+        if value[j] >= threshold:
+            yield int(at[i]), int(at[i + j]), float(value[j])
+
+
+def scan_row(normal: _Normal, row: int, templates, counts: np.ndarray, kinds: np.ndarray, known: np.ndarray, threshold: float):
     words = normal.words
     a, b = int(words.bounds[row]), int(words.bounds[row + 1])
-    if b - a < 2 or not known[a : b - 1].any():
+    if b - a < 2:
         return []
-    data = normal.texts.data
-    newline = np.concatenate([[0], np.cumsum(data[words.starts[a] : words.ends[b - 1]] == 10)])
-    base = words.starts[a]
-    crosses = newline[words.starts[a + 1 : b] - base] > newline[words.ends[a : b - 1] - base]
-    found = []
-    for s, e in regions(known[a : b - 1], crosses, GAP):
-        hit = best_template(np.sort(bigrams[a + s : a + e]), templates, threshold)
-        if hit is not None:
-            start, end = int(words.starts[a + s]), int(words.ends[a + e])
-            offset = int(normal.texts.bounds[row])
-            before = int(((data[offset:start] & 0xC0) != 0x80).sum())
-            length = int(((data[start:end] & 0xC0) != 0x80).sum())
-            found.append((hit[0], hit[1], before, before + length))
-    return _best_of_overlaps(found)
+    at = np.flatnonzero(known[a : b - 1])
+    held = counts[:, kinds[a + at]] > 0
+    least = [size_range(len(t.values), threshold)[0] - 1e-9 for t in templates]
+    windows = []
+    for t in np.flatnonzero((held.sum(axis=1) >= least) & held.any(axis=1)):
+        spots = at[held[t]]
+        for s, e, value in best_windows(spots, kinds[a + spots], counts[t], threshold):
+            windows.append((templates[t].license_id, value, s, e + 1))
+    found, data, offset = [], normal.texts.data, int(normal.texts.bounds[row])
+    for name, value, s, e in _best_of_overlaps(windows):
+        # The bigram before ``e`` ends with the word ``e``.
+        start, end = int(words.starts[a + s]), int(words.ends[a + e])
+        before = int(((data[offset:start] & 0xC0) != 0x80).sum())
+        found.append((name, value, before, before + int(((data[start:end] & 0xC0) != 0x80).sum())))
+    return found
 
 
 def _best_of_overlaps(found: list[tuple]) -> list[tuple]:
-    """Of overlapping regions the one with the larger coefficient, then the longer one."""
+    """Of overlapping windows the one with the larger coefficient, then the longer one."""
+    starts: list[int] = []
     kept: list[tuple] = []
     for hit in sorted(found, key=lambda h: (-h[1], h[2] - h[3], h[2])):
-        if all(hit[3] <= k[2] or hit[2] >= k[3] for k in kept):
-            kept.append(hit)
-    return sorted(kept, key=lambda h: h[2])
+        i = bisect_left(starts, hit[2])
+        if (i == 0 or kept[i - 1][3] <= hit[2]) and (i == len(kept) or kept[i][2] >= hit[3]):
+            starts.insert(i, hit[2])
+            kept.insert(i, hit)
+    return kept
 
 
 def scan_licenses(
@@ -141,9 +140,9 @@ def scan_licenses(
     """``(<id_col>, license_id, dice, start, end)``, one row per licence text found.
 
     Texts are read as normal words (ASCII lower case, split at everything but
-    letters and digits). Stretches made of template bigrams, and the lines in
-    them, are compared as multisets of bigrams with the templates whose size
-    bound allows ``threshold``; of overlapping finds the best stays. ``start``
+    letters and digits). For each template all windows whose size allows
+    ``threshold`` are compared with it as multisets of bigrams, wherever they
+    begin and whatever stands around them; of overlapping finds the best stays. ``start``
     and ``end`` are code points of the text.
 
     Texts are scanned in place, without a shuffle. Null and empty texts and
@@ -163,7 +162,7 @@ def scan_licenses(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, every = _templates(pairs)
+        own, every, counts = _templates(pairs)
         for batch in batches:
             for texts in pieces(batch.column("text")):
                 normal = _Normal(texts)
@@ -172,7 +171,7 @@ def scan_licenses(
                 known = every[at] == bigrams if len(every) else np.zeros(len(bigrams), bool)
                 # Rows with a known bigram; the others cannot reach any template.
                 touched = np.unique(np.searchsorted(normal.words.bounds, np.flatnonzero(known), side="right") - 1)
-                found = [(int(row), *hit) for row in touched for hit in scan_row(normal, row, own, every, bigrams, known, threshold)]
+                found = [(int(row), *hit) for row in touched for hit in scan_row(normal, row, own, counts, at, known, threshold)]
                 ids = batch.column("id").slice(texts.first, len(texts))
                 columns = list(zip(*found)) or [(), (), (), (), ()]
                 yield pa.RecordBatch.from_arrays(

@@ -220,6 +220,35 @@ def test_licences_are_found_in_place(spark, prose):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_licences_are_found_in_a_sentence_and_with_names_filled_in(spark, prose):
+    bsd = next(t for name, t in TEMPLATES if name == "BSD-3-Clause")
+    cases = [
+        (bsd.replace("the copyright holder nor", "the University of California, Berkeley nor"), ["BSD-3-Clause"]),
+        (bsd.replace("Neither the name", "In all cases and without any further notice by us neither the name"), ["BSD-3-Clause"]),
+        ("This is part of the work. Released under the MIT License.", ["MIT"]),
+        (f"{prose(1, 30)} this work, the work. Released under the MIT License. {prose(2, 30)} Released under the MIT License and more", ["MIT", "MIT"]),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    rows = licenses.scan_licenses(docs).orderBy("doc_id", "start").collect()
+    for i, (text, want) in enumerate(cases):
+        assert [r.license_id for r in rows if r.doc_id == i] == want, i
+    for r in rows[2:]:
+        assert cases[r.doc_id][0][r.start : r.end] == "Released under the MIT License" and r.dice == 1.0
+
+
+def test_best_windows_equal_brute_force():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        counts = rng.integers(0, 3, 6)
+        counts[0] += 1
+        kinds = rng.integers(0, 9, 40)
+        at = np.flatnonzero((kinds < 6) & (np.append(counts, [0, 0, 0])[kinds] > 0))
+        template = np.repeat(np.arange(6), counts)
+        want = max(licenses.dice(np.sort(kinds[s:e]), template) for s in range(40) for e in range(s + 1, 41))
+        got = max((v for *_, v in licenses.best_windows(at, kinds[at], counts, 0.8)), default=0)
+        assert got == (pytest.approx(want) if want >= 0.8 else 0)
+
+
 def test_size_bound_loses_nothing():
     rng = np.random.default_rng(3)
     for _ in range(300):
