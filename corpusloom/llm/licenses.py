@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from corpusloom.llm.arrow import Texts, pieces
-from corpusloom.llm.license_texts import TEMPLATES
+from corpusloom.llm.license_texts import TELLING, TELLING_FAMILIES, TEMPLATES
 from corpusloom.llm.words import WINDOW_BASES, Words, find_words, window_hashes, word_hashes
 
 THRESHOLD = 0.8
@@ -27,6 +28,7 @@ class Bigrams:
 
     license_id: str
     values: np.ndarray
+    telling: frozenset[str] | None = None
 
 
 @lru_cache(maxsize=8)
@@ -35,7 +37,8 @@ def _templates(texts: tuple[tuple[str, str], ...]) -> tuple[tuple[Bigrams, ...],
     out = []
     for name, text in texts:
         data = np.frombuffer(text.encode(), np.uint8)
-        out.append(Bigrams(name, np.sort(_Normal(Texts(data, np.array([0, len(data)]), 0)).bigrams())))
+        values = np.sort(_Normal(Texts(data, np.array([0, len(data)]), 0)).bigrams())
+        out.append(Bigrams(name, values, telling_words(text) if name.startswith(TELLING_FAMILIES) else None))
     out.sort(key=lambda t: (len(t.values), t.license_id))
     every = np.unique(np.concatenate([t.values for t in out])) if out else np.empty(0, np.uint64)
     counts = np.zeros((len(out), len(every)), np.int32)
@@ -58,6 +61,11 @@ class _Normal:
         return window_hashes(self.hashes, 2, WINDOW_BASES[0])
 
 
+def telling_words(text: str) -> frozenset[str]:
+    """The words of a text that tell a licence from its relatives."""
+    return frozenset(re.findall("[a-z0-9]+", text.lower())) & TELLING
+
+
 def dice(a: np.ndarray, b: np.ndarray) -> float:
     """2 |a and b| / (|a| + |b|) of two sorted arrays with repeats."""
     values, counts = np.unique(a, return_counts=True)
@@ -108,7 +116,10 @@ def scan_row(normal: _Normal, row: int, templates, counts: np.ndarray, kinds: np
     for t in np.flatnonzero((held.sum(axis=1) >= least) & held.any(axis=1)):
         spots = at[held[t]]
         for s, e, value in best_windows(spots, kinds[a + spots], counts[t], threshold):
-            windows.append((templates[t].license_id, value, s, e + 1))
+            stretch = slice(int(words.starts[a + s]), int(words.ends[min(a + e + 1, b - 1)]))
+            telling = templates[t].telling
+            if telling is None or telling == telling_words(normal.texts.data[stretch].tobytes().decode("utf-8", "replace")):
+                windows.append((templates[t].license_id, value, s, e + 1))
     found, data, offset = [], normal.texts.data, int(normal.texts.bounds[row])
     for name, value, s, e in _best_of_overlaps(windows):
         # The bigram before ``e`` ends with the word ``e``.

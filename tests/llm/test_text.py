@@ -236,6 +236,18 @@ def test_licences_are_found_in_a_sentence_and_with_names_filled_in(spark, prose)
         assert cases[r.doc_id][0][r.start : r.end] == "Released under the MIT License" and r.dice == 1.0
 
 
+def test_versions_and_kinds_of_licences_are_told_apart(spark):
+    docs = spark.createDataFrame([(i, f"Some words. {t} Some more.") for i, (_, t) in enumerate(TEMPLATES)], "doc_id long, text string")
+    found = {}
+    for r in licenses.scan_licenses(docs).collect():
+        found.setdefault(r.doc_id, []).append(r.license_id)
+    assert found == {i: [name] for i, (name, _) in enumerate(TEMPLATES)}
+    gpl = next(t for name, t in TEMPLATES if name == "GPL-3.0")
+    others = [gpl.replace("version 3", "version 9"), gpl.replace("version 3", "version 2"), "Licensed under CC BY 4.0."]
+    docs = spark.createDataFrame(list(enumerate(others)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.license_id) for r in licenses.scan_licenses(docs).collect()) == [(1, "GPL-2.0"), (2, "CC-BY-4.0")]
+
+
 def test_best_windows_equal_brute_force():
     rng = np.random.default_rng(11)
     for _ in range(60):
