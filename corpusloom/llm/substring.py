@@ -160,7 +160,7 @@ def _earliest(id_type: T.DataType) -> tuple[Column, Column, Column]:
 def first_windows(docs: DataFrame, window: int, live: Broadcast, bits: int) -> DataFrame:
     """``(id, firsts)``: where the windows around live anchors start for the first time.
 
-    Windows are told apart by 96 bits of hash, and the smallest (id, position)
+    Windows are told apart by 96 bits of hash over two independent values of each word, and the smallest (id, position)
     of each is an aggregate that combines on the map side.
     """
     schema = T.StructType(
@@ -176,7 +176,10 @@ def first_windows(docs: DataFrame, window: int, live: Broadcast, bits: int) -> D
         piece = Piece(texts, window)
         at, inside = piece.candidates(piece.useful & _in_filter(live.value, piece.anchors, bits))
         row = np.searchsorted(piece.words.bounds, at, side="right") - 1
-        h1, h2 = (window_hashes(piece.hashes, window, base)[at] for base in WINDOW_BASES)
+        h1 = window_hashes(piece.hashes, window, WINDOW_BASES[0])[at]
+        # Of word values of its own: what makes two words equal in h1 does not do so here.
+        others = word_hashes(texts, piece.words, seed=1) if len(at) else piece.hashes
+        h2 = window_hashes(others, window, WINDOW_BASES[1])[at]
         half = (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
         return pa.RecordBatch.from_arrays(
             [ids.take(pa.array(row)), *_longs(h1, half, inside.astype(np.int32))], names=["id", "h1", "h2", "pos"]

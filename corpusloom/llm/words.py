@@ -7,9 +7,9 @@ A word is a run of bytes outside space and tab..carriage return, which is
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 from corpusloom.llm.arrow import Texts
 
@@ -17,10 +17,14 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 # Odd multipliers and the mixing constants of the splitmix64 generator.
-BYTE_BASE = 0xD6E8FEB86659FD93
 WINDOW_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 MASK = (1 << 64) - 1
+# Bytes that one step of a word hash takes, and the masks of a step's last bytes.
+LANE = 8
+LANE_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(LANE + 1)], np.uint64)
+# Longer words are hashed one by one.
+LONG_WORD = 512
 
 
 def mix(z: np.ndarray) -> np.ndarray:
@@ -30,18 +34,6 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, count: int) -> np.ndarray:
-    steps = np.full(count, base, np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
-
-
-def powers(base: int, count: int) -> np.ndarray:
-    """``base`` to 0 .. count - 1 modulo 2^64."""
-    return _powers(base, 1 << max(19, (count - 1).bit_length()))[:count]
-
-
 @dataclass(frozen=True)
 class Words:
     """Start and end byte of every word, and the bounds of each row among the words."""
@@ -73,17 +65,30 @@ def find_words(texts: Texts, breaks: np.ndarray = SPACE) -> Words:
     return Words(starts, np.flatnonzero(after & ~space) + 1, np.searchsorted(starts, texts.bounds))
 
 
-def word_hashes(texts: Texts, words: Words) -> np.ndarray:
-    """One 64-bit value for each word, equal for equal bytes wherever they stand."""
-    if not len(words.starts):
-        return np.empty(0, np.uint64)
-    n = len(texts.data)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((texts.data.astype(np.uint64) + np.uint64(1)) * powers(BYTE_BASE, n), out=sums[1:])
-    inverse = powers(pow(BYTE_BASE, -1, 1 << 64), n)
-    value = (sums[words.ends] - sums[words.starts]) * inverse[words.starts]
-    return mix(value ^ (words.ends - words.starts).astype(np.uint64))
+def word_hashes(texts: Texts, words: Words, seed: int = 0) -> np.ndarray:
+    """One 64-bit value for each word, equal for equal bytes wherever they stand.
+
+    Eight bytes at a time go through a bijection that is not linear, so words of
+    one length up to eight bytes never share a value, and longer ones do so by
+    chance only. Values of different seeds are independent.
+    """
+    lengths = words.ends - words.starts
+    data = np.concatenate([texts.data, np.zeros(LANE, np.uint8)])
+    lanes = np.ndarray(len(texts.data) + 1, "<u8", data, 0, (1,))
+    out = mix(lengths.astype(np.uint64) * np.uint64(WINDOW_BASES[0]) + np.uint64(seed * MIX_2 & MASK))
+    long = lengths > LONG_WORD
+    # All words have a first step, so it needs no choice of rows.
+    out = mix(out ^ (lanes[words.starts] & LANE_MASKS[np.minimum(lengths, LANE)]))
+    rest = np.flatnonzero((lengths > LANE) & ~long)
+    at = LANE
+    while len(rest):
+        part = lanes[words.starts[rest] + at] & LANE_MASKS[np.minimum(lengths[rest] - at, LANE)]
+        out[rest] = mix(out[rest] ^ part)
+        at += LANE
+        rest = rest[lengths[rest] > at]
+    for i in np.flatnonzero(long):
+        out[i] = xxhash.xxh64_intdigest(texts.data[words.starts[i] : words.ends[i]].tobytes(), seed)
+    return out
 
 
 def window_hashes(hashes: np.ndarray, size: int, base: int) -> np.ndarray:
