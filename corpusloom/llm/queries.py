@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontaminate, html, langid, licenses, packing, simhash, substring, vectors, warc
+from corpusloom.llm import (
+    chat, decontaminate, html, langid, licenses, negatives, packing, simhash, substring, vectors, warc, whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,6 +99,18 @@ def op10_embedding_groups(spark, sf_dir):
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    """Hard negatives after every seventh row has changed its label."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 ORACLE: dict[str, str] = {
     "op4_warc_bundles": """
         WITH p AS (
@@ -156,4 +170,28 @@ ORACLE: dict[str, str] = {
         SELECT c.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept
         FROM c LEFT JOIN n ON c.vec_id = n.vec_id
     """,
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+                   list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+            WHERE a.vec_id % 50 = 0
+        ), p AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        ), n AS (
+            SELECT p.*, s.other_id AS negative_id, s.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other_id) AS nth
+            FROM p JOIN s ON p.anchor_id = s.anchor_id
+            WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+        )
+        SELECT anchor_id, positive_id, nth::INTEGER AS rank, negative_id, positive_score, negative_score
+        FROM n WHERE nth <= 3
+    """,
 }
