@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
-    chat, decontaminate, html, langid, licenses, negatives, packing, simhash, substring, vectors, warc, whitening,
+    chat, decontaminate, html, langid, licenses, negatives, packing, pitman_yor, simhash, substring, vectors, warc, whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +111,11 @@ def op12_hard_negatives(spark, sf_dir):
     return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
 
 
+@query
+def op13_pitman_yor_scores(spark, sf_dir):
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
 ORACLE: dict[str, str] = {
     "op4_warc_bundles": """
         WITH p AS (
