@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import materialize
+from corpusloom.session import materialize, release
 
 # Tasks that the edges of one node are dealt over when its minimum comes back to them.
 SALTS = 16
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``edges`` holds ``a, b`` of one orderable type without nulls; loops are
     ignored. ``component`` is the smallest node reachable. Each round is written
-    to the shared folder, and the edges shrink towards one star per component;
+    to the shared folder in place of the last, and the edges shrink towards one star per component;
     rounds grow with the logarithm of the longest chain. Minima combine on the
     map side, so a hub is one row per task in that shuffle, and the join that
     carries them back deals a hub's rows over ``SALTS`` tasks.
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = materialize(edges.where(F.col("a") != F.col("b")).select(high, low).distinct(), "edges")
     mark = _mark(current)
     while mark[0]:
-        current = materialize(_small_star(_large_star(current)), "edges")
+        last, current = current, materialize(_small_star(_large_star(current)), "edges")
+        release(last)
         before, mark = mark, _mark(current)
         if mark == before:
             break

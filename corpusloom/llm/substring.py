@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from decimal import Decimal
 
 import numpy as np
@@ -93,12 +93,12 @@ def _in_filter(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, schema: str | T.StructType, rows) -> DataFrame:
-    """``rows(piece, ids)`` over all pieces of ``(id, text)`` rows."""
+    """``rows(texts, their rows)`` over all pieces of ``(id, text, ..)`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in pieces(batch.column("text")):
-                yield rows(texts, batch.column("id").slice(texts.first, len(texts)))
+                yield rows(texts, batch.slice(texts.first, len(texts)))
 
     return docs.mapInArrow(run, schema)
 
@@ -110,7 +110,7 @@ def _longs(*arrays: np.ndarray) -> list[pa.Array]:
 def reference_blocks(docs: DataFrame, window: int) -> DataFrame:
     """``(anchor)``: hashes of the non-overlapping blocks of all rows."""
 
-    def rows(texts: Texts, _ids: pa.Array) -> pa.RecordBatch:
+    def rows(texts: Texts, _rows: pa.RecordBatch) -> pa.RecordBatch:
         piece = Piece(texts, window)
         return pa.RecordBatch.from_arrays(_longs(np.unique(piece.anchors[piece.aligned])), names=["anchor"])
 
@@ -120,7 +120,7 @@ def reference_blocks(docs: DataFrame, window: int) -> DataFrame:
 def probe_hits(docs: DataFrame, window: int, blocks: Broadcast, bits: int) -> DataFrame:
     """``(anchor, n, aligned)``: rolling windows that may equal a block, and the blocks themselves."""
 
-    def rows(texts: Texts, _ids: pa.Array) -> pa.RecordBatch:
+    def rows(texts: Texts, _rows: pa.RecordBatch) -> pa.RecordBatch:
         piece = Piece(texts, window)
         # Aligned windows are in the filter by construction.
         keep = piece.useful & _in_filter(blocks.value, piece.anchors, bits)
@@ -172,7 +172,7 @@ def first_windows(docs: DataFrame, window: int, live: Broadcast, bits: int) -> D
         ]
     )
 
-    def rows(texts: Texts, ids: pa.Array) -> pa.RecordBatch:
+    def rows(texts: Texts, given: pa.RecordBatch) -> pa.RecordBatch:
         piece = Piece(texts, window)
         at, inside = piece.candidates(piece.useful & _in_filter(live.value, piece.anchors, bits))
         row = np.searchsorted(piece.words.bounds, at, side="right") - 1
@@ -182,7 +182,7 @@ def first_windows(docs: DataFrame, window: int, live: Broadcast, bits: int) -> D
         h2 = window_hashes(others, window, WINDOW_BASES[1])[at]
         half = (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
         return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(row)), *_longs(h1, half, inside.astype(np.int32))], names=["id", "h1", "h2", "pos"]
+            [given.column("id").take(pa.array(row)), *_longs(h1, half, inside.astype(np.int32))], names=["id", "h1", "h2", "pos"]
         )
 
     earliest, own_id, own_pos = _earliest(docs.schema["id"].dataType)
@@ -192,22 +192,24 @@ def first_windows(docs: DataFrame, window: int, live: Broadcast, bits: int) -> D
     return starts.groupBy("id").agg(F.collect_list("pos").alias("firsts"))
 
 
-def kept_words(docs: DataFrame, firsts: DataFrame, window: int, live: Broadcast, bits: int) -> DataFrame:
-    """``(id, n_words, n_removed, kept)`` after the words of later windows are cut out.
+def kept_words(docs: DataFrame, firsts: DataFrame, window: int, live: Broadcast, bits: int, as_written: bool) -> DataFrame:
+    """``(id, .., n_words, n_removed, kept)`` after the words of later windows are cut out.
 
     Every candidate window that is not the first of its kind is removed. Only
     texts with a candidate window meet the starts of their first windows in a
-    join; the others are finished where they are read.
+    join; the others are finished where they are read. Columns of ``docs``
+    besides ``id`` and ``text`` go along.
     """
-    id_field = docs.schema["id"]
+    along = [f for f in docs.schema.fields if f.name != "text"]
     schema = T.StructType(
         [
-            id_field,
+            *along,
             T.StructField("n_words", T.LongType()),
             T.StructField("n_removed", T.LongType()),
             T.StructField("kept", T.StringType()),
         ]
     )
+    names = [f.name for f in along]
 
     def touched(piece: Piece) -> np.ndarray:
         at, _ = piece.candidates(piece.useful & _in_filter(live.value, piece.anchors, bits))
@@ -215,17 +217,14 @@ def kept_words(docs: DataFrame, firsts: DataFrame, window: int, live: Broadcast,
         out[np.searchsorted(piece.words.bounds, at, side="right") - 1] = True
         return out
 
-    def finished(texts: Texts, ids: pa.Array) -> pa.RecordBatch:
+    def finished(texts: Texts, given: pa.RecordBatch) -> pa.RecordBatch:
         piece = Piece(texts, window)
         plain = pa.array(~touched(piece))
         keep = np.ones(len(piece.words.starts), bool)
-        return _result(ids, piece, keep).filter(plain)
+        return _result(given.select(names), piece, keep, as_written).filter(plain)
 
-    def pending(texts: Texts, ids: pa.Array) -> pa.RecordBatch:
-        rows = np.flatnonzero(touched(Piece(texts, window)))
-        data, bounds = texts.data.tobytes(), texts.bounds
-        own = pa.array([data[bounds[r] : bounds[r + 1]].decode() for r in rows], pa.string())
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), own], names=["id", "text"])
+    def pending(texts: Texts, given: pa.RecordBatch) -> pa.RecordBatch:
+        return given.take(pa.array(np.flatnonzero(touched(Piece(texts, window)))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,21 +240,26 @@ def kept_words(docs: DataFrame, firsts: DataFrame, window: int, live: Broadcast,
                 depth = np.zeros(len(words.starts) + 1, np.int64)
                 np.add.at(depth, later, 1)
                 np.add.at(depth, later + window, -1)
-                yield _result(batch.column("id").slice(texts.first, len(texts)), piece, np.cumsum(depth)[:-1] == 0)
+                given = batch.slice(texts.first, len(texts)).select(names)
+                yield _result(given, piece, np.cumsum(depth)[:-1] == 0, as_written)
 
-    waiting = _scan(docs, T.StructType([id_field, T.StructField("text", T.StringType())]), pending)
+    waiting = _scan(docs, docs.schema, pending)
     starts = firsts.withColumnRenamed("id", "first_id")
-    joined = waiting.join(starts, F.col("id").eqNullSafe(F.col("first_id")), "left").select("id", "text", "firsts")
+    joined = waiting.join(starts, F.col("id").eqNullSafe(F.col("first_id")), "left").select(*docs.columns, "firsts")
     return _scan(docs, schema, finished).unionAll(joined.mapInArrow(cut, schema))
 
 
-def _result(ids: pa.Array, piece: Piece, keep: np.ndarray) -> pa.RecordBatch:
+def _result(given: pa.RecordBatch, piece: Piece, keep: np.ndarray, as_written: bool) -> pa.RecordBatch:
     words = piece.words
     gone = np.concatenate([[0], np.cumsum(~keep)])
     removed = gone[words.bounds[1:]] - gone[words.bounds[:-1]]
+    kept = _joined(piece.texts, words, keep)
+    if as_written:
+        data, bounds = piece.texts.data.tobytes(), piece.texts.bounds
+        kept = [k if n else data[a:b].decode() for k, n, a, b in zip(kept, removed.tolist(), bounds[:-1], bounds[1:])]
     return pa.RecordBatch.from_arrays(
-        [ids, *_longs(words.counts.astype(np.int64), removed.astype(np.int64)), pa.array(_joined(piece.texts, words, keep), pa.string())],
-        names=["id", "n_words", "n_removed", "kept"],
+        [*given.columns, *_longs(words.counts.astype(np.int64), removed.astype(np.int64)), pa.array(kept, pa.string())],
+        names=[*given.schema.names, "n_words", "n_removed", "kept"],
     )
 
 
@@ -275,8 +279,10 @@ def remove_repeats(
     text_col: str = "text",
     window: int = WINDOW,
     filter_bits: int = FILTER_BITS,
+    carry: Sequence[str] = (),
+    as_written: bool = False,
 ) -> DataFrame:
-    """``(<id_col>, n_words, n_removed, kept)``: each text without the windows that occur earlier.
+    """``(<id_col>, <carry>, n_words, n_removed, kept)``: each text without the windows that occur earlier.
 
     A window is ``window`` consecutive words of one row; all words of a window
     whose word sequence also starts earlier (smaller id, or the same row further
@@ -296,7 +302,9 @@ def remove_repeats(
 
     Null and empty texts have no words and give an empty text. A null id is
     smaller than any other. Rows with equal ids count as one row for "earlier":
-    repeated rows are not repeats of each other. Other columns are not read.
+    repeated rows are not repeats of each other. ``kept`` holds the words joined
+    by one space; with ``as_written`` a text that nothing is removed from stays
+    as it is, null as empty. Columns other than ``carry`` are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     context = docs.sparkSession.sparkContext
@@ -309,7 +317,9 @@ def remove_repeats(
     )
     live = context.broadcast(_filter(repeated, "anchor", filter_bits))
     firsts = first_windows(rows, window, live, filter_bits)
-    return kept_words(rows, firsts, window, live, filter_bits).withColumnRenamed("id", id_col)
+    along = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_{c}") for c in carry))
+    kept = kept_words(along, firsts, window, live, filter_bits, as_written)
+    return kept.select(F.col("id").alias(id_col), *(F.col(f"_{c}").alias(c) for c in carry), "n_words", "n_removed", "kept")
 
 
 def sha256(text: str) -> str:
