@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, langid, packing, shingles, simhash, substring
-from corpusloom.session import materialize, shared_path
+from corpusloom.llm import decontaminate, langid, packing, simhash, substring
+from corpusloom.session import remove_path, run_tables, shared_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # Texts further from every profile than any known language is from another are in none of them.
@@ -29,47 +29,38 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash group: its smallest id, once.
+    """Keep one document of each SimHash group: its smallest id, and of rows with that id the one with the smallest text hash.
 
-    A row with a repeated id is the same document again and goes. Documents
-    without an id are no group's smallest; of these, one of each text stays.
+    Rows without an id come after all others, so one of them stays only where
+    no row of its group has an id. Rows that share an id but not their group are
+    different documents; a row that is there twice stays once. Only the rows to
+    drop are written down; texts are joined with them once, and move only if
+    there are too many to broadcast.
     """
-    return _keep_smallest(docs, simhash.near_duplicates(docs))
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash groups first; of what they leave, one document of each group of five-word Jaccard similarity 0.8 or more.
-
-    Near copies down to 0.8 differ in up to some 15 bits, more than SimHash buckets can bring together.
-    """
-    # Written, as the second rule reads its documents more than once.
-    left = materialize(drop_near_duplicates(spark, docs, sf_dir), "simhash-kept")
-    return _keep_smallest(left, shingles.near_duplicates(left))
-
-
-def _keep_smallest(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    groups = groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    kept = groups.groupBy("doc_id").agg(F.lit(True).alias("keep")).select(F.col("doc_id").alias("kept_id"), "keep")
-    rows = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(*COLUMNS)
-    known = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    unknown = rows.where("doc_id IS NULL").dropDuplicates(["text"])
-    return known.unionByName(unknown)
+    text = F.coalesce("text", F.lit(""))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"))
+    keyed = docs.select(*COLUMNS, key.alias("key"))
+    path = shared_path(spark, "decided")
+    with run_tables(spark, "simhash"):
+        groups = simhash.near_duplicates(keyed, id_col="key")
+        counted = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("component_id").alias("least"))
+        counted.select("key", (F.col("key") == F.col("least")).alias("stays"), "n").where("n > 1 OR NOT stays").write.parquet(path)
+    decided = spark.read.schema(f"key {keyed.schema['key'].dataType.simpleString()}, stays boolean, n long").parquet(path)
+    alone = keyed.join(decided, "key", "left_anti")
+    # Rows that are there several times and whose first one stays.
+    again = keyed.join(decided.where("stays"), "key", "left_semi").dropDuplicates(["key"])
+    return alone.unionByName(again).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut windows of 20 words that an earlier document or place holds; texts left empty go.
 
-    A text without a repeat stays as it is.
+    A text without a repeat stays as it is. All columns go through the operator
+    with their row, so rows without an id, or with an id in common, keep their own text.
     """
-    cut = substring.remove_repeats(docs).where("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("cut_id"), "kept", F.lit(True).alias("cut")).dropDuplicates(["cut_id"])
-    joined = docs.select(*COLUMNS).join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")), "left")
-    changed = F.col("cut").isNotNull()
-    rows = joined.select(
-        "doc_id", F.when(changed, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source",
-        F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"),
-    )
-    return rows.where(F.coalesce(F.col("text"), F.lit("")) != "")
+    cut = substring.remove_repeats(docs, carry=("lang", "source", "n_chars"), as_written=True)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut.where("kept <> ''").select("doc_id", F.col("kept").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,13 +71,17 @@ def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces of the documents in training sequences."""
+    """Places of all pieces of the documents in training sequences.
+
+    Pieces of equal length are placed in the order of their documents' ids;
+    null ids come first, and rows that share an id are pieced row by row.
+    """
     return packing.pack(docs)
 
 
 STAGES = [
     ("language_id", identify_language),
-    ("simhash_dedup", drop_near_copies),
+    ("simhash_dedup", drop_near_duplicates),
     ("substring_dedup", cut_repeats),
     ("decontamination", decontaminate_documents),
     ("packing", pack_sequences),
@@ -97,10 +92,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is written to the shared folder and read by the next.
+
+    What a stage wrote for itself is removed when its result is written, and its
+    input when the next stage has no more use for it.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with run_tables(spark, name):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last is not None:
+            remove_path(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
