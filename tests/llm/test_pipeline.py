@@ -1,11 +1,12 @@
 """The pipeline's stages one by one, and the registered queries."""
 
+import random
+
 import corpus_pipeline as pipeline
-import numpy as np
 import pytest
 
 from __spark_entry__ import queries
-from corpusloom.llm import shingles, simhash
+from corpusloom.llm import simhash
 from corpusloom.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -35,36 +36,57 @@ def test_simhash_stage_keeps_the_smallest_of_each_group(spark, documents, sf_dir
     assert not kept & {100001, 100002} and kept & {1, 2}
 
 
-def test_near_copies_from_a_similarity_of_eight_tenths_go(spark, sf_dir, prose):
-    """Texts with some words changed, held against the Jaccard similarity of all pairs."""
-    texts, rng = [], np.random.default_rng(1)
-    for c in range(60):
-        words = prose(1000 + c, 300).split()
-        texts.append(" ".join(words))
-        for changes in (1, 3, 5, 6, 7, 8, 12):
-            other = list(words)
-            for at in rng.choice(len(words), changes, replace=False):
-                other[at] = f"x{c}"
-            texts.append(" ".join(other))
-    texts += ["one two", "One  two", "one three", "", None]
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
-    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-
-    def least(among):
-        out = {i: i for i in among}
-        for _ in range(10):
-            for i, j in links:
-                if i in out and j in out:
-                    out[i] = out[j] = min(out[i], out[j])
-        return out
-
-    for limit in (3, 1024):
-        groups = shingles.near_duplicates(docs, limit=limit).collect()
-        assert {r.doc_id: r.component_id for r in groups} == least(range(len(texts)))
-    first = {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()}
-    kept = {r.doc_id for r in dict(pipeline.STAGES)["simhash_dedup"](spark, docs, sf_dir).collect()}
-    assert kept == set(least(first).values()) and 60 < len(kept) < len(first)
+def test_simhash_stage_with_null_and_repeated_ids(spark, sf_dir, prose):
+    a, b, c, d = (prose(i, 80) for i in range(4))
+    rows = [(7, a), (7, b), (7, b), (9, a), (None, a), (None, c), (None, c), (None, d), (3, d), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], SCHEMA)
+    kept = sorted((r.doc_id or 0, r.text or "") for r in pipeline.drop_near_duplicates(spark, docs, sf_dir).collect())
+    # One of each group: both texts of 7, the row without an id that has a text of its own, the smaller id of the others.
+    assert kept == sorted([(7, a), (7, b), (0, c), (3, d), (4, "")])
+
+
+def test_cutting_keeps_every_rows_own_text(spark, sf_dir, prose):
+    long = prose(5, 30)
+    rows = [(None, "B  B"), (None, "C"), (7, "one\ttwo"), (7, "three"), (8, long), (9, f"{long} end"), (None, f"start {long}")]
+    docs = spark.createDataFrame([(i, t, "en", str(n), n) for n, (i, t) in enumerate(rows)], SCHEMA)
+    kept = {r.source: (r.doc_id, r.text, r.n_chars) for r in pipeline.cut_repeats(spark, docs, sf_dir).collect()}
+    assert {k: v[:2] for k, v in kept.items()} == {
+        "0": (None, "B  B"), "1": (None, "C"), "2": (7, "one\ttwo"), "3": (7, "three"), "5": (9, "end"), "6": (None, f"start {long}")
+    }
+    assert kept["5"][2] == 3 and kept["6"][2] == 6
+
+
+def test_stages_against_brute_force(spark, sf_dir, prose):
+    """Stages 2 to 4 over texts that share lines, held against plain loops."""
+    rng, lines = random.Random(8), [prose(100 + i, 25) for i in range(12)]
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    texts = ["\n".join(rng.sample(lines, rng.randint(1, 3)) + [prose(900 + i, 40)]) for i in range(30)]
+    texts += [texts[3], texts[3], f"{prose(77, 9)} {item}", prose(5, 6)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    prints = [simhash.simhash(t.encode(), 4, 42) for t in texts]
+    groups = list(range(len(texts)))
+    for _ in groups:
+        for i in groups:
+            for j in range(len(texts)):
+                if (prints[i] ^ prints[j]).bit_count() <= 4:
+                    groups[i] = groups[j] = min(groups[i], groups[j])
+    left = [i for i in range(len(texts)) if groups[i] == i]
+    seen, cut = set(), {}
+    for i in left:
+        words = texts[i].split()
+        gone = set()
+        for at in range(len(words) - 19):
+            window = tuple(words[at : at + 20])
+            if window in seen:
+                gone.update(range(at, at + 20))
+            seen.add(window)
+        cut[i] = " ".join(w for k, w in enumerate(words) if k not in gone) if gone else texts[i]
+    expected = {i: t for i, t in cut.items() if t}
+    for name, stage in pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, sf_dir)
+    assert {r.doc_id: r.text for r in docs.collect()} == expected
+    clean = dict(pipeline.STAGES)["decontamination"](spark, docs, sf_dir)
+    assert {r.doc_id for r in clean.collect()} == {i for i, t in expected.items() if item not in t}
 
 
 def test_repeat_and_benchmark_stages(spark, sf_dir, prose):
@@ -91,5 +113,5 @@ def test_run_packs_every_word_once(spark, sf_dir):
 
 
 def test_queries_are_registered():
-    assert len(QUERIES) == 10 and {*QUERIES, "pipeline"} <= set(queries())
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert len(QUERIES) == 13 and {*QUERIES, "pipeline"} <= set(queries())
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
