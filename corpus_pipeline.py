@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, langid, packing, simhash, substring
 from corpusloom.session import remove_path, run_tables, shared_path
+from corpusloom.settings import MAX_BROADCAST_BYTES
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # Texts further from every profile than any known language is from another are in none of them.
 LEAST_SCORE = 0.25
+# What a row to drop takes in a broadcast table, and more.
+KEY_BYTES = 64
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +49,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         counted = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("component_id").alias("least"))
         counted.select("key", (F.col("key") == F.col("least")).alias("stays"), "n").where("n > 1 OR NOT stays").write.parquet(path)
     decided = spark.read.schema(f"key {keyed.schema['key'].dataType.simpleString()}, stays boolean, n long").parquet(path)
+    if decided.count() * KEY_BYTES <= MAX_BROADCAST_BYTES:
+        decided = F.broadcast(decided)
     alone = keyed.join(decided, "key", "left_anti")
     # Rows that are there several times and whose first one stays.
     again = keyed.join(decided.where("stays"), "key", "left_semi").dropDuplicates(["key"])
