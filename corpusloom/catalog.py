@@ -30,7 +30,9 @@ from corpusloom.sources.corpus import corpus_from_table
 from corpusloom.sources.results import append_report, write_label_lines
 from corpusloom.streaming.pages import label_page_stream
 
-SETTINGS = Settings(corpus_name="documents")
+# The given tables are files of one row group, which Spark reads in one task each.
+READ_PARTITIONS = 16
+SETTINGS = Settings(corpus_name="documents", read_partitions=READ_PARTITIONS)
 QUALITY_SETTINGS = Settings(corpus_name="quality")
 # One source is named that holds no document.
 SOURCE_SETTINGS = Settings(
@@ -52,12 +54,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_from_table(table(spark, sf_dir, "documents"), "doc_id", "lang", "text")
+    documents = table(spark, sf_dir, "documents")
+    return corpus_from_table(documents, "doc_id", "lang", "text", read_partitions=SETTINGS.read_partitions)
 
 
 def source_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return corpus_from_table(documents, "doc_id", "source", "text", SOURCE_SETTINGS.category_names)
+    return corpus_from_table(documents, "doc_id", "source", "text", SOURCE_SETTINGS.category_names, READ_PARTITIONS)
 
 
 def role_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +72,12 @@ def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.term_bags(corpus(spark, sf_dir))
 
 
+def bags_and_dictionary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DictionaryRun]:
+    """The corpus as a written table of bags, and the dictionary made from it."""
+    written = counts.bag_table(corpus(spark, sf_dir))
+    return written, build_dictionary(written, SETTINGS)
+
+
 def dictionary_run(spark: SparkSession, sf_dir: str) -> DictionaryRun:
     return build_dictionary(corpus(spark, sf_dir), SETTINGS)
 
@@ -143,9 +152,8 @@ def class_chi_file(spark, sf_dir):
 
 def _saved_vectors(spark, sf_dir) -> str:
     path = shared_path(spark, "vectors")
-    docs = corpus(spark, sf_dir)
-    run = build_dictionary(docs, SETTINGS)
-    save_vectors(vectorize_corpus(docs, run.dictionary, SETTINGS), list(run.totals.labels), path)
+    written, run = bags_and_dictionary(spark, sf_dir)
+    save_vectors(vectorize_corpus(written, run.dictionary, SETTINGS), list(run.totals.labels), path)
     return path
 
 
@@ -187,8 +195,8 @@ def libsvm_roundtrip(spark, sf_dir):
 def one_class_roundtrip(spark, sf_dir):
     """One-class files of all categories written and read back."""
     path = shared_path(spark, "one-class")
-    docs = corpus(spark, sf_dir)
-    save_one_class_vectors(vectorize_corpus(docs, build_dictionary(docs, SETTINGS).dictionary, SETTINGS), path)
+    written, run = bags_and_dictionary(spark, sf_dir)
+    save_one_class_vectors(vectorize_corpus(written, run.dictionary, SETTINGS), path)
     rows = vector_source.read_sparse(spark, path, "label", "split").withColumn("features", F.size("features"))
     return rows.groupBy("label", "split", "code").agg(
         F.count(F.lit(1)).alias("docs"), F.sum("features").alias("features")
@@ -350,17 +358,15 @@ def _packed(vectors: DataFrame, *keys: str) -> DataFrame:
 
 @query
 def doc_term_weight(spark, sf_dir):
-    terms = counts.term_freq(bags(spark, sf_dir))
-    dictionary = dictionary_run(spark, sf_dir).dictionary
-    return weights.weigh_terms(terms, dictionary, SETTINGS.max_broadcast_bytes).select(
+    written, run = bags_and_dictionary(spark, sf_dir)
+    return weights.weigh_terms(counts.term_freq(written), run.dictionary, SETTINGS.max_broadcast_bytes).select(
         "doc_id", "term", "id", "tf", six("w")
     )
 
 
 def _entries(spark, sf_dir, scale: str, max_broadcast_bytes: int) -> DataFrame:
-    vectors = weights.document_vectors(
-        bags(spark, sf_dir), dictionary_run(spark, sf_dir).dictionary, scale, max_broadcast_bytes=max_broadcast_bytes
-    )
+    written, run = bags_and_dictionary(spark, sf_dir)
+    vectors = weights.document_vectors(written, run.dictionary, scale, max_broadcast_bytes=max_broadcast_bytes)
     return weights.vector_entries(vectors).select("doc_id", "id", six("w"))
 
 
@@ -382,15 +388,14 @@ def weights_minmax_shuffled(spark, sf_dir):
 
 @query
 def doc_vectors(spark, sf_dir):
-    vectors = weights.document_vectors(bags(spark, sf_dir), dictionary_run(spark, sf_dir).dictionary)
-    return _packed(vectors, "doc_id", "label")
+    written, run = bags_and_dictionary(spark, sf_dir)
+    return _packed(weights.document_vectors(written, run.dictionary), "doc_id", "label")
 
 
 @query
 def split_vectors(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    vectors = vectorize_corpus(docs, build_dictionary(docs, SETTINGS).dictionary, SETTINGS)
-    return _packed(vectors, "doc_id", "label", "split")
+    written, run = bags_and_dictionary(spark, sf_dir)
+    return _packed(vectorize_corpus(written, run.dictionary, SETTINGS), "doc_id", "label", "split")
 
 
 @query

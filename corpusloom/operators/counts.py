@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.scoring import class_pull, plogp
 from corpusloom.functions.text import term_bag, tokens
+from corpusloom.session import materialize
 from corpusloom.sources.categories import categories_from_names
 
 
@@ -35,10 +36,25 @@ def token_stream(docs: DataFrame) -> DataFrame:
 
 
 def term_bags(docs: DataFrame) -> DataFrame:
-    """``(doc_id, label, bag)``: every document with its term counts, made where it is read."""
+    """``(doc_id, label, bag)``: every document with its term counts, made where it is read.
+
+    A table of :func:`bag_table` already is that.
+    """
+    if "bag" in docs.columns:
+        return docs
     return docs.select("doc_id", "label", term_bag(F.col("text")).alias("bag"))
 
 
+def bag_table(docs: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
+    """The term bags of a corpus, written once for a run that needs them more than once.
+
+    Dictionary, split and vectors take this table in place of the corpus: texts
+    are read and cut into tokens once, and counts of documents and the split
+    read its two narrow columns only.
+    """
+    return materialize(term_bags(members(docs, categories)), "bags")
+
+
 def term_freq(bags: DataFrame) -> DataFrame:
     """``(doc_id, label, term, tf)``, one row per distinct term of a document."""
     # The outer form keeps the optimizer from evaluating the bag twice.

@@ -8,10 +8,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import classifier, evaluation, one_class
+from corpusloom.operators import classifier, counts, evaluation, one_class
 from corpusloom.plans.dictionary import build_dictionary
 from corpusloom.plans.vectorize import vectorize_corpus
-from corpusloom.session import materialize
+from corpusloom.session import materialize, release
 from corpusloom.settings import MAX_BROADCAST_BYTES, Settings
 from corpusloom.sources.categories import categories_from_names
 from corpusloom.sources.results import append_report
@@ -70,9 +70,11 @@ class TrainingRun:
 
 
 def prepare(docs: DataFrame, settings: Settings, scale: str = "minmax") -> Prepared:
-    """What every kind of training starts from."""
-    run = build_dictionary(docs, settings)
-    vectors = materialize(vectorize_corpus(docs, run.dictionary, settings, scale), "vectors")
+    """What every kind of training starts from. Texts are read once, into a table of term bags that is released at the end."""
+    bags = counts.bag_table(docs, settings.category_names)
+    run = build_dictionary(bags, settings)
+    vectors = materialize(vectorize_corpus(bags, run.dictionary, settings, scale), "vectors")
+    release(bags)
     return Prepared(run.dictionary, vectors, run.totals.labels, scale)
 
 

@@ -33,7 +33,7 @@ def local_session(cpus: int | str = "*", app: str = "corpusloom", memory: str =
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        # Small tables are read in enough splits for all cores.
+        # Files of several row groups are read in more tasks; Settings.read_partitions serves the others.
         .config("spark.sql.files.maxPartitionBytes", "2m")
         .config("spark.sql.files.openCostInBytes", "512k")
         .config("spark.driver.memory", memory)

@@ -66,6 +66,9 @@ class Settings:
     seed: int = 42
     max_iterations: int = 50
     tolerance: float = 1e-3
+    # Tasks that the texts are read in at least. Files that Spark cannot split (one row group, gzip) give
+    # one task each, however large they are; their rows are then dealt out. None leaves the scan as it is.
+    read_partitions: int | None = None
     # A larger dictionary is shuffled to its documents instead of broadcast.
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES
 

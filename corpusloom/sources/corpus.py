@@ -19,11 +19,13 @@ def corpus_from_table(
     label: str | Column,
     text: str | Column,
     categories: Sequence[str] | None = None,
+    read_partitions: int | None = None,
 ) -> DataFrame:
     """Shape any table into a corpus; only the three columns reach the scan.
 
     With ``categories`` only their documents belong to the corpus, and the test
-    is a literal list that is pushed into the scan.
+    is a literal list that is pushed into the scan. ``read_partitions`` is
+    :attr:`Settings.read_partitions`.
     """
 
     def column(c: str | Column) -> Column:
@@ -31,9 +33,17 @@ def corpus_from_table(
 
     label = column(label)
     member = label.isin(list(categories)) if categories else label.isNotNull()
-    return table.where(member).select(
+    rows = table.where(member).select(
         column(doc_id).alias("doc_id"), label.alias("label"), column(text).alias("text")
     )
+    return deal_rows(rows, "doc_id", read_partitions)
+
+
+def deal_rows(rows: DataFrame, key: str, partitions: int | None) -> DataFrame:
+    """Rows in ``partitions`` tasks by a unique ``key``, where the scan has fewer; more are left as they are."""
+    if partitions is None or rows.rdd.getNumPartitions() >= partitions:
+        return rows
+    return rows.repartition(partitions, key)
 
 
 LISTED = "label string, path string, bytes long, hidden boolean"
