@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,17 +21,31 @@ SMALLEST_DOUBLE = 4.9e-324
 ROW_BYTES = 32
 
 
-def lookup_terms(terms: DataFrame, dictionary: DataFrame, max_broadcast_bytes: int) -> DataFrame:
+@dataclass(frozen=True)
+class Lookup:
+    """A dictionary whose size was measured, for callers that look up many batches."""
+
+    entries: DataFrame
+    size: int
+
+    @classmethod
+    def of(cls, dictionary: "DataFrame | Lookup") -> "Lookup":
+        if isinstance(dictionary, cls):
+            return dictionary
+        entries = dictionary.select("term", "id", "score")
+        return cls(entries, entries.agg(F.sum(F.octet_length("term") + ROW_BYTES)).first()[0] or 0)
+
+
+def lookup_terms(terms: DataFrame, dictionary: DataFrame | Lookup, max_broadcast_bytes: int) -> DataFrame:
     """Add ``id`` and ``score``; terms outside the dictionary keep nulls there.
 
     The dictionary is broadcast only if its measured size allows it; beyond
     that both sides are shuffled on the term, frequent terms spread by salt.
     """
-    entries = dictionary.select("term", "id", "score")
-    size = entries.agg(F.sum(F.octet_length("term") + ROW_BYTES)).first()[0] or 0
-    if size <= max_broadcast_bytes:
-        return terms.join(F.broadcast(entries), "term", "left")
-    return _salted_lookup(terms, entries, max_broadcast_bytes)
+    known = Lookup.of(dictionary)
+    if known.size <= max_broadcast_bytes:
+        return terms.join(F.broadcast(known.entries), "term", "left")
+    return _salted_lookup(terms, known.entries, max_broadcast_bytes)
 
 
 def _salted_lookup(terms: DataFrame, entries: DataFrame, max_broadcast_bytes: int) -> DataFrame:
