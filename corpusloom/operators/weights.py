@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import let
 from corpusloom.functions.scoring import term_weight
+from corpusloom.operators.term_filter import block_count, build_filter, maybe_among
 from corpusloom.session import materialize
 from corpusloom.settings import MAX_BROADCAST_BYTES
 
@@ -27,34 +28,46 @@ class Lookup:
 
     entries: DataFrame
     size: int
+    count: int
 
     @classmethod
     def of(cls, dictionary: "DataFrame | Lookup") -> "Lookup":
         if isinstance(dictionary, cls):
             return dictionary
         entries = dictionary.select("term", "id", "score")
-        return cls(entries, entries.agg(F.sum(F.octet_length("term") + ROW_BYTES)).first()[0] or 0)
+        size = F.coalesce(F.sum(F.octet_length("term") + ROW_BYTES), F.lit(0))
+        return cls(entries, *entries.agg(size, F.count(F.lit(1))).first())
 
 
-def lookup_terms(terms: DataFrame, dictionary: DataFrame | Lookup, max_broadcast_bytes: int) -> DataFrame:
+def lookup_terms(
+    terms: DataFrame, dictionary: DataFrame | Lookup, max_broadcast_bytes: int, keep: Column | None = None
+) -> DataFrame:
     """Add ``id`` and ``score``; terms outside the dictionary keep nulls there.
 
     The dictionary is broadcast only if its measured size allows it; beyond
     that both sides are shuffled on the term, frequent terms spread by salt.
+    ``keep`` tells which rows the caller needs even if their term is unknown,
+    all by default; others may be left out before the shuffle.
     """
     known = Lookup.of(dictionary)
     if known.size <= max_broadcast_bytes:
         return terms.join(F.broadcast(known.entries), "term", "left")
-    return _salted_lookup(terms, known.entries, max_broadcast_bytes)
+    blocks = 0 if keep is None else block_count(known.count, max_broadcast_bytes)
+    if blocks:
+        terms = maybe_among(terms, build_filter(known.entries, blocks), blocks, keep)
+    return _salted_lookup(materialize(terms, "looked-up"), known.entries, max_broadcast_bytes)
 
 
 def _salted_lookup(terms: DataFrame, entries: DataFrame, max_broadcast_bytes: int) -> DataFrame:
     """Shuffled lookup in which no term fills a task, known or not.
 
+    ``terms`` is read twice, to count and to join, and should be a written table.
     A term in more than ``hot`` documents gets several salts: its dictionary
     row is repeated for each and every document picks one. ``hot`` is chosen
     from the summed size of all rows, so that the hot terms together stay
-    within ``max_broadcast_bytes``.
+    within ``max_broadcast_bytes``. The counts are of these rows and not the
+    dictionary's, as unknown terms that pass the filter may be frequent too,
+    and pages need not be like the corpus.
     """
     uses = materialize(terms.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("n")), "uses")
     size = uses.agg(F.sum(F.col("n") * (F.octet_length("term") + ROW_BYTES))).first()[0] or 0
@@ -74,7 +87,7 @@ def _salted_lookup(terms: DataFrame, entries: DataFrame, max_broadcast_bytes: in
 
 def weigh_terms(terms: DataFrame, dictionary: DataFrame, max_broadcast_bytes: int) -> DataFrame:
     """``(doc_id, label, term, id, tf, w)`` for the terms of the dictionary."""
-    found = lookup_terms(terms, dictionary, max_broadcast_bytes).where("id IS NOT NULL")
+    found = lookup_terms(terms, dictionary, max_broadcast_bytes, F.lit(False)).where("id IS NOT NULL")
     return found.select(
         "doc_id", "label", "term", "id", "tf", term_weight(F.col("tf"), F.col("score")).alias("w")
     )
@@ -124,13 +137,16 @@ def document_vectors(
     and the others go along with it. Documents without any known
     term are dropped for training and kept with an empty vector for serving.
     After a broadcast lookup a document's terms still sit in one task, so the
-    map side packs them and one row per document is shuffled.
+    map side packs them and one row per document is shuffled. A shuffled lookup
+    moves the terms that may be known, and the first of each document that is kept anyway.
     """
     keys = [c for c in bags.columns if c != "bag"]
-    terms = bags.select(*keys, F.inline_outer("bag"))
+    terms = bags.select(*keys, F.posexplode_outer("bag").alias("_place", "_entry"))
+    terms = terms.select(*keys, "_entry.term", "_entry.tf", (F.coalesce("_place", F.lit(0)) == 0).alias("_first"))
     if not keep_empty:
         terms = terms.where("term IS NOT NULL")
-    found = lookup_terms(terms, dictionary, max_broadcast_bytes)
+    needed = F.col("_first") if keep_empty else F.lit(False)
+    found = lookup_terms(terms, dictionary, max_broadcast_bytes, needed)
     if not keep_empty:
         found = found.where("id IS NOT NULL")
     pair = F.struct("id", term_weight(F.col("tf"), F.col("score")).alias("w"))
