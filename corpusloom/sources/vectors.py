@@ -15,9 +15,15 @@ def sparse_lines(vectors: DataFrame, *keys: str) -> DataFrame:
 def write_sparse(vectors: DataFrame, path: str, *keys: str) -> None:
     """Write the lines, one folder per value of ``keys``; any LIBSVM reader takes them.
 
-    Zero weights are written too, as they are part of a training vector.
+    Zero weights are written too, as they are part of a training vector. The
+    lines of a folder are brought together and cut where they exceed
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, so the number of files
+    follows the size of a folder and not the number of tasks that made its lines.
     """
-    sparse_lines(vectors, *keys).write.mode("overwrite").partitionBy(*keys).text(path)
+    lines = sparse_lines(vectors, *keys)
+    if keys:
+        lines = lines.hint("rebalance", *(F.col(key) for key in keys))
+    lines.write.mode("overwrite").partitionBy(*keys).text(path)
 
 
 def read_sparse(spark: SparkSession, path: str, *keys: str) -> DataFrame:
