@@ -8,6 +8,7 @@ one row per task.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.scoring import class_pull, plogp
 from corpusloom.functions.text import term_bag, tokens
 from corpusloom.session import materialize
-from corpusloom.sources.categories import categories_from_names
+from corpusloom.sources.categories import bounded_rows, categories_from_names
 
 
 def members(docs: DataFrame, categories: Sequence[str] | None) -> DataFrame:
@@ -70,7 +71,7 @@ def class_counts(docs: DataFrame, categories: Sequence[str] | None = None) -> Da
         return named.join(counts, "label", "left").select(
             "code", "label", F.coalesce("n_docs", F.lit(0)).alias("n_docs")
         )
-    rows = counts.agg(F.sort_array(F.collect_list(F.struct("label", "n_docs"))).alias("rows"))
+    rows = bounded_rows(counts, F.struct("label", "n_docs"))
     return rows.select(F.posexplode("rows").alias("pos", "row")).select(
         (F.col("pos") + 1).alias("code"), "row.label", "row.n_docs"
     )
@@ -104,15 +105,10 @@ class CorpusTotals:
         return sum(c / self.n * math.log2(c / self.n) for c in self.n_docs if c)
 
     def _per_class(self, of_class: Callable[[Column], Column]) -> Column:
-        classes = F.array(
-            *[
-                F.struct(F.lit(label), F.lit(float(n_c)), F.lit(class_pull(n_c, self.n)))
-                for label, n_c in zip(self.labels, self.n_docs)
-            ]
-        )
-        # The cast names the fields, and gives an empty corpus a type.
-        typed = classes.cast("array<struct<label:string,n_docs:double,pull:double>>")
-        return F.transform(typed, of_class)
+        rows = [[label, float(n_c), class_pull(n_c, self.n)] for label, n_c in zip(self.labels, self.n_docs)]
+        # One value that is parsed once, however many categories: no expression per category.
+        named = json.dumps([dict(zip(("label", "n_docs", "pull"), row)) for row in rows])
+        return F.transform(F.from_json(F.lit(named), "array<struct<label:string,n_docs:double,pull:double>>"), of_class)
 
     def cells(self, by_label: Column) -> Column:
         """Per category a struct of doubles ``a, n_docs, pull``; a = 0 where ``by_label`` has no entry."""

@@ -4,11 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CATEGORY_SCHEMA = "code int, label string"
 
+# What is done per category is kept in arrays of one number each; a column of more values is no category.
+MAX_CATEGORIES = 100_000
+
+
+def bounded_rows(groups: DataFrame, value: Column) -> DataFrame:
+    """One row whose ``rows`` are the sorted values of a table of one row per category.
+
+    A corpus of more than ``MAX_CATEGORIES`` labels fails with a message; no task takes in more rows than that.
+    """
+    taken = groups.limit(MAX_CATEGORIES + 1).agg(F.sort_array(F.collect_list(value)).alias("rows"))
+    too_many = F.raise_error(F.lit(f"the corpus has more than {MAX_CATEGORIES} labels; is the label column right?"))
+    return taken.select(F.when(F.size("rows") > MAX_CATEGORIES, too_many).otherwise(F.col("rows")).alias("rows"))
+
 
 def categories_from_names(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     """Configured categories in their given order."""
@@ -17,13 +30,8 @@ def categories_from_names(spark: SparkSession, names: Sequence[str]) -> DataFram
 
 def categories_from_labels(docs: DataFrame) -> DataFrame:
     """Distinct labels of a corpus in name order (one row per category)."""
-    return (
-        docs.groupBy("label")
-        .agg(F.lit(1))
-        .agg(F.sort_array(F.collect_list("label")).alias("labels"))
-        .select(F.posexplode("labels").alias("pos", "label"))
-        .select((F.col("pos") + 1).alias("code"), "label")
-    )
+    labels = bounded_rows(docs.select("label").distinct(), F.col("label"))
+    return labels.select(F.posexplode("rows").alias("pos", "label")).select((F.col("pos") + 1).alias("code"), "label")
 
 
 def write_label_index(categories: DataFrame, path: str) -> None:
