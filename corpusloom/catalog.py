@@ -7,6 +7,7 @@ Computed doubles are rounded to six digits, as in the matching SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from corpusloom.functions.arrays import variance
 from corpusloom.functions.text import html_to_text as visible_text
 from corpusloom.functions.text import url_with_http, url_with_scheme
 from corpusloom.operators import classifier, counts, evaluation, one_class, selection, split, weights
+from corpusloom.operators.kernel import fourier_array, projected_array
 from corpusloom.plans import train
 from corpusloom.plans.dictionary import DictionaryRun, build_dictionary, score_corpus
 from corpusloom.plans.label import label_pages, multi_label_pages, page_vectors as vectors_of_pages
@@ -412,6 +414,35 @@ def train_test_split(spark, sf_dir):
     return split.train_test_split(corpus(spark, sf_dir)).select("doc_id", "label", "split")
 
 
+@query
+def train_test_split_hashed(spark, sf_dir):
+    return split.hash_split(corpus(spark, sf_dir)).select("doc_id", "label", "split")
+
+
+@query
+def split_vectors_hashed(spark, sf_dir):
+    written, run = bags_and_dictionary(spark, sf_dir)
+    return _packed(vectorize_corpus(written, run.dictionary, replace(SETTINGS, split_by_hash=True)), "doc_id", "label", "split")
+
+
+@query
+def kernel_projections(spark, sf_dir):
+    """Sums of a document's weights times its features' frequencies, before the kernel's width."""
+    written, run = bags_and_dictionary(spark, sf_dir)
+    sums = projected_array(F.col("features"), SETTINGS.fourier_dims // 2, SETTINGS.seed)
+    rows = weights.document_vectors(written, run.dictionary).select("doc_id", F.posexplode(sums).alias("dim", "value"))
+    return rows.select("doc_id", "dim", F.round(F.col("value"), 4).alias("value"))
+
+
+@query
+def kernel_features(spark, sf_dir):
+    """Fourier features of the training kernel: two waves for each projection."""
+    written, run = bags_and_dictionary(spark, sf_dir)
+    waves = fourier_array(F.col("features"), SETTINGS.fourier_dims, SETTINGS.gamma, SETTINGS.seed)
+    rows = weights.document_vectors(written, run.dictionary).select("doc_id", F.posexplode(waves).alias("dim", "value"))
+    return rows.select("doc_id", "dim", F.round(F.col("value"), 4).alias("value"))
+
+
 # --- evaluation ------------------------------------------------------------
 
 

@@ -33,6 +33,18 @@ def train_test_split(docs: DataFrame, fraction: float = 0.6) -> DataFrame:
     return assign_split(docs, split_points(docs, fraction))
 
 
+def hash_split(docs: DataFrame, fraction: float = 0.6) -> DataFrame:
+    """Add ``split``: a document is for training if the hash of its label and id is below ``fraction``.
+
+    The documented variant of the exact cut. Nothing is counted, sorted or
+    shuffled, and a document keeps its side when others come or go; the head of
+    a class has about, not exactly, that share of it.
+    """
+    digits = F.substring(F.md5(F.concat_ws(":", "label", "doc_id")), 1, 8)
+    share = F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 32))
+    return docs.withColumn("split", F.when(share < fraction, F.lit("train")).otherwise(F.lit("test")))
+
+
 def one_class_rows(vectors: DataFrame) -> DataFrame:
     """Rows as the one-class model of their own label takes them: all coded 1."""
     return vectors.withColumn("code", F.lit(1))

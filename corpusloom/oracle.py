@@ -173,6 +173,41 @@ page_mx AS (
   FROM page_w WINDOW p AS (PARTITION BY page_id)),
 packed AS (SELECT page_id, {PACK} AS vector FROM page_mx GROUP BY page_id)
 SELECT page_id, page_url AS url, coalesce(vector, '') AS vector FROM content LEFT JOIN packed USING (page_id)"""
+HASHED = """CASE WHEN ('0x' || substr(md5(label || ':' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.6::DOUBLE
+  THEN 'train' ELSE 'test' END"""
+ORACLE["train_test_split_hashed"] = f"SELECT doc_id, label, {HASHED} AS split FROM ({DOCUMENTS})"
+ORACLE["split_vectors_hashed"] = f"{weighted()} SELECT doc_id, label, {HASHED} AS split, {PACK} AS vector FROM mm GROUP BY ALL"
+
+# The frequencies of a feature: 64-bit counters, mixed modulo 2^64 in 128 bits, two uniforms to a pair of normals.
+DIMS, SEED, GAMMA = 128, 42, 0.125
+MASK = "18446744073709551615::UHUGEINT"
+
+
+def mixed(z: str) -> str:
+    """Uniforms of (0, 1) from the counters ``z``, next to their columns."""
+    return f"""m1 AS (SELECT * EXCLUDE z, (z * 11400714819323198485::UHUGEINT) & {MASK} AS z FROM {z}),
+m2 AS (SELECT * EXCLUDE z, (xor(z, z >> 30) * 13787848793156543929::UHUGEINT) & {MASK} AS z FROM m1),
+m3 AS (SELECT * EXCLUDE z, (xor(z, z >> 27) * 10723151780598845931::UHUGEINT) & {MASK} AS z FROM m2),
+uniforms AS (SELECT * EXCLUDE z, ((xor(z, z >> 31) >> 11)::DOUBLE + 0.5::DOUBLE) / 9007199254740992::DOUBLE AS u FROM m3)"""
+
+
+KERNEL = f"""{weighted()},
+steps AS (
+  SELECT id, step, (id::UHUGEINT * {DIMS} + ({SEED}::UHUGEINT * 13787848793156543929::UHUGEINT) + step) & {MASK} AS z
+  FROM (SELECT DISTINCT id FROM mm), (SELECT unnest(range(1, {DIMS} + 1)) AS step)),
+{mixed("steps")},
+pairs AS (
+  SELECT id, step - 1 AS lane, sqrt(-2.0::DOUBLE * ln(u)) AS radius, 2.0::DOUBLE * pi() * angle AS angle
+  FROM uniforms JOIN (SELECT id, step - {DIMS} // 2 AS step, u AS angle FROM uniforms WHERE step > {DIMS} // 2) USING (id, step)),
+freq AS (
+  SELECT id, lane AS dim, radius * cos(angle) AS f FROM pairs UNION ALL
+  SELECT id, lane + {DIMS} // 2, radius * sin(angle) FROM pairs),
+projected AS (SELECT doc_id, dim, sum(w * f) AS value FROM mm JOIN freq USING (id) GROUP BY ALL)"""
+ORACLE["kernel_projections"] = f"{KERNEL} SELECT doc_id, dim::INTEGER AS dim, round(value, 4) AS value FROM projected"
+ANGLE = f"value * sqrt({2 * GAMMA}::DOUBLE)"
+ORACLE["kernel_features"] = f"""{KERNEL}
+  SELECT doc_id, dim::INTEGER AS dim, round(cos({ANGLE}) / sqrt({DIMS}::DOUBLE), 4) AS value FROM projected UNION ALL
+  SELECT doc_id, (dim + {DIMS})::INTEGER, round(sin({ANGLE}) / sqrt({DIMS}::DOUBLE), 4) FROM projected"""
 ORACLE["train_test_split"] = f"{weighted()} SELECT doc_id, label, split FROM split"
 
 QUALITY = """WITH codes AS (SELECT * FROM (VALUES (1, '0'), (2, '1'), (3, '2')) AS v(code, label)),

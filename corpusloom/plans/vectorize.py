@@ -18,11 +18,14 @@ def vectorize_corpus(
     The split counts all documents; those without a known term leave after it.
     """
     docs = counts.members(docs, settings.category_names)
-    points = split.split_points(docs, settings.train_fraction)
     vectors = weights.document_vectors(
         counts.term_bags(docs), dictionary, scale, max_broadcast_bytes=settings.max_broadcast_bytes
     )
-    return split.assign_split(vectors, points).select("doc_id", "label", "split", "features")
+    if settings.split_by_hash:
+        placed = split.hash_split(vectors, settings.train_fraction)
+    else:
+        placed = split.assign_split(vectors, split.split_points(docs, settings.train_fraction))
+    return placed.select("doc_id", "label", "split", "features")
 
 
 def save_vectors(vectors: DataFrame, labels: list[str], path: str) -> None:

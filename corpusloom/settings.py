@@ -62,6 +62,8 @@ class Settings:
     categories: tuple[tuple[str, float], ...] = field(default=())
     default_nu: float = 0.1
     train_fraction: float = 0.6
+    # Split by a hash of label and id: stable when documents come or go, and without a sort.
+    split_by_hash: bool = False
     fourier_dims: int = 256
     seed: int = 42
     max_iterations: int = 50
