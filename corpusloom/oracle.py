@@ -193,7 +193,7 @@ uniforms AS (SELECT * EXCLUDE z, ((xor(z, z >> 31) >> 11)::DOUBLE + 0.5::DOUBLE)
 
 KERNEL = f"""{weighted()},
 steps AS (
-  SELECT id, step, (id::UHUGEINT * {DIMS} + ({SEED}::UHUGEINT * 13787848793156543929::UHUGEINT) + step) & {MASK} AS z
+  SELECT id, step, (id::UHUGEINT * {DIMS}::UHUGEINT + {SEED}::UHUGEINT * 13787848793156543929::UHUGEINT + step::UHUGEINT) & {MASK} AS z
   FROM (SELECT DISTINCT id FROM mm), (SELECT unnest(range(1, {DIMS} + 1)) AS step)),
 {mixed("steps")},
 pairs AS (
