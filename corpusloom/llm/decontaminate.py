@@ -25,8 +25,14 @@ BLOCK_CHARS = 4_000_000
 SCREEN_BYTES = 1 << 17
 # Alignments carried out side by side.
 VERIFY_ROWS = 256
-# Shorter items say too little to tell a leak from chance.
+# Shorter items say too little to tell a leak from chance if they are changed: they are found as they are, at word bounds.
 LEAST_CHARS = 40
+# Pairs of a text place and an item place that are listed at once.
+PAIRS = 1 << 20
+# Entries of an item that a hit meets on average where both repeat themselves.
+REPEATING = 4
+# Longest exact stretch that is compared at once.
+COPY_CHARS = 4_096
 TABLE_BITS = 22
 # Fixed value: multiplier of a multiplicative hash.
 SPREAD = 0x9E3779B97F4A7C15
@@ -77,6 +83,8 @@ class Unit:
     size: int
     points: np.ndarray
     edits: int
+    # Only between other characters than letters and digits.
+    whole_words: bool = False
 
 
 @dataclass(frozen=True)
@@ -121,13 +129,15 @@ def lemma_bound(length: int, edits: int, q: int) -> int:
 def search_units(item: int, text: str, unit: int, edits: int, q: int) -> Iterator[Unit]:
     """The item, to be searched for by all its stretches of ``unit`` characters, or as a whole if it is shorter.
 
-    A shorter item gets the share of the edits that keeps the lemma useful; one
-    below ``LEAST_CHARS`` is left out.
+    A shorter item gets the share of the edits that keeps the lemma useful, one
+    below ``LEAST_CHARS`` none, and one below a q-gram is left out.
     """
     points = fold(code_points(" ".join(text.split()).encode()))
     if len(points) > unit:
         yield Unit(item, unit, points, edits)
-    elif len(points) >= max(q, LEAST_CHARS):
+    elif q <= len(points) < LEAST_CHARS:
+        yield Unit(item, len(points), points, 0, whole_words=True)
+    elif len(points) >= q:
         own = min(edits * len(points) // unit, max(0, (len(points) + 1) // q - 2))
         yield Unit(item, len(points), points, own)
 
@@ -144,28 +154,101 @@ def squeeze(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return folded[keep], np.flatnonzero(keep)
 
 
-def find_regions(points: np.ndarray, index: Index) -> np.ndarray:
-    """Rows ``(item, start in it, first diagonal of a band)`` whose stretch meets the lemma's bound.
-
-    Hits are counted in bands of diagonals that overlap by half, so that any
-    match lies whole in one of them, and in a band for every start in the item.
-    """
+def gram_hits(points: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a text that hold a gram of the index, and where the gram's entries begin and end."""
     keys = gram_keys(points, index.q)
     if not len(keys) or not len(index.keys):
-        return np.empty((0, 3), np.int64)
+        return (np.empty(0, np.int64),) * 3
     at = np.flatnonzero(index.table[_slot(keys)])
     # A match leaves at least `bound` hits within `span` characters, whatever the unit.
     at = _dense(at, index.bound, index.span)
-    if not len(at):
-        return np.empty((0, 3), np.int64)
     low = np.searchsorted(index.keys, keys[at], side="left")
     high = np.searchsorted(index.keys, keys[at], side="right")
+    real = high > low
+    return at[real], low[real], high[real]
+
+
+def _entries(low: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All entries of all hits, one behind the other."""
+    return np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def long_copies(points: np.ndarray, index: Index, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> dict[int, np.ndarray]:
+    """By unit, disjoint rows ``(start, end)`` of text that is copied from it without an edit.
+
+    Only for units that repeat themselves and meet a text that does, where each
+    place of the text meets many of the unit. Some copies, not all: what lies
+    deep inside them needs no search, and all else is searched.
+    """
+    first, key, times = np.unique(low, return_inverse=True, return_counts=True)
+    ends = np.zeros(len(first), np.int64)
+    ends[key] = high
+    count = ends - first
+    entry, own_key = _entries(first, count), np.repeat(np.arange(len(first)), count)
+    unit = index.unit[entry]
+    pairs = np.bincount(unit, weights=times[own_key], minlength=len(index.units))
+    found = {}
+    for number in np.flatnonzero(pairs > REPEATING * len(at)).tolist():
+        mine = np.flatnonzero(unit == number)[::-1]
+        lowest = np.full(len(first), -1, np.int64)
+        # Entries of a key stand by place, so the last one written is the first place.
+        lowest[own_key[mine]] = index.place[entry[mine]]
+        held = lowest[key] >= 0
+        spans = _copies(points, index.units[number], at[held], lowest[key[held]])
+        if spans:
+            found[number] = np.array(spans)
+    return found
+
+
+def _copies(points: np.ndarray, unit: Unit, spots: np.ndarray, places: np.ndarray) -> list[list[int]]:
+    spans: list[list[int]] = []
+    k = 0
+    while k < len(spots):
+        spot, place = int(spots[k]), int(places[k])
+        size = min(len(points) - spot, len(unit.points) - place, max(COPY_CHARS, unit.size))
+        unequal = np.flatnonzero(points[spot : spot + size] != unit.points[place : place + size])
+        length = int(unequal[0]) if len(unequal) else size
+        if length < unit.size:
+            k += 1
+            continue
+        if spans and spot <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], spot + length)
+        else:
+            spans.append([spot, spot + length])
+        # The next copy begins where it reaches further than this one.
+        k = int(np.searchsorted(spots, spot + length - unit.size + 1))
+    return spans
+
+
+def segments(at: np.ndarray, count: np.ndarray, overlap: int) -> Iterator[slice]:
+    """Runs of hits with about ``PAIRS`` entries, each with the hits of the next ``overlap`` characters."""
+    total = np.cumsum(count)
+    first = 0
+    while first < len(at):
+        base = total[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(total, base + PAIRS, side="right")))
+        yield slice(first, int(np.searchsorted(at, at[last - 1] + overlap, side="right")))
+        first = last
+
+
+def find_regions(
+    size: int, index: Index, at: np.ndarray, low: np.ndarray, high: np.ndarray, copies: dict[int, np.ndarray]
+) -> np.ndarray:
+    """Rows ``(unit, start in it, first diagonal of a band)`` whose stretch meets the lemma's bound.
+
+    Hits are counted in bands of diagonals that overlap by half, so that any
+    match lies whole in one of them, and in a band for every start in the item.
+    Hits and regions that only lie inside ``copies`` are left out.
+    """
     count = high - low
-    if not count.any():
-        return np.empty((0, 3), np.int64)
-    spot = np.repeat(at, count)
-    entry = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+    spot, entry = np.repeat(at, count), _entries(low, count)
     unit, place = index.unit[entry], index.place[entry]
+    if copies:
+        reach = 2 * index.span
+        far = ~_inside(copies, unit, spot - reach, spot + index.q + reach, size)
+        spot, unit, place = spot[far], unit[far], place[far]
+    if not len(spot):
+        return np.empty((0, 3), np.int64)
     diagonal = spot - place
     edits = np.array([u.edits for u in index.units])[unit]
     width = edits + 1
@@ -186,7 +269,22 @@ def find_regions(points: np.ndarray, index: Index) -> np.ndarray:
         starts = starts[np.searchsorted(own, starts + grams) - np.searchsorted(own, starts) >= need[at]]
         diagonal = bands[a, 1] * (unit.edits + 1)
         out.append(np.stack([np.full(len(starts), at), starts, np.full(len(starts), diagonal)], 1))
-    return np.concatenate(out)
+    regions = np.concatenate(out)
+    if copies:
+        shapes = np.array([(u.size, u.edits) for u in index.units])[regions[:, 0]]
+        left = regions[:, 1] + regions[:, 2] - shapes[:, 1]
+        regions = regions[~_inside(copies, regions[:, 0], left, left + shapes[:, 0] + 4 * shapes[:, 1] + 3, size)]
+    return regions
+
+
+def _inside(copies: dict[int, np.ndarray], unit: np.ndarray, left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """Which stretches of a text of ``size`` characters lie whole in a copy of their unit."""
+    inside = np.zeros(len(unit), bool)
+    for number, spans in copies.items():
+        mine = np.flatnonzero(unit == number)
+        span = np.searchsorted(spans[:, 0], np.maximum(left[mine], 0), side="right") - 1
+        inside[mine] = (span >= 0) & (np.minimum(right[mine], size) <= spans[span, 1])
+    return inside
 
 
 def _dense(at: np.ndarray, bound: int, span: int) -> np.ndarray:
@@ -236,15 +334,22 @@ def banded_matches(patterns: np.ndarray, texts: np.ndarray, sizes: np.ndarray, e
 def row_matches(points: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
     """``(item, start, end, edits)`` of the verified units of one text, in its own characters."""
     squeezed, origin = squeeze(points)
-    regions = find_regions(squeezed, index)
-    shapes: dict[tuple[int, int], list[tuple[Unit, int, int]]] = {}
-    for unit_at, start, diagonal in regions.tolist():
-        unit = index.units[unit_at]
-        shapes.setdefault((unit.size, unit.edits), []).append((unit, start, start + diagonal - unit.edits))
-    found = []
-    for (m, edits), group in shapes.items():
-        for at in range(0, len(group), VERIFY_ROWS):
-            found.extend(_verify(squeezed, origin, group[at : at + VERIFY_ROWS], m, edits))
+    at, low, high = gram_hits(squeezed, index)
+    copies = long_copies(squeezed, index, at, low, high) if (high - low).sum() > REPEATING * len(at) else {}
+    found = [
+        (index.units[number].item, int(origin[start]), int(origin[end - 1]) + 1, 0)
+        for number, spans in copies.items() for start, end in spans.tolist()
+    ]
+    for part in segments(at, high - low, 2 * index.span):
+        regions = find_regions(len(squeezed), index, at[part], low[part], high[part], copies)
+        shapes: dict[tuple[int, int], list[tuple[Unit, int, int]]] = {}
+        for unit_at, start, diagonal in regions.tolist():
+            unit = index.units[unit_at]
+            shapes.setdefault((unit.size, unit.edits), []).append((unit, start, start + diagonal - unit.edits))
+        for (m, edits), group in shapes.items():
+            for k in range(0, len(group), VERIFY_ROWS):
+                found.extend(_verify(squeezed, origin, group[k : k + VERIFY_ROWS], m, edits))
+        found = merged(found)
     return found
 
 
@@ -260,10 +365,16 @@ def _verify(squeezed: np.ndarray, origin: np.ndarray, group: list[tuple[Unit, in
     patterns = np.stack([unit.points[at : at + m] for unit, at, _ in group])
     for (unit, _, first), start, end, cost in zip(group, *banded_matches(patterns, texts, sizes, edits)):
         start, end = max(0, first + int(start)), first + int(end)
-        if cost <= edits and end > start:
+        if cost <= edits and end > start and not (unit.whole_words and _inside_word(squeezed, start, end)):
             yield unit.item, int(origin[start]), int(origin[end - 1]) + 1, int(cost)
 
 
+def _inside_word(points: np.ndarray, start: int, end: int) -> bool:
+    """Whether a stretch begins or ends between two letters or digits."""
+    joints = [p for p in (start, end) if 0 < p < len(points)]
+    return any(chr(points[p - 1]).isalnum() and chr(points[p]).isalnum() for p in joints)
+
+
 def merged(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Overlapping spans of an item as one, with the fewest edits of any of its units."""
     out: list[list[int]] = []
@@ -321,8 +432,9 @@ def find_passages(
 
     Texts are scanned in place without a shuffle; a task holds the index of one
     block of the benchmark, and a larger benchmark is searched block by block.
-    Null and empty texts have no passages, nor have items that are null or
-    shorter than ``LEAST_CHARS``. Rows keep their order and number, repeated ones included;
+    Items shorter than ``LEAST_CHARS`` are found without an edit, between
+    characters that are not both letters or digits. Null and empty texts have no
+    passages, nor have items that are null or shorter than ``q``. Rows keep their order and number, repeated ones included;
     a column ``passages`` of ``docs`` is replaced.
     """
     docs = docs.drop("passages")
