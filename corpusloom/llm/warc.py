@@ -21,10 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.session import materialize, shared_path
+from corpusloom.settings import MAX_BROADCAST_BYTES
 
 # Unpacked bytes after which a frame ends, and packed bytes after which a bundle does.
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 128 << 20
+# Unpacked bytes that a task reads back.
+TASK_BYTES = 16 << 20
+# What a shared digest takes in a broadcast table, and more; tasks that rows of one digest are dealt over otherwise.
+SHARED_ROW_BYTES = 128
+SALTS = 16
 # Payloads below this are always stored whole.
 REVISIT_BYTES = 1000
 
@@ -150,18 +156,28 @@ def with_responses(pages: DataFrame) -> DataFrame:
 
     Of equal payloads of at least ``REVISIT_BYTES`` the row with the largest key
     is the response. Digests are counted on the map side, and only digests that
-    occur twice are joined back.
+    occur twice are joined back: broadcast if their number allows it, so that
+    payloads stay where they are. Beyond that payloads are shuffled, and each
+    digest is dealt over ``SALTS`` tasks, as many rows may share one.
     """
     marked = pages.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
-    shared = (
+    shared = materialize(
         marked.where(F.col("bytes") >= REVISIT_BYTES)
         .groupBy("digest", "bytes")
         .agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("last"))
         .where("n > 1")
-        .select("digest", "bytes", "last")
+        .select("digest", "bytes", "last"),
+        "shared-digests",
     )
+    joined_on = ["digest", "bytes"]
+    if shared.count() * SHARED_ROW_BYTES <= MAX_BROADCAST_BYTES:
+        shared = F.broadcast(shared)
+    else:
+        joined_on = ["digest", "bytes", "_salt"]
+        marked = marked.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+        shared = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     refers_to = F.when(F.col("last").isNotNull() & ~F.col("key").eqNullSafe(F.col("last")), F.col("last"))
-    return marked.join(shared, ["digest", "bytes"], "left").select(
+    return marked.join(shared, joined_on, "left").select(
         "key", "url", "payload", "digest", refers_to.alias("refers_to")
     )
 
@@ -251,7 +267,8 @@ RECORD = "key string, url string, record_type string, refers_to string, payload_
 def read_archive(spark: SparkSession, archive: Archive, content: bool = True) -> DataFrame:
     """All records of the indexed bundles, parsed: one row per record.
 
-    Tasks read frames, by the seek tables, not whole bundles. Keys are text. A
+    Tasks read frames, by the seek tables, not whole bundles; a task gets about
+    ``TASK_BYTES`` of unpacked frames, however few bytes name them. Keys are text. A
     revisit has no content of its own. ``content=False`` leaves payloads out.
     """
     folder = archive.folder
@@ -277,8 +294,10 @@ def read_archive(spark: SparkSession, archive: Archive, content: bool = True) ->
                 yield _parsed(data, row["file"], row["frame"], content)
 
     files = archive.index.select("file").distinct()
-    listed = files.mapInArrow(frames, "file string, frame int, start long, packed long, plain long")
-    return listed.repartition("file", "frame").mapInArrow(records, RECORD)
+    listed = materialize(files.mapInArrow(frames, "file string, frame int, start long, packed long, plain long"), "frames")
+    unpacked = listed.agg(F.sum("plain")).first()[0] or 0
+    # A number that is given is not lowered by the optimizer, which sees the size of the pointers only.
+    return listed.repartition(max(1, -(-unpacked // TASK_BYTES)), "file", "frame").mapInArrow(records, RECORD)
 
 
 def _parsed(data: bytes, file: str, frame: int, content: bool) -> pa.RecordBatch:
