@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from bisect import bisect_left
 
 import numpy as np
@@ -322,6 +323,49 @@ def test_white_space_of_any_kind_is_one(prose):
         assert found[1:] == (2, len(text), 0)
 
 
+def test_copies_and_segments_change_no_result(prose, monkeypatch):
+    """Texts over few letters, searched in one piece and in many, with and without the shortcut for long copies."""
+    rng = np.random.default_rng(8)
+
+    def text(period, repeats, noise):
+        base = np.tile(rng.integers(0, 3, period), repeats)
+        hit = rng.random(len(base)) < noise
+        base[hit] = rng.integers(0, 4, hit.sum())
+        return "".join("ab c"[x] for x in base)
+
+    for case in range(4):
+        period = int(rng.integers(1, 9))
+        item = text(period, 110 // period, 0.0 if case % 3 else 0.02)
+        other = prose(case, 40)
+        index = decontaminate.Index.of([(1, item), (2, other), (3, item[:100] + other[:100])], 80, 4, 12)
+        body = other[:110] + item[:90] + text(period, 150 // period, 0.01 * (case % 4)) + item * 2 + " " + other[50:150]
+        points = decontaminate.code_points(body.encode())
+        monkeypatch.setattr(decontaminate, "REPEATING", 1 << 40)
+        monkeypatch.setattr(decontaminate, "PAIRS", 1 << 40)
+        whole = decontaminate.merged(decontaminate.row_matches(points, index))
+        monkeypatch.setattr(decontaminate, "REPEATING", 4)
+        for pairs in (20_000, 1 << 40):
+            monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+            assert decontaminate.merged(decontaminate.row_matches(points, index)) == whole, (case, pairs)
+        assert whole
+
+
+def test_a_long_repetitive_text_is_searched_fast():
+    index = decontaminate.Index.of([(1, "0 " * 250)], decontaminate.UNIT, decontaminate.EDITS, decontaminate.Q)
+    body = "x" * 50 + "0 " * 20_000 + "y" * 50
+    start = time.process_time()
+    (found,) = decontaminate.merged(decontaminate.row_matches(decontaminate.code_points(body.encode()), index))
+    assert time.process_time() - start < 20
+    assert found[0] == 1 and found[1] <= 50 and found[2] >= 40_048 and found[3] == 0
+
+
+def test_short_items_are_found_as_they_are_between_words():
+    index = decontaminate.Index.of([(1, "Name the river."), (2, "a river too"), (3, "the seven seas")], 80, 4, 12)
+    for text, want in (("Q: name  THE river.", [1]), ("nick" + "name the river.", []), ("the seven seas", [3]), ("the seven season", []), ("on the seven seas!", [3]), ("name the rover.", []), ("a river too", [])):
+        got = decontaminate.merged(decontaminate.row_matches(decontaminate.code_points(text.encode()), index))
+        assert [m[0] for m in got] == want, text
+
+
 def test_banded_alignment_equals_full_alignment():
     rng = np.random.default_rng(6)
     for _ in range(200):
@@ -414,6 +458,21 @@ def test_archives_read_back(spark, prose, tmp_path):
     assert warc.read_archive(spark, warc.write_archive(pages.limit(0), str(tmp_path / "b"))).count() == 0
 
 
+@pytest.mark.parametrize("limit", [warc.MAX_BROADCAST_BYTES, 0])
+def test_one_payload_in_a_third_of_the_rows(spark, prose, tmp_path, monkeypatch, limit):
+    """Broadcast or salted, equal payloads get one response, and reading is as many tasks as the bytes ask for."""
+    monkeypatch.setattr(warc, "MAX_BROADCAST_BYTES", limit)
+    monkeypatch.setattr(warc, "TASK_BYTES", 40_000)
+    hot, warm = prose(1, 300), prose(2, 300)
+    rows = [(i, "u", hot if i % 3 == 0 else warm if i in (10, 20) else prose(100 + i, 300)) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    back = warc.read_archive(spark, warc.write_archive(pages, str(tmp_path / "a"), frame_bytes=8000))
+    plain = sum(len(t.encode()) for i, _, t in rows if t not in (hot, warm) or i in (297, 20))
+    assert back.rdd.getNumPartitions() >= plain // 40_000
+    got = {int(r.key): (r.record_type, r.refers_to) for r in back.collect()}
+    assert got == {i: ("revisit", "297" if t == hot else "20") if t in (hot, warm) and i not in (297, 20) else ("response", None) for i, _, t in rows}
+
+
 def test_bundles_are_plain_zstandard(tmp_path):
     import zstandard
     from pyarrow import fs
