@@ -55,9 +55,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str, read_partitions: int | None = SETTINGS.read_partitions) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return corpus_from_table(documents, "doc_id", "lang", "text", read_partitions=SETTINGS.read_partitions)
+    return corpus_from_table(documents, "doc_id", "lang", "text", read_partitions=read_partitions)
 
 
 def source_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,12 @@ def role_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bags of the corpus where its files are read, without an exchange."""
+    return counts.term_bags(corpus(spark, sf_dir, None))
+
+
+def dealt_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bags of the corpus with its rows dealt over ``READ_PARTITIONS`` tasks: one exchange of rows, before any is cut."""
     return counts.term_bags(corpus(spark, sf_dir))
 
 
@@ -230,7 +236,7 @@ def tokenize(spark, sf_dir):
 
 @query
 def term_freq(spark, sf_dir):
-    return counts.term_freq(bags(spark, sf_dir))
+    return counts.term_freq(dealt_bags(spark, sf_dir))
 
 
 # --- corpus counts ---------------------------------------------------------
@@ -248,27 +254,27 @@ def category_doc_count_configured(spark, sf_dir):
 
 @query
 def doc_freq(spark, sf_dir):
-    return counts.doc_freq(bags(spark, sf_dir))
+    return counts.doc_freq(dealt_bags(spark, sf_dir))
 
 
 @query
 def category_term_freq(spark, sf_dir):
-    return counts.label_term_counts(bags(spark, sf_dir)).select("label", "term", "tf")
+    return counts.label_term_counts(dealt_bags(spark, sf_dir)).select("label", "term", "tf")
 
 
 @query
 def contingency(spark, sf_dir):
-    return counts.label_term_counts(bags(spark, sf_dir)).select("term", "label", "a")
+    return counts.label_term_counts(dealt_bags(spark, sf_dir)).select("term", "label", "a")
 
 
 @query
 def candidate_terms(spark, sf_dir):
-    return counts.candidates(counts.doc_freq(bags(spark, sf_dir)))
+    return counts.candidates(counts.doc_freq(dealt_bags(spark, sf_dir)))
 
 
 @query
 def feature_ids(spark, sf_dir):
-    return selection.feature_ids(counts.candidates(counts.doc_freq(bags(spark, sf_dir)))).select("id", "term", "df")
+    return selection.feature_ids(counts.candidates(counts.doc_freq(dealt_bags(spark, sf_dir)))).select("id", "term", "df")
 
 
 @query

@@ -51,3 +51,11 @@ def test_prepare_cuts_each_text_into_tokens_once(documents, monkeypatch):
         assert len(made) == 1 and prepared.vectors.count() > 0
         names = docs.sparkSession._jvm.java.io.File(folder).list()
         assert not [n for n in names if n.startswith("bags")]
+
+
+def test_dealt_bags_have_one_exchange_and_equal_the_others(spark, sf_dir):
+    from corpusloom.catalog import bags, dealt_bags
+
+    dealt = dealt_bags(spark, sf_dir)
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, bags(spark, sf_dir).collect()))
