@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as entities
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from corpusloom.llm.html_pages import MARK, labelled_pages
 
 # Pages the field is trained on, and the passes of its training.
-TRAINING_PAGES = 600
+TRAINING_PAGES = 1000
 TRAINING_STEPS = 250
 
 # Element kinds of HTML.
@@ -36,6 +37,11 @@ CLOSES = {
     "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
 MAIN_TAGS = frozenset({"article", "main"})
+# Elements that set a part of a page apart, not a part of its text.
+CONTAINERS = frozenset("address article aside body center div fieldset footer form header main nav section td".split())
+# A block of so many words, few of them linked, is prose; a feature seen on fewer training pages has no weight.
+PROSE_WORDS = 8
+LEAST_PAGES = 3
 
 _TOKEN = regex.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -51,7 +57,10 @@ _NAME_WORD = regex.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 # Words of boilerplate that the text features look for.
 CUES = frozenset(
     "cookie cookies privacy subscribe newsletter login sign comment comments reply share tweet copyright rights reserved "
-    "advertisement sponsored menu search related terms policy contact accept ©".split()
+    "advertisement sponsored menu search related terms policy contact accept © "
+    "datenschutz impressum kommentare antworten anmelden abonnieren teilen rechte vorbehalten verwandte anzeige "
+    "confidentialité mentions commentaires répondre abonner partager droits réservés publicité "
+    "privacidad comentarios responder suscríbete compartir derechos reservados publicidad aviso".split()
 )
 
 
@@ -168,14 +177,14 @@ def leaf_blocks(page: str) -> list[Block]:
 
 
 def page_features(blocks: Sequence[Block]) -> list[list[str]]:
-    """Names of the features of each block: ancestors, their class and id words, and the text."""
+    """Names of the features of each block: ancestors, their class and id words, the parts of the page it is in, and the text."""
     has_main = any(e.tag in MAIN_TAGS for b in blocks for e in b.path)
-    out, headed = [], False
+    parts, out, headed = _Parts(blocks), [], False
     paths: dict[int, list[str]] = {}
     for i, block in enumerate(blocks):
         above = paths.get(id(block.path[-1])) if block.path else []
         if above is None:
-            above = _path_features(block.path, has_main)
+            above = _path_features(block.path, has_main) + parts.features(block.path)
             paths[id(block.path[-1])] = above
         tag = next((e.tag for e in reversed(block.path) if e.tag in BLOCK_TAGS), "")
         out.append([*above, *_text_features(block), "headed" if headed else "unheaded"])
@@ -187,10 +196,43 @@ def page_features(blocks: Sequence[Block]) -> list[list[str]]:
     return out
 
 
+class _Parts:
+    """Prose, characters and linked characters of the containers of a page."""
+
+    def __init__(self, blocks: Sequence[Block]):
+        self.sums: dict[int, list[int]] = {}
+        self.prose = 0
+        for block in blocks:
+            size = len(block.text.split())
+            prose = size if size >= PROSE_WORDS and block.linked < 0.3 * len(block.text) else 0
+            self.prose += prose
+            for e in block.path:
+                if e.tag in CONTAINERS:
+                    held = self.sums.setdefault(id(e), [0, 0, 0])
+                    held[0] += prose
+                    held[1] += len(block.text)
+                    held[2] += block.linked
+
+    def features(self, path: tuple[Element, ...]) -> list[str]:
+        """What share of the page's prose the two nearest containers hold, and how much of the nearest is links."""
+        held = [self.sums[id(e)] for e in path if e.tag in CONTAINERS][-2:]
+        names = [
+            f"{name}={sum(prose > limit * self.prose for limit in (0.0, 0.1, 0.3, 0.6))}"
+            for name, (prose, _, _) in zip(("near", "far"), reversed(held))
+        ]
+        if held:
+            names.append(f"near linked={sum(held[-1][2] > limit * held[-1][1] for limit in (0.1, 0.4, 0.8))}")
+        return names
+
+
 def _path_features(path: tuple[Element, ...], has_main: bool) -> list[str]:
     tags = [e.tag for e in path if e.tag in BLOCK_TAGS or e.tag in ("a", "button", "label", "noscript")]
     names = {word for e in path for word in e.names}
     features = [f"above={t}" for t in set(tags)] + [f"name={n}" for n in names]
+    # The header of an article is not that of a page.
+    within = next((i for i, t in enumerate(tags) if t in MAIN_TAGS), len(tags))
+    if "header" in tags:
+        features.append("header within" if "header" in tags[within:] else f"header own={tags[-1]}")
     if tags:
         features.append(f"own={tags[-1]}")
     if has_main:
@@ -247,7 +289,8 @@ class Field:
 
 def fit(pages: Sequence[tuple[list[list[str]], list[bool]]], steps: int = TRAINING_STEPS, penalty: float = 0.0005) -> Field:
     """Maximum likelihood with an L2 penalty, by forward-backward sums over all pages at once."""
-    names = sorted({f for features, _ in pages for block in features for f in block})
+    held = Counter(f for features, _ in pages for f in {f for block in features for f in block})
+    names = sorted(f for f, n in held.items() if n >= min(LEAST_PAGES, len(pages)))
     at = {name: i for i, name in enumerate(names)}
     sizes = [len(labels) for _, labels in pages]
     longest = max(sizes)
@@ -256,7 +299,7 @@ def fit(pages: Sequence[tuple[list[list[str]], list[bool]]], steps: int = TRAINI
     y = np.zeros((len(pages), longest), np.int64)
     real = np.zeros((len(pages), longest), bool)
     for row, block in enumerate(block for features, _ in pages for block in features):
-        x[row, [at[f] for f in block]] = 1.0
+        x[row, [at[f] for f in block if f in at]] = 1.0
     for p, (_, labels) in enumerate(pages):
         y[p, : len(labels)], real[p, : len(labels)] = labels, True
     weights, step = np.zeros(len(names)), np.zeros((2, 2))

@@ -7,10 +7,11 @@ from bisect import bisect_left
 
 import numpy as np
 import pytest
+from layouts import LAYOUTS
 from pyspark.sql import functions as F
 
 from corpusloom.llm import chat, decontaminate, html, langid, licenses, packing, warc
-from corpusloom.llm.html_pages import labelled_pages
+from corpusloom.llm.html_pages import MARK, labelled_pages
 from corpusloom.llm.license_texts import TEMPLATES
 
 # --- chat ------------------------------------------------------------------
@@ -179,6 +180,20 @@ def test_field_on_held_out_pages(field):
     assert right / total > 0.985
 
 
+def test_field_on_layouts_that_training_pages_do_not_have(field):
+    right = total = 0
+    for page in LAYOUTS.values():
+        [(features, labels)] = html.training_set([page.replace("[[", MARK)])
+        right, total = right + sum(a == b for a, b in zip(field.labels(features), labels)), total + len(labels)
+    assert total == 121 and right / total >= 0.98
+
+
+def test_a_byline_does_not_end_an_article(field):
+    page = '<div class="col-md-9"><h1>Night</h1><div class="byline">By Ann Lee</div>' + "<p>The river rose by two metres in the night.</p>" * 5 + "</div>"
+    assert html.main_text(page, field).split("\n\n")[:2] == ["Night", "By Ann Lee"]
+    assert html.main_text(page, field).count("river") == 5
+
+
 def test_articles_of_the_given_pages(spark, sf_dir, field):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = {r.page_id: r for r in html.extract_main_text(pages, model=field).collect()}
