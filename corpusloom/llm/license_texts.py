@@ -1,4 +1,7 @@
-"""Public licence texts and notices that scans compare with."""
+"""Public licence texts and notices that scans compare with. Whole texts are in ``license_files``."""
+
+from functools import lru_cache
+from importlib import resources
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
@@ -117,6 +120,15 @@ TEMPLATES = (
     ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
 )
 
-# Words that tell licences of these families apart: a find has the same of them as its template.
+
+@lru_cache(maxsize=1)
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """Whole licence texts, named by their files."""
+    files = resources.files(__package__).joinpath("license_files").iterdir()
+    return tuple(sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in files if f.name.endswith(".txt")))
+
+
+# Words that tell notices of these families apart: a find has the same of them as its template. Longer texts differ in more than these.
+NOTICE_WORDS = 400
 TELLING_FAMILIES = ("GPL-", "LGPL-", "AGPL-", "CC-")
 TELLING = frozenset("1 2 3 4 5 6 7 8 9 lesser affero nc sa nd noncommercial sharealike noderivatives noderivs".split())

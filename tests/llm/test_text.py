@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import chat, decontaminate, html, langid, licenses, packing, warc
 from corpusloom.llm.html_pages import MARK, labelled_pages
-from corpusloom.llm.license_texts import TEMPLATES
+from corpusloom.llm.license_texts import TEMPLATES, full_texts
 
 # --- chat ------------------------------------------------------------------
 
@@ -277,6 +277,43 @@ def test_best_windows_equal_brute_force():
         assert got == (pytest.approx(want) if want >= 0.8 else 0)
 
 
+def test_the_best_window_of_a_stretch_is_found_without_trying_every_start():
+    rng = np.random.default_rng(5)
+    for n in range(12):
+        counts = rng.integers(1, 3, 300)
+        own = np.repeat(np.arange(300), counts)
+        worn = own[rng.random(len(own)) > 0.02 * n]
+        text = np.concatenate([np.full(rng.integers(0, 200), 300), worn, np.full(rng.integers(0, 90), 300), rng.integers(0, 300, 60)])
+        at = np.flatnonzero(text < 300)
+        every = list(licenses.best_windows(at, text[at], counts, 0.8))
+        found = list(licenses.best_windows(at, text[at], counts, 0.8, every=False))
+        assert set(found) <= set(every)
+        assert max((v for *_, v in found), default=0) == max((v for *_, v in every), default=0)
+
+
+def test_whole_licence_texts_have_their_own_id_and_no_other(spark, prose):
+    texts = full_texts()
+    assert len(texts) == 13
+    worn = [(name, " ".join(w for i, w in enumerate(text.split()) if i % 40)) for name, text in texts]
+    cases = [*texts, *worn, *((name, f"{prose(i, 300)}\n{text}\n{prose(i, 200)}") for i, (name, text) in enumerate(texts))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string").repartition(8)
+    found = {}
+    for r in licenses.scan_licenses(docs).collect():
+        found.setdefault(r.doc_id, set()).add(r.license_id)
+    assert found == {i: {name} for i, (name, _) in enumerate(cases)}
+
+
+def test_licence_edge_cases(spark, prose):
+    """Repeated rows give repeated finds, null ids stay null, of equal windows the first stays, and long texts are read whole."""
+    notice = "Released under the MIT License."
+    long = prose(1, 60_000) + f"\n{notice}\n" + prose(2, 60_000) + "\n" + dict(full_texts())["LGPL-2.0"]
+    rows = [(None, notice), (7, notice), (7, notice), (8, f"{notice} {notice}"), (9, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id or 0, r.license_id, r.start) for r in licenses.scan_licenses(docs).collect())
+    assert found[:5] == [(0, "MIT", 0), (7, "MIT", 0), (7, "MIT", 0), (8, "MIT", 0), (8, "MIT", len(notice) + 1)]
+    assert [(d, name) for d, name, _ in found[5:]] == [(9, "LGPL-2.0"), (9, "MIT")]
+
+
 def test_size_bound_loses_nothing():
     rng = np.random.default_rng(3)
     for _ in range(300):
