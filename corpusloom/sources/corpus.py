@@ -46,6 +46,8 @@ def deal_rows(rows: DataFrame, key: str, partitions: int | None) -> DataFrame:
     return rows.repartition(partitions, key)
 
 
+# Files that Spark's readers leave out, read by one task.
+FILES_A_TASK = 64
 LISTED = "label string, path string, bytes long, hidden boolean"
 
 
@@ -93,7 +95,9 @@ def _read_skipped(files: DataFrame, base: str, top: str) -> DataFrame:
                     text = source.read().decode("utf-8", "replace")
                 yield pd.DataFrame({"doc_id": [path], "label": [label], "text": [text]})
 
-    return files.repartition("path").mapInPandas(run, "doc_id string, label string, text string")
+    # A number of tasks by name: by bytes, a listing would be one task.
+    tasks = max(1, -(-files.count() // FILES_A_TASK))
+    return files.repartition(tasks, "path").mapInPandas(run, "doc_id string, label string, text string")
 
 
 def read_corpus_directory(

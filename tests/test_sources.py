@@ -70,3 +70,14 @@ def test_reports_append(spark, tmp_path):
     for _ in range(2):
         results.append_report(lines, str(tmp_path / "report"))
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()) == ["a", "a", "b", "b"]
+
+
+def test_files_left_out_by_readers_are_read_by_many_tasks(spark, tmp_path):
+    from corpusloom.sources.corpus import FILES_A_TASK, read_corpus_directory
+
+    (tmp_path / "a").mkdir()
+    for i in range(2 * FILES_A_TASK + 1):
+        (tmp_path / "a" / f".hidden{i}").write_text(str(i))
+    docs = read_corpus_directory(spark, str(tmp_path))
+    assert docs.rdd.getNumPartitions() == 3
+    assert sorted(int(r.text) for r in docs.collect()) == list(range(2 * FILES_A_TASK + 1))
