@@ -585,7 +585,7 @@ def classify_multi(spark, sf_dir):
 def classify_pages_stream(spark, sf_dir):
     """Pages drained as a stream into parquet, read back."""
     out, checkpoint = shared_path(spark, "labelled"), shared_path(spark, "stream")
-    pages = page_source.stream_pages(spark, sf_dir, "pages.parquet")
+    pages = page_source.stream_table(spark, f"{sf_dir}/pages.parquet")
     run = label_page_stream(pages, trained(spark, sf_dir).classifier, out, checkpoint, once=True)
     run.awaitTermination()
     return spark.read.parquet(out).select("page_id", "url", "prediction")

@@ -67,6 +67,12 @@ def _file_system(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any store that Spark reaches is a folder; a missing one is not."""
+    system, place = _file_system(spark, path)
+    return system.exists(place) and system.getFileStatus(place).isDirectory()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Remove a file or folder in any store that Spark reaches; a missing one is fine."""
     system, place = _file_system(spark, path)

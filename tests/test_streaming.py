@@ -8,6 +8,7 @@ from corpusloom.operators import weights
 from corpusloom.plans import train
 from corpusloom.plans.label import label_pages
 from corpusloom.settings import Settings
+from corpusloom.sources.pages import PAGE_SCHEMA, stream_table
 from corpusloom.streaming.pages import label_page_stream
 
 TOPICS = ("sun moon star", "bread milk salt")
@@ -40,3 +41,20 @@ def test_three_batches_measure_the_dictionary_once(spark, tmp_path, text_classif
     streamed = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("page_id", "url", "prediction").collect())
     batch = label_pages(spark.createDataFrame(pages, schema), text_classifier)
     assert streamed == sorted(tuple(r) for r in batch.select("page_id", "url", "prediction").collect())
+
+
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_a_page_table_streams_whole_as_one_file_and_as_a_folder(spark, tmp_path, files):
+    pages = [(i, f"http://p{i}", f"<p>{i}</p>") for i in range(9)]
+    frame, path = spark.createDataFrame(pages, PAGE_SCHEMA), tmp_path / "pages.parquet"
+    if files:
+        frame.repartition(files).write.parquet(str(path))
+    else:
+        frame.coalesce(1).write.parquet(str(tmp_path / "made"))
+        path.write_bytes(next((tmp_path / "made").glob("part-*")).read_bytes())
+    # A table beside it is not read.
+    frame.write.parquet(str(tmp_path / "pages.parquet.old"))
+    stream = stream_table(spark, str(path)).writeStream.trigger(availableNow=True)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    stream.format("parquet").option("path", out).option("checkpointLocation", state).start().awaitTermination()
+    assert sorted(tuple(row) for row in spark.read.parquet(out).collect()) == pages
