@@ -13,8 +13,10 @@ from functools import lru_cache
 
 import numpy as np
 
-# Customers up to which the chance to sit alone is tabulated; beyond, its limit for many customers is off by 1 %.
+# Customers up to which the chance to sit alone is tabulated; beyond, it is an integral.
 TABULATED = 512
+# Nodes of the integral, pairs of (c, t) taken at once, and the exponent below the largest that no longer counts.
+NODES, PAIRS, NEGLIGIBLE = 64, 4096, 42.0
 
 
 @lru_cache(maxsize=4)
@@ -33,11 +35,66 @@ def alone_table(discount: float) -> np.ndarray:
     return out
 
 
+def alone_integral(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """:func:`alone_table` for any ``1 < t < c``, without the numbers below ``c``; for hundreds of customers and more.
+
+    The generating function of the tables' sizes, 1 - (1 - z)^d, gives S(c, t) as the integral of
+    exp(f(p)), f(p) = c p + t log(1 - (1 - exp(-p))^d), around its branch point p = 0. The wanted ratio is
+    (t d / c) times the mean of exp(-p) / (1 - (1 - exp(-p))^d) under that integrand. The path crosses the real axis
+    at the saddle point and is a parabola around the cut, or the line of one period where the saddle is far from it.
+    """
+    c, t = c.astype(float)[:, None], t.astype(float)[:, None]
+
+    def log_q(p: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.where(p.real < 1.0, np.log(-np.expm1(-p)), np.log1p(-np.exp(-p)))
+
+    def logs(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kept = np.log(-np.expm1(discount * log_q(p)))
+        return c * p + t * kept, -p - kept
+
+    # The saddle, by bisection of log p: f' falls from +inf to t - c as p grows on its logarithm's scale.
+    low, high = np.full(c.shape, -60.0), np.full(c.shape, 6.0)
+    for _ in range(60):
+        middle = (low + high) / 2
+        p = np.exp(middle)
+        q = log_q(p)
+        above = c * -np.expm1(discount * q) < t * discount * np.exp((discount - 1) * q - p)
+        low, high = np.where(above, middle, low), np.where(above, high, middle)
+    saddle = np.exp(low)
+    near = saddle < 0.5
+    # A path too close to the branch point would see its corner.
+    cross = np.where(near, np.maximum(saddle, 8.0 / c), saddle)
+
+    def path(u: np.ndarray) -> np.ndarray:
+        return np.where(near, cross * (1 + 1j * u) ** 2, cross + 1j * u)
+
+    top = logs(cross.astype(complex))[0].real
+    # How far the path counts, by bisection.
+    low, high = np.zeros(c.shape), np.where(near, np.minimum(12.0, np.pi / (2 * cross)), np.pi)
+    for _ in range(30):
+        middle = (low + high) / 2
+        counts = logs(path(middle))[0].real > top - NEGLIGIBLE
+        low, high = np.where(counts, middle, low), np.where(counts, high, middle)
+    u = high * (np.arange(NODES) + 0.5) / NODES
+    p = path(u)
+    exponent, ratio = logs(p)
+    weight = np.exp(exponent - top) * np.where(near, 2 * cross * (1 + 1j * u), 1.0)
+    mean = (weight * np.exp(ratio)).real.sum(axis=1) / weight.real.sum(axis=1)
+    return np.clip(t[:, 0] * discount / c[:, 0] * mean, 0.0, 1.0)
+
+
 def alone(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
     """The chance that a customer leaving ``c`` customers at ``t`` tables empties a table."""
     known = c <= TABULATED
-    out = discount * (t - 1) / np.maximum(c - 1, 1)
+    # One customer at every table is alone for sure, and so is none of several at one table.
+    out = (t == c).astype(float)
     out[known] = alone_table(discount)[c[known], t[known]]
+    rest = np.flatnonzero(~known & (t > 1) & (t < c))
+    if len(rest):
+        pairs, place = np.unique(np.stack([c[rest], t[rest]]), axis=1, return_inverse=True)
+        found = [alone_integral(*pairs[:, i : i + PAIRS], discount) for i in range(0, pairs.shape[1], PAIRS)]
+        out[rest] = np.concatenate(found)[place.reshape(-1)]
     return out
 
 

@@ -149,6 +149,21 @@ def test_customers_sit_alone_as_stirling_numbers_say():
     assert abs(edge[0] / edge[1] - 1) < 0.02
 
 
+@pytest.mark.parametrize("discount", [0.5, 0.7, 0.75])
+def test_many_customers_sit_alone_as_stirling_numbers_say(discount):
+    """Beyond the table, from two tables to one for nearly every customer, against the recurrence in logarithms."""
+    c = 1500
+    log_s = np.array([-np.inf, 0.0])
+    for n in range(2, c + 1):
+        t = np.arange(1, n + 1)
+        stay = np.log(np.maximum(n - 1 - discount * t, 1e-300)) + np.append(log_s, -np.inf)[1:]
+        new = np.logaddexp(log_s, stay)
+        expected, log_s = np.exp(log_s - new), np.concatenate([[-np.inf], new])
+    expected[0] = 0.0
+    found = restaurants.alone(np.full(c, c), np.arange(1, c + 1), discount)
+    assert np.abs(found - expected).max() < 1e-8 and found[0] == 0.0 and found[-1] == 1.0
+
+
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) + [None]
 
