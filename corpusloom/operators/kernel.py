@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 # Features gathered at once inside a task, and ids drawn at once: both bound its memory.
 BLOCK_FEATURES = 32_768
 DRAWN_IDS = 4_096
+# Ids whose frequencies a task keeps: those it meets first, and so most of the frequent ones.
+KEPT_IDS = 32_768
 
 # Constants of the splitmix64 generator.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -60,11 +62,41 @@ def _normals(ids: np.ndarray, count: int, seed: int) -> np.ndarray:
     return np.concatenate([radius * np.cos(angle), radius * np.sin(angle)], axis=1)[:, :count]
 
 
-def projections(ids: pd.Series, weights: pd.Series, count: int, seed: int) -> np.ndarray:
+class Drawn:
+    """Frequencies of unit width, drawn once for the first ``KEPT_IDS`` ids and again for others."""
+
+    def __init__(self, count: int, seed: int):
+        self.count, self.seed = count, seed
+        # Sorted ids and their places in the table, which is filled from the top.
+        self.ids, self.places = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.table = np.empty((KEPT_IDS, count))
+
+    def rows(self, unique: np.ndarray) -> np.ndarray:
+        """One row for each of some sorted ids."""
+        at = np.searchsorted(self.ids, unique)
+        kept = np.zeros(len(unique), bool)
+        inside = at < len(self.ids)
+        kept[inside] = self.ids[at[inside]] == unique[inside]
+        out = np.empty((len(unique), self.count))
+        out[kept] = self.table[self.places[at[kept]]]
+        new = np.flatnonzero(~kept)
+        # Frequencies of width 1/2 have variance 1.
+        out[new] = frequencies(unique[new], self.count, 0.5, self.seed)
+        filled = len(self.ids)
+        new = new[: KEPT_IDS - filled]
+        if len(new):
+            self.table[filled : filled + len(new)] = out[new]
+            self.places = np.insert(self.places, at[new], np.arange(filled, filled + len(new)))
+            self.ids = np.insert(self.ids, at[new], unique[new])
+        return out
+
+
+def projections(ids: pd.Series, weights: pd.Series, count: int, seed: int, drawn: Drawn | None = None) -> np.ndarray:
     """Rows wx for ``count`` frequencies of unit width; an empty vector is x = 0.
 
-    A row's sums do not depend on the rows around it.
+    A row's sums do not depend on the rows around it. A task hands the same ``drawn`` to all its calls.
     """
+    drawn = drawn or Drawn(count, seed)
     sizes = np.fromiter((len(x) for x in ids), dtype=np.int64, count=len(ids))
     projected = np.zeros((len(ids), count))
     ends = np.cumsum(sizes)
@@ -76,8 +108,7 @@ def projections(ids: pd.Series, weights: pd.Series, count: int, seed: int) -> np
         block_ids = np.concatenate([np.asarray(x, dtype=np.int64) for x in ids.iloc[first:last]])
         unique, position = np.unique(block_ids, return_inverse=True)
         block_weights = np.concatenate([np.asarray(x, dtype=np.float64) for x in weights.iloc[first:last]])
-        # Frequencies of width 1/2 have variance 1.
-        table = frequencies(unique, count, 0.5, seed)[position]
+        table = drawn.rows(unique)[position]
         table *= block_weights[:, None]
         filled = first + np.flatnonzero(sizes[first:last])
         if len(filled):
@@ -92,8 +123,10 @@ def waves(projected: np.ndarray, gamma: float) -> np.ndarray:
     return np.concatenate([np.cos(angles), np.sin(angles)], axis=1) / np.sqrt(projected.shape[1])
 
 
-def fourier_rows(ids: pd.Series, weights: pd.Series, dims: int, gamma: float, seed: int) -> np.ndarray:
-    return waves(projections(ids, weights, dims // 2, seed), gamma)
+def fourier_rows(
+    ids: pd.Series, weights: pd.Series, dims: int, gamma: float, seed: int, drawn: Drawn | None = None
+) -> np.ndarray:
+    return waves(projections(ids, weights, dims // 2, seed, drawn), gamma)
 
 
 def projected_array(features: Column, count: int, seed: int) -> Column:
@@ -101,8 +134,9 @@ def projected_array(features: Column, count: int, seed: int) -> Column:
 
     @F.pandas_udf("array<double>")
     def project(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        drawn = Drawn(count, seed)
         for ids, weights in batches:
-            yield pd.Series(list(projections(ids, weights, count, seed)))
+            yield pd.Series(list(projections(ids, weights, count, seed, drawn)))
 
     return project(F.transform(features, lambda f: f["id"]), F.transform(features, lambda f: f["w"]))
 
@@ -112,8 +146,9 @@ def fourier_array(features: Column, dims: int, gamma: float, seed: int) -> Colum
 
     @F.pandas_udf("array<double>")
     def project(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        drawn = Drawn(dims // 2, seed)
         for ids, weights in batches:
-            yield pd.Series(list(fourier_rows(ids, weights, dims, gamma, seed)))
+            yield pd.Series(list(fourier_rows(ids, weights, dims, gamma, seed, drawn)))
 
     return project(F.transform(features, lambda f: f["id"]), F.transform(features, lambda f: f["w"]))
 

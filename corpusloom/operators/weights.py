@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.arrays import let
 from corpusloom.functions.scoring import term_weight
@@ -134,19 +138,26 @@ def document_vectors(
     """``(<keys>, features)``: sparse vectors in id order.
 
     All columns of ``bags`` but the bag are keys, or ``row_key`` alone is one
-    and the others go along with it. Documents without any known
+    and the others go along with it; its values must differ. Documents without any known
     term are dropped for training and kept with an empty vector for serving.
-    After a broadcast lookup a document's terms still sit in one task, so the
-    map side packs them and one row per document is shuffled. A shuffled lookup
+    After a broadcast lookup a document's terms still stand together in one task, which
+    packs them in passing; only repeated keys are grouped after that. A shuffled lookup
     moves the terms that may be known, and the first of each document that is kept anyway.
     """
     keys = [c for c in bags.columns if c != "bag"]
+    known = Lookup.of(dictionary)
+    if known.size <= max_broadcast_bytes:
+        raw = _packed_in_passing(bags, known, keys, keep_empty, max_broadcast_bytes)
+        # A scan of the keys alone.
+        if row_key is None and bags.select(*keys).groupBy(*keys).count().where("count > 1").limit(1).count():
+            raw = raw.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("features"))).alias("features"))
+        return raw.withColumn("features", SCALES[scale](F.col("features")))
     terms = bags.select(*keys, F.posexplode_outer("bag").alias("_place", "_entry"))
     terms = terms.select(*keys, "_entry.term", "_entry.tf", (F.coalesce("_place", F.lit(0)) == 0).alias("_first"))
     if not keep_empty:
         terms = terms.where("term IS NOT NULL")
     needed = F.col("_first") if keep_empty else F.lit(False)
-    found = lookup_terms(terms, dictionary, max_broadcast_bytes, needed)
+    found = lookup_terms(terms, known, max_broadcast_bytes, needed)
     if not keep_empty:
         found = found.where("id IS NOT NULL")
     pair = F.struct("id", term_weight(F.col("tf"), F.col("score")).alias("w"))
@@ -159,6 +170,64 @@ def document_vectors(
     return raw.withColumn("features", SCALES[scale](F.col("features")))
 
 
+def _packed_in_passing(
+    bags: DataFrame, known: Lookup, keys: list[str], keep_empty: bool, max_broadcast_bytes: int
+) -> DataFrame:
+    """``(<keys>, features)`` with raw weights, one row for each row of ``bags``, by a broadcast lookup without a shuffle.
+
+    The first term of a row brings its keys along, also where it is unknown.
+    """
+    rows = bags.select(F.monotonically_increasing_id().alias("_row"), F.struct(*keys).alias("_keys"), "bag")
+    terms = rows.select("_row", "_keys", F.posexplode_outer("bag").alias("_place", "_entry"))
+    first = F.coalesce("_place", F.lit(0)) == 0
+    terms = terms.select("_row", F.when(first, F.col("_keys")).alias("_keys"), "_entry.term", "_entry.tf")
+    found = lookup_terms(terms, known, max_broadcast_bytes).where("id IS NOT NULL OR _keys IS NOT NULL")
+    weight = term_weight(F.col("tf"), F.col("score"))
+    found = found.select("_row", "_keys", "id", weight.cast("double").alias("w"))
+    pair = T.StructType([found.schema["id"], found.schema["w"]])
+    schema = T.StructType([*(bags.schema[k] for k in keys), T.StructField("features", T.ArrayType(pair))])
+
+    def pack(table: pa.Table) -> pa.RecordBatch:
+        batch = table.combine_chunks().to_batches()[0]
+        row, ids, w = batch.column("_row").to_numpy(), batch.column("id"), batch.column("w")
+        new = np.concatenate([[True], row[1:] != row[:-1]])
+        starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+        there = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+        own = group[there]
+        number, value = (x.take(pa.array(there)).to_numpy(zero_copy_only=False) for x in (ids, w))
+        order = pa.array(there[np.lexsort((value, number, own))])
+        sizes = np.bincount(own, minlength=len(starts))
+        pairs = pa.StructArray.from_arrays([ids.take(order), w.take(order)], names=["id", "w"])
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        columns = [*batch.column("_keys").take(pa.array(starts)).flatten(), pa.ListArray.from_arrays(ends, pairs)]
+        out = pa.RecordBatch.from_arrays(columns, names=[*keys, "features"])
+        return out if keep_empty else out.filter(pa.array(sizes > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            row = batch.column("_row").to_numpy()
+            if not len(row):
+                continue
+            if np.any(row[1:] < row[:-1]) or (last is not None and row[0] < last):
+                raise ValueError("the terms of a document are not together")
+            # The last row may go on in the next batch.
+            cut = int(np.searchsorted(row, row[-1]))
+            if cut:
+                yield pack(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = [batch.slice(cut)]
+            elif held and row[0] != last:
+                yield pack(pa.Table.from_batches(held))
+                held = [batch]
+            else:
+                held.append(batch)
+            last = row[-1]
+        if held:
+            yield pack(pa.Table.from_batches(held))
+
+    return found.mapInArrow(run, schema)
+
+
 def vector_entries(vectors: DataFrame) -> DataFrame:
     """Long form of vectors: one row per feature."""
     keys = [c for c in vectors.columns if c != "features"]

@@ -42,6 +42,23 @@ def test_kernel_features_do_not_depend_on_blocks(monkeypatch):
     assert np.allclose(kernel.fourier_rows(ids, w, 64, 0.125, 7), whole)
 
 
+def test_frequencies_are_drawn_once_for_a_task(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [sparse(rng, 200) for _ in range(60)]
+    ids, w = pd.Series([r[0] for r in rows]), pd.Series([r[1] for r in rows])
+    whole = kernel.projections(ids, w, 8, 7)
+    asked, draw = [], kernel.frequencies
+    monkeypatch.setattr(kernel, "frequencies", lambda ids, *more: (asked.extend(ids.tolist()), draw(ids, *more))[1])
+    monkeypatch.setattr(kernel, "BLOCK_FEATURES", 50)
+    for kept in (200, 20):
+        monkeypatch.setattr(kernel, "KEPT_IDS", kept)
+        asked.clear()
+        drawn = kernel.Drawn(8, 7)
+        parts = [kernel.projections(ids.iloc[i : i + 20], w.iloc[i : i + 20], 8, 7, drawn) for i in (0, 20, 40)]
+        assert np.allclose(np.concatenate(parts), whole, rtol=0, atol=1e-12)
+        assert (len(asked) == len(set(asked))) == (kept == 200) and len(drawn.ids) <= kept
+
+
 def test_frequencies_are_normal():
     draws = kernel.frequencies(np.arange(1, 2001), 64, 0.5, 3)
     assert abs(draws.mean()) < 0.02 and abs(draws.std() - 1.0) < 0.02

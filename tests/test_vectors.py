@@ -48,6 +48,34 @@ def test_shuffled_lookup_equals_broadcast(make_docs, dictionary, limit, keep_emp
     assert vectors(make_docs, dictionary, keep_empty=keep_empty, max_broadcast_bytes=limit) == wide
 
 
+@pytest.mark.parametrize("keep_empty", [False, True])
+def test_broadcast_vectors_are_packed_without_a_shuffle(spark, make_docs, keep_empty):
+    """Documents longer than a batch, without a known term, and with a null or empty text."""
+    words = [f"w{i:03}" for i in range(300)]
+    entries = spark.createDataFrame([(i + 1, w, 2, 1.0 + i) for i, w in enumerate(words)], "id long, term string, df long, score double")
+    texts = [" ".join(words[i : i + n]) for i, n in ((0, 300), (5, 1), (0, 0), (7, 40), (3, 290))] + [None, "zzz aaa", words[0] + " zzz"]
+    docs = make_docs([("a", t) for t in texts * 3]).repartition(2, "doc_id")
+    bags = counts.term_bags(docs)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        vectors = weights.document_vectors(bags, entries, "none", keep_empty)
+        assert "HashAggregate" not in vectors._jdf.queryExecution().executedPlan().toString()
+        got = {r.doc_id: [f.id for f in r.features] for r in vectors.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    known = {i: [int(w[1:]) + 1 for w in (t or "").split() if w in words] for i, t in enumerate(texts * 3)}
+    assert got == {i: ids for i, ids in known.items() if ids or keep_empty}
+
+
+def test_repeated_documents_share_a_vector(make_docs, dictionary):
+    """As ever: rows of one id and label are one document."""
+    bags = counts.term_bags(make_docs(PAIRS))
+    once = weights.document_vectors(bags, dictionary, "none").collect()
+    twice = weights.document_vectors(bags.unionAll(bags), dictionary, "none").collect()
+    assert {r.doc_id: [f for f in r.features for _ in range(2)] for r in once} == {r.doc_id: r.features for r in twice}
+    assert len(twice) == len(once)
+
+
 def test_shuffled_lookup_spreads_hot_terms(spark, make_docs, dictionary):
     """A third of the documents hold one word the dictionary lacks, another third one it has."""
     docs = make_docs([("a", "zzz")] * 200 + [("a", "cat")] * 200 + [("b", f"bee ant u{i}") for i in range(200)])
