@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +29,10 @@ SMALLEST_DOUBLE = 4.9e-324
 ROW_BYTES = 32
 
 
+# Fixed value: entries of documents that a task weighs, sorts and scales at once.
+PACKED_ENTRIES = 1 << 18
+
+
 @dataclass(frozen=True)
 class Lookup:
     """A dictionary whose size was measured, for callers that look up many batches."""
@@ -42,6 +49,24 @@ class Lookup:
         size = F.coalesce(F.sum(F.octet_length("term") + ROW_BYTES), F.lit(0))
         return cls(entries, *entries.agg(size, F.count(F.lit(1))).first())
 
+    @cached_property
+    def shared(self) -> Broadcast:
+        """``(terms, first, uses, ids, scores)`` for Python tasks, made once; only where ``size`` allows a broadcast.
+
+        ``terms`` differ; the entries of term k are the ``uses[k]`` ones from ``first[k]`` on.
+        """
+        known = self.entries.where("term IS NOT NULL AND id IS NOT NULL")
+        table = known.select("term", "id", F.col("score").cast("double").alias("score")).toArrow().combine_chunks()
+        terms = table["term"]
+        coded = (terms.chunk(0) if terms.num_chunks else pa.array([], terms.type)).dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        table = table.take(pa.array(np.argsort(codes, kind="stable")))
+        uses = np.bincount(codes, minlength=len(coded.dictionary))
+        # A null score is a null weight, and no number.
+        scores = np.ma.masked_array(table["score"].to_numpy(), table["score"].is_null().to_numpy())
+        value = (coded.dictionary, np.cumsum(uses) - uses, uses, table["id"].to_numpy(), scores)
+        return self.entries.sparkSession.sparkContext.broadcast(value)
+
 
 def lookup_terms(
     terms: DataFrame, dictionary: DataFrame | Lookup, max_broadcast_bytes: int, keep: Column | None = None
@@ -140,17 +165,18 @@ def document_vectors(
     All columns of ``bags`` but the bag are keys, or ``row_key`` alone is one
     and the others go along with it; its values must differ. Documents without any known
     term are dropped for training and kept with an empty vector for serving.
-    After a broadcast lookup a document's terms still stand together in one task, which
-    packs them in passing; only repeated keys are grouped after that. A shuffled lookup
+    Where the dictionary may be broadcast, a document is looked up, weighed and scaled as one
+    row, and only repeated keys are grouped after that. A shuffled lookup
     moves the terms that may be known, and the first of each document that is kept anyway.
     """
     keys = [c for c in bags.columns if c != "bag"]
     known = Lookup.of(dictionary)
     if known.size <= max_broadcast_bytes:
-        raw = _packed_in_passing(bags, known, keys, keep_empty, max_broadcast_bytes)
         # A scan of the keys alone.
-        if row_key is None and bags.select(*keys).groupBy(*keys).count().where("count > 1").limit(1).count():
-            raw = raw.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("features"))).alias("features"))
+        if row_key is not None or not bags.select(*keys).groupBy(*keys).count().where("count > 1").limit(1).count():
+            return _packed_in_place(bags, known, keys, keep_empty, scale)
+        raw = _packed_in_place(bags, known, keys, keep_empty, "none")
+        raw = raw.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("features"))).alias("features"))
         return raw.withColumn("features", SCALES[scale](F.col("features")))
     terms = bags.select(*keys, F.posexplode_outer("bag").alias("_place", "_entry"))
     terms = terms.select(*keys, "_entry.term", "_entry.tf", (F.coalesce("_place", F.lit(0)) == 0).alias("_first"))
@@ -170,62 +196,73 @@ def document_vectors(
     return raw.withColumn("features", SCALES[scale](F.col("features")))
 
 
-def _packed_in_passing(
-    bags: DataFrame, known: Lookup, keys: list[str], keep_empty: bool, max_broadcast_bytes: int
-) -> DataFrame:
-    """``(<keys>, features)`` with raw weights, one row for each row of ``bags``, by a broadcast lookup without a shuffle.
+def _scaled(w: np.ndarray, absent: np.ndarray | None, starts: np.ndarray, sizes: np.ndarray, scale: str) -> np.ndarray:
+    """:data:`SCALES` for documents of one entry or more, which stand one after the other in ``w``; ``absent`` ones do not count."""
+    if scale == "none" or not len(w):
+        return w
+    floor = SMALLEST_DOUBLE if scale == "minmax" else 0.0
+    for_high, for_low = (w, w) if absent is None else (np.where(absent, -np.inf, w), np.where(absent, np.inf, w))
+    high, low = np.maximum(np.maximum.reduceat(for_high, starts), floor), np.minimum.reduceat(for_low, starts)
+    if scale == "max":
+        low = np.minimum(low, 0.0)
+    span = high - low
+    with np.errstate(divide="ignore", invalid="ignore"):
+        moved = (w - np.repeat(low, sizes)) / np.repeat(span, sizes)
+    return np.where(np.repeat(span == 0, sizes), w, moved)
+
+
+def _packed_in_place(bags: DataFrame, known: Lookup, keys: list[str], keep_empty: bool, scale: str) -> DataFrame:
+    """``(<keys>, features)``, one row for each row of ``bags``, by a broadcast lookup without a shuffle.
 
-    The first term of a row brings its keys along, also where it is unknown.
+    A document stays one row: a row for each of its terms would cost more on
+    its way to Python than the lookup itself.
     """
-    rows = bags.select(F.monotonically_increasing_id().alias("_row"), F.struct(*keys).alias("_keys"), "bag")
-    terms = rows.select("_row", "_keys", F.posexplode_outer("bag").alias("_place", "_entry"))
-    first = F.coalesce("_place", F.lit(0)) == 0
-    terms = terms.select("_row", F.when(first, F.col("_keys")).alias("_keys"), "_entry.term", "_entry.tf")
-    found = lookup_terms(terms, known, max_broadcast_bytes).where("id IS NOT NULL OR _keys IS NOT NULL")
-    weight = term_weight(F.col("tf"), F.col("score"))
-    found = found.select("_row", "_keys", "id", weight.cast("double").alias("w"))
-    pair = T.StructType([found.schema["id"], found.schema["w"]])
+    shared = known.shared
+    rows = bags.select(*keys, F.col("bag.term").alias("_terms"), F.col("bag.tf").cast("array<double>").alias("_tf"))
+    pair = T.StructType([known.entries.schema["id"], T.StructField("w", T.DoubleType())])
     schema = T.StructType([*(bags.schema[k] for k in keys), T.StructField("features", T.ArrayType(pair))])
 
-    def pack(table: pa.Table) -> pa.RecordBatch:
-        batch = table.combine_chunks().to_batches()[0]
-        row, ids, w = batch.column("_row").to_numpy(), batch.column("id"), batch.column("w")
-        new = np.concatenate([[True], row[1:] != row[:-1]])
-        starts, group = np.flatnonzero(new), np.cumsum(new) - 1
-        there = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
-        own = group[there]
-        number, value = (x.take(pa.array(there)).to_numpy(zero_copy_only=False) for x in (ids, w))
-        order = pa.array(there[np.lexsort((value, number, own))])
-        sizes = np.bincount(own, minlength=len(starts))
-        pairs = pa.StructArray.from_arrays([ids.take(order), w.take(order)], names=["id", "w"])
-        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-        columns = [*batch.column("_keys").take(pa.array(starts)).flatten(), pa.ListArray.from_arrays(ends, pairs)]
+    def pack(batch: pa.RecordBatch, sizes: np.ndarray, at: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
+        """``at`` is the code of each entry's term, or -1."""
+        _, first, uses, ids, scores = shared.value
+        hit = np.flatnonzero(at >= 0)
+        own, code = np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]
+        many = uses[code]
+        # A term that the dictionary has more than once counts as often.
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        place = np.repeat(first[code], many) + step
+        own, number = np.repeat(own, many), ids[place]
+        absent = scores.mask[place] if scores.mask.any() else None
+        w = np.sqrt(np.repeat(tf[hit], many)).astype(np.float32).astype(np.float64) * scores.data[place]
+        order = np.lexsort((w, number, own))
+        found = np.bincount(own, minlength=len(sizes))
+        ends = np.concatenate([[0], np.cumsum(found)])
+        some = found > 0
+        absent = None if absent is None else absent[order]
+        w = _scaled(w[order], absent, ends[:-1][some], found[some], scale)
+        pairs = pa.StructArray.from_arrays([pa.array(number[order]), pa.array(w, mask=absent)], names=["id", "w"])
+        columns = [*(batch.column(k) for k in keys), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
         out = pa.RecordBatch.from_arrays(columns, names=[*keys, "features"])
-        return out if keep_empty else out.filter(pa.array(sizes > 0))
+        return out if keep_empty else out.filter(pa.array(some))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
+        terms = shared.value[0]
         for batch in batches:
-            row = batch.column("_row").to_numpy()
-            if not len(row):
-                continue
-            if np.any(row[1:] < row[:-1]) or (last is not None and row[0] < last):
-                raise ValueError("the terms of a document are not together")
-            # The last row may go on in the next batch.
-            cut = int(np.searchsorted(row, row[-1]))
-            if cut:
-                yield pack(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = [batch.slice(cut)]
-            elif held and row[0] != last:
-                yield pack(pa.Table.from_batches(held))
-                held = [batch]
-            else:
-                held.append(batch)
-            last = row[-1]
-        if held:
-            yield pack(pa.Table.from_batches(held))
-
-    return found.mapInArrow(run, schema)
+            entries, tf = batch.column("_terms"), batch.column("_tf").flatten()
+            sizes = pc.fill_null(pc.list_value_length(entries), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = pc.fill_null(pc.index_in(entries.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+            tf = tf.to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            start = 0
+            while start < len(sizes):
+                base = ends[start - 1] if start else 0
+                # At least one whole document.
+                stop = max(start + 1, int(np.searchsorted(ends, base + PACKED_ENTRIES, side="right")))
+                here = slice(base, ends[stop - 1])
+                yield pack(batch.slice(start, stop - start), sizes[start:stop], at[here], tf[here])
+                start = stop
+
+    return rows.mapInArrow(run, schema)
 
 
 def vector_entries(vectors: DataFrame) -> DataFrame:

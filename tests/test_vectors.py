@@ -128,3 +128,20 @@ def test_sparse_files(spark, make_docs, dictionary, tmp_path):
     assert loaded["label"] == 1.0 and loaded["features"].size == 7
     save_one_class_vectors(made, str(tmp_path / "one"))
     assert spark.read.text(str(tmp_path / "one/label=b/split=test")).where(F.col("value").startswith("1 ")).count() == 2
+
+
+@pytest.mark.parametrize("scale", ["minmax", "max", "none"])
+@pytest.mark.parametrize("keep_empty", [False, True])
+def test_a_document_is_looked_up_as_one_row(spark, make_docs, scale, keep_empty):
+    """No row for each of its terms; the same vectors as by the shuffled lookup, also of a term that the dictionary has twice."""
+    entries = spark.createDataFrame(
+        [(1, "ant", 2.0), (4, "bee", 1.0), (9, "bee", 3.0), (7, "cat", -0.5), (8, None, 1.0), (None, "dog", 1.0), (10, "elk", None)],
+        "id long, term string, score double",
+    )
+    bags = counts.term_bags(make_docs([*PAIRS, ("b", None), ("c", "dog elk bee"), ("c", "elk"), ("c", "cat")]))
+    made = weights.document_vectors(bags, entries, scale, keep_empty)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    shuffled = weights.document_vectors(bags, entries, scale, keep_empty, max_broadcast_bytes=0)
+    assert sorted(map(str, made.collect())) == sorted(map(str, shuffled.collect()))
+    nothing = weights.document_vectors(bags, entries.where("false"), scale, keep_empty).collect()
+    assert len(nothing) == (bags.count() if keep_empty else 0)
