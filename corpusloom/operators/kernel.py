@@ -21,11 +21,13 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Features gathered at once inside a task, and ids drawn at once: both bound its memory.
+# Features whose ids are looked up at once inside a task, ids drawn at once, and features summed at once:
+# the first bounds its memory, the others are small enough for a core's cache.
 BLOCK_FEATURES = 32_768
-DRAWN_IDS = 4_096
+DRAWN_IDS = 256
+SUMMED_FEATURES = 2_048
 # Ids whose frequencies a task keeps: those it meets first, and so most of the frequent ones.
-KEPT_IDS = 32_768
+KEPT_IDS = 65_536
 
 # Constants of the splitmix64 generator.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -67,28 +69,35 @@ class Drawn:
 
     def __init__(self, count: int, seed: int):
         self.count, self.seed = count, seed
-        # Sorted ids and their places in the table, which is filled from the top.
+        # Sorted ids and their places in the table, which is filled from the top; after the kept ones come those of a block.
         self.ids, self.places = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.table = np.empty((KEPT_IDS, count))
+        self.table = np.empty((KEPT_IDS + BLOCK_FEATURES, count))
 
-    def rows(self, unique: np.ndarray) -> np.ndarray:
-        """One row for each of some sorted ids."""
+    def places_of(self, unique: np.ndarray) -> np.ndarray:
+        """The row in ``table`` of each of some sorted ids; the next call may overwrite those that are not kept."""
         at = np.searchsorted(self.ids, unique)
         kept = np.zeros(len(unique), bool)
         inside = at < len(self.ids)
         kept[inside] = self.ids[at[inside]] == unique[inside]
-        out = np.empty((len(unique), self.count))
-        out[kept] = self.table[self.places[at[kept]]]
+        places = np.empty(len(unique), np.int64)
+        places[kept] = self.places[at[kept]]
         new = np.flatnonzero(~kept)
-        # Frequencies of width 1/2 have variance 1.
-        out[new] = frequencies(unique[new], self.count, 0.5, self.seed)
         filled = len(self.ids)
-        new = new[: KEPT_IDS - filled]
-        if len(new):
-            self.table[filled : filled + len(new)] = out[new]
-            self.places = np.insert(self.places, at[new], np.arange(filled, filled + len(new)))
-            self.ids = np.insert(self.ids, at[new], unique[new])
-        return out
+        keep = new[: KEPT_IDS - filled]
+        places[keep] = np.arange(filled, filled + len(keep))
+        rest = new[len(keep) :]
+        places[rest] = np.arange(KEPT_IDS, KEPT_IDS + len(rest))
+        if KEPT_IDS + len(rest) > len(self.table):
+            # A document longer than a block.
+            self.table = np.concatenate([self.table, np.empty((KEPT_IDS + len(rest) - len(self.table), self.count))])
+        # Frequencies of width 1/2 have variance 1.
+        for some in (keep, rest):
+            for first in range(0, len(some), DRAWN_IDS):
+                part = some[first : first + DRAWN_IDS]
+                self.table[places[part[0]] : places[part[0]] + len(part)] = frequencies(unique[part], self.count, 0.5, self.seed)
+        self.places = np.insert(self.places, at[keep], places[keep])
+        self.ids = np.insert(self.ids, at[keep], unique[keep])
+        return places
 
 
 def projections(ids: pd.Series, weights: pd.Series, count: int, seed: int, drawn: Drawn | None = None) -> np.ndarray:
@@ -108,11 +117,18 @@ def projections(ids: pd.Series, weights: pd.Series, count: int, seed: int, drawn
         block_ids = np.concatenate([np.asarray(x, dtype=np.int64) for x in ids.iloc[first:last]])
         unique, position = np.unique(block_ids, return_inverse=True)
         block_weights = np.concatenate([np.asarray(x, dtype=np.float64) for x in weights.iloc[first:last]])
-        table = drawn.rows(unique)[position]
-        table *= block_weights[:, None]
-        filled = first + np.flatnonzero(sizes[first:last])
-        if len(filled):
-            projected[filled] = np.add.reduceat(table, ends[filled] - sizes[filled] - base, axis=0)
+        rows = drawn.places_of(unique)[position]
+        start = first
+        while start < last:
+            top = ends[start - 1] if start else 0
+            stop = min(last, max(start + 1, int(np.searchsorted(ends, top + SUMMED_FEATURES, side="right"))))
+            here = slice(top - base, ends[stop - 1] - base)
+            terms = drawn.table[rows[here]]
+            terms *= block_weights[here, None]
+            filled = start + np.flatnonzero(sizes[start:stop])
+            if len(filled):
+                projected[filled] = np.add.reduceat(terms, ends[filled] - sizes[filled] - top, axis=0)
+            start = stop
         first = last
     return projected
 

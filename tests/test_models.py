@@ -42,6 +42,19 @@ def test_kernel_features_do_not_depend_on_blocks(monkeypatch):
     assert np.allclose(kernel.fourier_rows(ids, w, 64, 0.125, 7), whole)
 
 
+def test_sums_do_not_depend_on_pieces_or_on_kept_ids(monkeypatch):
+    """Sums are taken in small pieces; ids beyond the kept ones go to the rest of the table, also of a document longer than a block."""
+    rng = np.random.default_rng(3)
+    rows = [sparse(rng, 300) for _ in range(40)] + [(np.arange(1, 300), rng.random(299)), (np.array([], dtype=int), np.array([]))]
+    ids, w = pd.Series([r[0] for r in rows]), pd.Series([r[1] for r in rows])
+    exact = np.stack([kernel.frequencies(i, 8, 0.5, 7).T @ x for i, x in rows])
+    assert np.allclose(kernel.projections(ids, w, 8, 7), exact, rtol=0, atol=1e-12)
+    for block, summed, kept, at_once in ((64, 7, 16, 5), (1000, 1, 0, 256), (5, 64, 300, 1)):
+        for name, value in (("BLOCK_FEATURES", block), ("SUMMED_FEATURES", summed), ("KEPT_IDS", kept), ("DRAWN_IDS", at_once)):
+            monkeypatch.setattr(kernel, name, value)
+        assert np.allclose(kernel.projections(ids, w, 8, 7, kernel.Drawn(8, 7)), exact, rtol=0, atol=1e-12)
+
+
 def test_frequencies_are_drawn_once_for_a_task(monkeypatch):
     rng = np.random.default_rng(2)
     rows = [sparse(rng, 200) for _ in range(60)]
