@@ -21,7 +21,7 @@ TASK_BYTES = 32 << 20
 
 def default_gamma(vectors: DataFrame) -> DataFrame:
     """One row ``(max_id, gamma)``: 1 / the largest feature id in use."""
-    top = vectors.agg(F.max(F.array_max(F.transform("features", lambda f: f["id"]))).alias("max_id"))
+    top = vectors.agg(F.max(F.array_max(F.col("features")["id"])).alias("max_id"))
     return top.select("max_id", (1.0 / F.col("max_id")).alias("gamma"))
 
 

@@ -154,7 +154,7 @@ def projected_array(features: Column, count: int, seed: int) -> Column:
         for ids, weights in batches:
             yield pd.Series(list(projections(ids, weights, count, seed, drawn)))
 
-    return project(F.transform(features, lambda f: f["id"]), F.transform(features, lambda f: f["w"]))
+    return project(features["id"], features["w"])
 
 
 def fourier_array(features: Column, dims: int, gamma: float, seed: int) -> Column:
@@ -166,7 +166,7 @@ def fourier_array(features: Column, dims: int, gamma: float, seed: int) -> Colum
         for ids, weights in batches:
             yield pd.Series(list(fourier_rows(ids, weights, dims, gamma, seed, drawn)))
 
-    return project(F.transform(features, lambda f: f["id"]), F.transform(features, lambda f: f["w"]))
+    return project(features["id"], features["w"])
 
 
 class RandomFourierFeatures(

@@ -52,7 +52,7 @@ class OneClassModels:
                 columns = [self.own_scores(projected, code) for code in range(len(self.labels))]
                 yield pd.Series(list(np.stack(columns, axis=1)))
 
-        return score(F.transform(features, lambda f: f["id"]), F.transform(features, lambda f: f["w"]))
+        return score(features["id"], features["w"])
 
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [
@@ -71,7 +71,7 @@ class OneClassModels:
 
 def default_gammas(vectors: DataFrame) -> DataFrame:
     """``(label, max_id, gamma)``: 1 / the largest feature id in a category's own rows."""
-    top = F.max(F.array_max(F.transform("features", lambda f: f["id"]))).alias("max_id")
+    top = F.max(F.array_max(F.col("features")["id"])).alias("max_id")
     return vectors.groupBy("label").agg(top).select("label", "max_id", (1.0 / F.col("max_id")).alias("gamma"))
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,10 @@ ROW_BYTES = 32
 
 # Fixed value: entries of documents that a task weighs, sorts and scales at once.
 PACKED_ENTRIES = 1 << 18
+# Entries of documents, and documents, that ask a shuffled dictionary for their terms together.
+BUNDLED_ENTRIES = 1 << 19
+# Fixed value: a bundle's number has the task that made it above this bit.
+BUNDLE_BITS = 33
 
 
 @dataclass(frozen=True)
@@ -60,14 +65,19 @@ class Lookup:
         terms = table["term"]
         coded = (terms.chunk(0) if terms.num_chunks else pa.array([], terms.type)).dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        table = table.take(pa.array(np.argsort(codes, kind="stable")))
-        uses = np.bincount(codes, minlength=len(coded.dictionary))
-        # A null score is a null weight, and no number.
-        scores = np.ma.masked_array(table["score"].to_numpy(), table["score"].is_null().to_numpy())
-        value = (coded.dictionary, np.cumsum(uses) - uses, uses, table["id"].to_numpy(), scores)
+        value = (coded.dictionary, *_by_code(codes, len(coded.dictionary), table))
         return self.entries.sparkSession.sparkContext.broadcast(value)
 
 
+def _by_code(codes: np.ndarray, count: int, entries: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(first, uses, ids, scores)`` of dictionary entries whose terms have ``codes`` below ``count``."""
+    entries = entries.take(pa.array(np.argsort(codes, kind="stable")))
+    uses = np.bincount(codes, minlength=count)
+    # A null score is a null weight, and no number.
+    scores = np.ma.masked_array(entries["score"].to_numpy(), entries["score"].is_null().to_numpy())
+    return np.cumsum(uses) - uses, uses, entries["id"].to_numpy(), scores
+
+
 def lookup_terms(
     terms: DataFrame, dictionary: DataFrame | Lookup, max_broadcast_bytes: int, keep: Column | None = None
 ) -> DataFrame:
@@ -165,34 +175,20 @@ def document_vectors(
     All columns of ``bags`` but the bag are keys, or ``row_key`` alone is one
     and the others go along with it; its values must differ. Documents without any known
     term are dropped for training and kept with an empty vector for serving.
-    Where the dictionary may be broadcast, a document is looked up, weighed and scaled as one
-    row, and only repeated keys are grouped after that. A shuffled lookup
-    moves the terms that may be known, and the first of each document that is kept anyway.
+    A document stays one row on its way to the dictionary, and only repeated keys are grouped
+    after that. A dictionary too large to broadcast is asked for the terms of many documents at once.
     """
     keys = [c for c in bags.columns if c != "bag"]
     known = Lookup.of(dictionary)
     if known.size <= max_broadcast_bytes:
-        # A scan of the keys alone.
-        if row_key is not None or not bags.select(*keys).groupBy(*keys).count().where("count > 1").limit(1).count():
-            return _packed_in_place(bags, known, keys, keep_empty, scale)
-        raw = _packed_in_place(bags, known, keys, keep_empty, "none")
-        raw = raw.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("features"))).alias("features"))
-        return raw.withColumn("features", SCALES[scale](F.col("features")))
-    terms = bags.select(*keys, F.posexplode_outer("bag").alias("_place", "_entry"))
-    terms = terms.select(*keys, "_entry.term", "_entry.tf", (F.coalesce("_place", F.lit(0)) == 0).alias("_first"))
-    if not keep_empty:
-        terms = terms.where("term IS NOT NULL")
-    needed = F.col("_first") if keep_empty else F.lit(False)
-    found = lookup_terms(terms, known, max_broadcast_bytes, needed)
-    if not keep_empty:
-        found = found.where("id IS NOT NULL")
-    pair = F.struct("id", term_weight(F.col("tf"), F.col("score")).alias("w"))
-    features = F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), pair))).alias("features")
-    if row_key is None:
-        raw = found.groupBy(*keys).agg(features)
+        packed = _packed_in_place
     else:
-        along = [F.first(k).alias(k) for k in keys if k != row_key]
-        raw = found.groupBy(row_key).agg(*along, features)
+        packed = partial(_packed_in_bundles, max_broadcast_bytes=max_broadcast_bytes)
+    # A scan of the keys alone.
+    if row_key is not None or not bags.select(*keys).groupBy(*keys).count().where("count > 1").limit(1).count():
+        return packed(bags, known, keys, keep_empty, scale)
+    raw = packed(bags, known, keys, keep_empty, "none")
+    raw = raw.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("features"))).alias("features"))
     return raw.withColumn("features", SCALES[scale](F.col("features")))
 
 
@@ -211,6 +207,65 @@ def _scaled(w: np.ndarray, absent: np.ndarray | None, starts: np.ndarray, sizes:
     return np.where(np.repeat(span == 0, sizes), w, moved)
 
 
+def _entry_rows(bags: DataFrame, keys: list[str]) -> DataFrame:
+    return bags.select(*keys, F.col("bag.term").alias("_terms"), F.col("bag.tf").alias("_tf"))
+
+
+def _vector_schema(bags: DataFrame, known: Lookup, keys: list[str]) -> T.StructType:
+    pair = T.StructType([T.StructField("id", known.entries.schema["id"].dataType), T.StructField("w", T.DoubleType())])
+    return T.StructType([*(bags.schema[k] for k in keys), T.StructField("features", T.ArrayType(pair))])
+
+
+def _numbers(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def _sizes(lists: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _pack(
+    rows: pa.RecordBatch, keys: list[str], sizes: np.ndarray, at: np.ndarray, tf: np.ndarray,
+    entries: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], keep_empty: bool, scale: str,
+) -> pa.RecordBatch:
+    """``(<keys>, features)``; ``at`` is the code of each entry's term in ``entries``, see :func:`_by_code`, or -1."""
+    first, uses, ids, scores = entries
+    hit = np.flatnonzero(at >= 0)
+    own, code = np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]
+    many = uses[code]
+    # A term that the dictionary has more than once counts as often.
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    place = np.repeat(first[code], many) + step
+    own, number = np.repeat(own, many), ids[place]
+    absent = scores.mask[place] if scores.mask.any() else None
+    w = np.sqrt(np.repeat(tf[hit], many)).astype(np.float32).astype(np.float64) * scores.data[place]
+    order = np.lexsort((w, number, own))
+    found = np.bincount(own, minlength=len(sizes))
+    ends = np.concatenate([[0], np.cumsum(found)])
+    some = found > 0
+    absent = None if absent is None else absent[order]
+    w = _scaled(w[order], absent, ends[:-1][some], found[some], scale)
+    pairs = pa.StructArray.from_arrays([pa.array(number[order]), pa.array(w, mask=absent)], names=["id", "w"])
+    columns = [*(rows.column(k) for k in keys), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
+    out = pa.RecordBatch.from_arrays(columns, names=[*keys, "features"])
+    return out if keep_empty else out.filter(pa.array(some))
+
+
+def _packed(
+    rows: pa.RecordBatch, keys: list[str], sizes: np.ndarray, at: np.ndarray, tf: np.ndarray,
+    entries: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], keep_empty: bool, scale: str,
+) -> Iterator[pa.RecordBatch]:
+    """:func:`_pack` of some documents at a time, at least one whole document."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + PACKED_ENTRIES, side="right")))
+        here = slice(base, ends[stop - 1])
+        yield _pack(rows.slice(start, stop - start), keys, sizes[start:stop], at[here], tf[here], entries, keep_empty, scale)
+        start = stop
+
+
 def _packed_in_place(bags: DataFrame, known: Lookup, keys: list[str], keep_empty: bool, scale: str) -> DataFrame:
     """``(<keys>, features)``, one row for each row of ``bags``, by a broadcast lookup without a shuffle.
 
@@ -218,53 +273,92 @@ def _packed_in_place(bags: DataFrame, known: Lookup, keys: list[str], keep_empty
     its way to Python than the lookup itself.
     """
     shared = known.shared
-    rows = bags.select(*keys, F.col("bag.term").alias("_terms"), F.col("bag.tf").cast("array<double>").alias("_tf"))
-    pair = T.StructType([known.entries.schema["id"], T.StructField("w", T.DoubleType())])
-    schema = T.StructType([*(bags.schema[k] for k in keys), T.StructField("features", T.ArrayType(pair))])
-
-    def pack(batch: pa.RecordBatch, sizes: np.ndarray, at: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
-        """``at`` is the code of each entry's term, or -1."""
-        _, first, uses, ids, scores = shared.value
-        hit = np.flatnonzero(at >= 0)
-        own, code = np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]
-        many = uses[code]
-        # A term that the dictionary has more than once counts as often.
-        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        place = np.repeat(first[code], many) + step
-        own, number = np.repeat(own, many), ids[place]
-        absent = scores.mask[place] if scores.mask.any() else None
-        w = np.sqrt(np.repeat(tf[hit], many)).astype(np.float32).astype(np.float64) * scores.data[place]
-        order = np.lexsort((w, number, own))
-        found = np.bincount(own, minlength=len(sizes))
-        ends = np.concatenate([[0], np.cumsum(found)])
-        some = found > 0
-        absent = None if absent is None else absent[order]
-        w = _scaled(w[order], absent, ends[:-1][some], found[some], scale)
-        pairs = pa.StructArray.from_arrays([pa.array(number[order]), pa.array(w, mask=absent)], names=["id", "w"])
-        columns = [*(batch.column(k) for k in keys), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
-        out = pa.RecordBatch.from_arrays(columns, names=[*keys, "features"])
-        return out if keep_empty else out.filter(pa.array(some))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = shared.value[0]
+        terms, *entries = shared.value
+        for batch in batches:
+            listed, tf = batch.column("_terms"), _numbers(batch.column("_tf"))
+            at = pc.fill_null(pc.index_in(listed.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+            yield from _packed(batch, keys, _sizes(listed), at, tf, tuple(entries), keep_empty, scale)
+
+    return _entry_rows(bags, keys).mapInArrow(run, _vector_schema(bags, known, keys))
+
+
+def _bundles(bags: DataFrame, keys: list[str]) -> DataFrame:
+    """``(<keys>, _tf, _bundle, _codes, _asked)``: bags whose terms are numbered within bundles of neighbouring documents.
+
+    The first row of a bundle has its different terms in ``_asked``, in the
+    order of their codes. A bundle has ``BUNDLED_ENTRIES`` entries and
+    documents, or one document more.
+    """
+    rows = _entry_rows(bags, keys)
+    made = T.StructType.fromDDL("_bundle bigint, _codes array<int>, _asked array<string>")
+    schema = T.StructType([*(rows.schema[k] for k in (*keys, "_tf")), *made.fields])
+
+    def bundle(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        listed = rows.column("_terms")
+        coded = listed.flatten().dictionary_encode()
+        ends = np.concatenate([[0], np.cumsum(_sizes(listed))])
+        codes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pc.fill_null(coded.indices, -1))
+        asked = np.full(len(rows) + 1, len(coded.dictionary))
+        asked[0] = 0
+        columns = [
+            *(rows.column(k) for k in keys), rows.column("_tf"), pa.array(np.full(len(rows), number)),
+            codes, pa.ListArray.from_arrays(pa.array(asked, pa.int32()), coded.dictionary),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << BUNDLE_BITS
+        held, size = [], 0
         for batch in batches:
-            entries, tf = batch.column("_terms"), batch.column("_tf").flatten()
-            sizes = pc.fill_null(pc.list_value_length(entries), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = pc.fill_null(pc.index_in(entries.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
-            tf = tf.to_numpy(zero_copy_only=False)
-            ends = np.cumsum(sizes)
+            ends = np.cumsum(_sizes(batch.column("_terms")) + 1)
             start = 0
-            while start < len(sizes):
+            while start < len(ends):
                 base = ends[start - 1] if start else 0
-                # At least one whole document.
-                stop = max(start + 1, int(np.searchsorted(ends, base + PACKED_ENTRIES, side="right")))
-                here = slice(base, ends[stop - 1])
-                yield pack(batch.slice(start, stop - start), sizes[start:stop], at[here], tf[here])
+                stop = max(start + 1, int(np.searchsorted(ends, base + BUNDLED_ENTRIES - size, side="right")))
+                held.append(batch.slice(start, stop - start))
+                size += int(ends[stop - 1] - base)
                 start = stop
+                if size >= BUNDLED_ENTRIES:
+                    yield bundle(held, number)
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield bundle(held, number)
 
     return rows.mapInArrow(run, schema)
 
 
+def _packed_in_bundles(
+    bags: DataFrame, known: Lookup, keys: list[str], keep_empty: bool, scale: str, max_broadcast_bytes: int
+) -> DataFrame:
+    """``(<keys>, features)``, one row for each row of ``bags``, by a shuffled lookup.
+
+    A bundle of documents asks once for each of its terms, so that what meets
+    the dictionary are its different terms and not its entries, and a term in
+    every document brings one row per bundle to the task that has it. Bundles
+    meet their answers as a whole; both are bounded.
+    """
+    rows = materialize(_bundles(bags, keys), "bundles")
+    asked = rows.where(F.size("_asked") > 0).select("_bundle", F.posexplode("_asked").alias("_code", "term"))
+    blocks = block_count(known.count, max_broadcast_bytes)
+    if blocks:
+        asked = maybe_among(asked, build_filter(known.entries, blocks), blocks, F.lit(False))
+    entries = known.entries.where("id IS NOT NULL").select("term", "id", F.col("score").cast("double").alias("score"))
+    answers = materialize(asked, "looked-up").join(entries.hint("merge"), "term").select("_bundle", "_code", "id", "score")
+
+    def pack(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks().to_batches()[0]
+        listed, tf = rows.column("_codes"), _numbers(rows.column("_tf"))
+        at = listed.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        entries = _by_code(answers["_code"].to_numpy(), int(at.max(initial=-1)) + 1, answers)
+        return pa.Table.from_batches(_packed(rows, keys, _sizes(listed), at, tf, entries, keep_empty, scale))
+
+    rows = rows.select(*keys, "_tf", "_bundle", "_codes")
+    return rows.groupBy("_bundle").cogroup(answers.groupBy("_bundle")).applyInArrow(pack, _vector_schema(bags, known, keys))
+
+
 def vector_entries(vectors: DataFrame) -> DataFrame:
     """Long form of vectors: one row per feature."""
     keys = [c for c in vectors.columns if c != "features"]

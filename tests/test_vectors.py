@@ -145,3 +145,35 @@ def test_a_document_is_looked_up_as_one_row(spark, make_docs, scale, keep_empty)
     assert sorted(map(str, made.collect())) == sorted(map(str, shuffled.collect()))
     nothing = weights.document_vectors(bags, entries.where("false"), scale, keep_empty).collect()
     assert len(nothing) == (bags.count() if keep_empty else 0)
+
+
+@pytest.mark.parametrize("keep_empty", [False, True])
+def test_a_bundle_of_documents_asks_once_for_a_term(spark, make_docs, monkeypatch, keep_empty):
+    """Shuffled lookup: a word of every document is asked for by each bundle and not by each document."""
+    written, original = {}, weights.materialize
+    monkeypatch.setattr(weights, "materialize", lambda df, name: written.setdefault(name, original(df, name)))
+    monkeypatch.setattr(weights, "BUNDLED_ENTRIES", 100)
+    words = [f"w{i:02}" for i in range(40)]
+    entries = spark.createDataFrame([(i + 1, w, 1.0 + i) for i, w in enumerate(words)], "id long, term string, score double")
+    texts = [f"w00 {words[i % 40]} w00 {words[i % 7]} u{i}" for i in range(400)] + [" ".join(words * 3), None, "", "zzz"]
+    bags = counts.term_bags(make_docs([("a", t) for t in texts]).repartition(3, "doc_id"))
+    shuffled = weights.document_vectors(bags, entries, "max", keep_empty, max_broadcast_bytes=0)
+    wide = weights.document_vectors(bags, entries, "max", keep_empty)
+    assert sorted(map(str, shuffled.collect())) == sorted(map(str, wide.collect()))
+    bundles = written["bundles"].groupBy("_bundle").agg(F.count("*").alias("n"), F.sum(F.size("_codes")).alias("entries")).collect()
+    assert 400 / 25 / 2 < len(bundles) < 400 / 15
+    # A bound of entries and documents, or one document more.
+    assert all(b.n + b.entries < 100 + 41 for b in bundles)
+    # One bundle has the last texts only.
+    assert written["looked-up"].where("term = 'w00'").count() == sum(b.entries > 1 for b in bundles)
+    assert written["looked-up"].count() == written["looked-up"].select("_bundle", "term").distinct().count()
+
+
+def test_bundles_of_repeated_rows_and_no_known_term(spark, make_docs, dictionary):
+    bags = counts.term_bags(make_docs(PAIRS))
+    twice = [weights.document_vectors(bags.unionAll(bags), dictionary, max_broadcast_bytes=b) for b in (0, 1 << 20)]
+    assert len({str(sorted(map(str, v.collect()))) for v in twice}) == 1
+    assert weights.document_vectors(bags.where("false"), dictionary, max_broadcast_bytes=0).count() == 0
+    other = dictionary.select("id", F.concat(F.lit("no"), "term").alias("term"), "score")
+    assert weights.document_vectors(bags, other, max_broadcast_bytes=0).count() == 0
+    assert weights.document_vectors(bags, other, keep_empty=True, max_broadcast_bytes=0).count() == len(PAIRS)
