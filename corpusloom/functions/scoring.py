@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.arrays import deviation, let
+from corpusloom.functions.arrays import let
 
 
 def plogp(count: Column, n: Column) -> Column:
@@ -20,25 +21,38 @@ def plogp(count: Column, n: Column) -> Column:
     return F.when(count == 0, F.lit(0.0)).otherwise(p * F.log2(p))
 
 
-def xlogx(x: Column) -> Column:
-    """x * log2(x) of a count, 0 at 0."""
-    return x * F.log2(F.greatest(x, F.lit(1.0)))
+def xlogx(x: np.ndarray) -> np.ndarray:
+    """x * log2(x) of counts, 0 at 0."""
+    return x * (np.log(np.maximum(x, 1.0)) / math.log(2.0))
 
 
-def information_gain(cells: Column, df: Column, n: int, entropy: float) -> Column:
-    """Gain over ``cells``, an array of structs of doubles with ``a`` and ``n_docs``.
+def _total(values: np.ndarray) -> np.ndarray:
+    """Sums of rows, left to right."""
+    return np.cumsum(values, axis=1)[:, -1]
 
-    It weighs, with df / n and (n - df) / n, the sums of p * log2(p) over the
-    classes, where p is the joint share a / n or (n_c - a) / n rather than the
-    share within df: the definition dictionaries of this kind are built with.
-    As the a sum up to df, the shares leave the sums, which run over counts.
+
+def gain_and_dispersion(
+    a: np.ndarray, df: np.ndarray, n_docs: np.ndarray, n: int, entropy: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Information gain, and how unevenly chi-square tells the classes apart, of terms with ``a`` documents per class.
+
+    The gain weighs, with df / n and (n - df) / n, the sums of p * log2(p) over
+    the classes, where p is the joint share a / n or (n_c - a) / n rather than
+    the share within df: the definition dictionaries of this kind are built
+    with. As the a sum up to df, the shares leave the sums, which run over
+    counts. The dispersion is the standard deviation of :func:`chi_squares`.
     """
+    pull = np.array([class_pull(c, n) for c in n_docs])
     n, bits = float(n), math.log2(n) if n else 0.0
-    rest = F.lit(n) - df
-    sums = F.aggregate(
-        cells, F.lit(0.0), lambda acc, c: acc + df * xlogx(c["a"]) + rest * xlogx(c["n_docs"] - c["a"])
-    )
-    return (sums - (df * df + rest * rest) * bits) / (n * n) - F.lit(entropy)
+    df, rest = df[:, None], n - df[:, None]
+    parts = np.stack([df * xlogx(a), rest * xlogx(n_docs - a)], axis=2).reshape(len(a), -1)
+    gain = (_total(parts) - ((df * df + rest * rest) * bits)[:, 0]) / (n * n) - entropy
+    margins = df * rest
+    term_pull = np.divide(1.0, margins, out=np.zeros_like(margins), where=margins > 0)
+    difference = a * n - df * n_docs
+    chis = difference * difference * pull * term_pull
+    around = chis - (_total(chis) / chis.shape[1])[:, None]
+    return gain, np.sqrt(_total(around * around) / chis.shape[1])
 
 
 def class_pull(n_c: int, n: int) -> float:
@@ -69,11 +83,6 @@ def chi_squares(cells: Column, df: Column, n: int) -> Column:
     )
 
 
-def chi_dispersion(chis: Column) -> Column:
-    """How unevenly a term tells the classes apart."""
-    return deviation(chis)
-
-
 def term_weight(tf: Column, score: Column) -> Column:
     """sqrt(tf), held in single precision, times the term's score."""
     return F.sqrt(tf.cast("double")).cast("float").cast("double") * score

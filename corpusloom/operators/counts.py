@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,11 @@ from corpusloom.functions.text import term_bag, tokens
 from corpusloom.session import materialize
 from corpusloom.sources.categories import bounded_rows, categories_from_names
 
+# Categories up to which a term's counts are a sum per class: its counts then meet in one shuffle. More sums cost more than a second one.
+DENSE_CATEGORIES = 8
+# Fixed value: tokens of documents, or entries of bags, that a task counts at once; one document at least.
+COUNTED_TOKENS = 1 << 21
+
 
 def members(docs: DataFrame, categories: Sequence[str] | None) -> DataFrame:
     """The documents of the configured categories; all labelled ones if none are named."""
@@ -157,6 +165,76 @@ def term_profiles(label_terms: DataFrame) -> DataFrame:
     )
 
 
+def dense_profiles(bags: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """:func:`term_profiles` of few categories, all of which are in ``labels``: one sum per class and one shuffle, on the term."""
+    labels = list(dict.fromkeys(labels))
+    code = F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("int").alias("code")
+    rows = bags.select(code, F.inline_outer("bag")).where("term IS NOT NULL")
+    sums = [
+        F.sum(F.when(F.col("code") == at, value)).alias(f"{name}{at}")
+        for at in range(1, len(labels) + 1)
+        for name, value in (("a", F.lit(1)), ("tf", F.col("tf")))
+    ]
+    counted = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), *sums)
+    cells = [
+        F.when(F.col(f"a{at}").isNotNull(), F.struct(F.lit(label).alias("label"), F.struct(F.col(f"a{at}").alias("a"), F.col(f"tf{at}").alias("tf"))))
+        for at, label in enumerate(labels, 1)
+    ]
+    return counted.select("term", "df", F.map_from_entries(F.array_compact(F.array(*cells))).alias("by_label"))
+
+
+def _combined(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``(term, label, a, tf)`` of some documents with ``label``, ``_terms`` and, where these differ, ``_tf``."""
+    listed, names = batch.column("_terms"), batch.column("label").dictionary_encode()
+    sizes = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
+    own, coded = np.repeat(np.arange(len(batch)), sizes), listed.flatten().dictionary_encode()
+    code, width = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(coded.dictionary))
+    if "_tf" in batch.schema.names:
+        tf = batch.column("_tf").flatten().to_numpy(zero_copy_only=False)
+    else:
+        held, tf = np.unique(own * width + code, return_counts=True)
+        own, code = held // width, held % width
+    count = max(1, len(names.dictionary))
+    pair, place = np.unique(code * count + names.indices.to_numpy(zero_copy_only=False)[own], return_inverse=True)
+    # Sums of whole numbers of one batch, exact in a double.
+    sums = np.bincount(place, weights=tf, minlength=len(pair)).astype(np.int64)
+    columns = [coded.dictionary.take(pa.array(pair // count)), names.dictionary.take(pa.array(pair % count))]
+    columns += [pa.array(np.bincount(place, minlength=len(pair)).astype(np.int64)), pa.array(sums)]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "label", "a", "tf"])
+
+
+def combined_counts(docs: DataFrame) -> DataFrame:
+    """:func:`label_term_counts` of labelled documents or bags, laid out by term.
+
+    Documents are counted many at a time where they are read, without a bag
+    for each, and a batch sends a row for each of its terms and labels.
+    """
+    if "bag" in docs.columns:
+        rows = docs.select("label", F.col("bag.term").alias("_terms"), F.col("bag.tf").alias("_tf"))
+    else:
+        rows = docs.select("label", tokens(F.col("text")).alias("_terms"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("_terms")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < len(ends):
+                base = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, base + COUNTED_TOKENS, side="right")))
+                yield _combined(batch.slice(start, stop - start))
+                start = stop
+
+    counted = rows.mapInArrow(run, "term string, label string, a bigint, tf bigint")
+    return counted.repartition("term").groupBy("term", "label").agg(F.sum("a").alias("a"), F.sum("tf").alias("tf"))
+
+
+def profiles(docs: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """``(term, df, by_label)`` of a corpus, or its bags, whose categories are ``labels``."""
+    if 0 < len(labels) <= DENSE_CATEGORIES:
+        return dense_profiles(term_bags(docs), labels)
+    return term_profiles(combined_counts(docs))
+
+
 def candidates(terms: DataFrame) -> DataFrame:
     """Terms that may enter a dictionary: longer than one character, in two documents."""
     return terms.where((F.length("term") > 1) & (F.col("df") > 1))

@@ -9,6 +9,7 @@ that grows with the dictionary is broadcast.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,13 +22,13 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Features whose ids are looked up at once inside a task, ids drawn at once, and features summed at once:
+# Features whose ids are looked up at once inside a task, ids drawn at once, and features of a document summed at once:
 # the first bounds its memory, the others are small enough for a core's cache.
 BLOCK_FEATURES = 32_768
 DRAWN_IDS = 256
 SUMMED_FEATURES = 2_048
-# Ids whose frequencies a task keeps: those it meets first, and so most of the frequent ones.
-KEPT_IDS = 65_536
+# Ids whose frequencies a Python worker keeps: those it meets first, and so most of the frequent ones.
+KEPT_IDS = 131_072
 
 # Constants of the splitmix64 generator.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -100,6 +101,12 @@ class Drawn:
         return places
 
 
+@lru_cache(maxsize=1)
+def kept_draws(count: int, seed: int) -> Drawn:
+    """The draws of this Python worker, for all its tasks: drawing costs more than using them, and a task has few documents for an id."""
+    return Drawn(count, seed)
+
+
 def projections(ids: pd.Series, weights: pd.Series, count: int, seed: int, drawn: Drawn | None = None) -> np.ndarray:
     """Rows wx for ``count`` frequencies of unit width; an empty vector is x = 0.
 
@@ -118,17 +125,11 @@ def projections(ids: pd.Series, weights: pd.Series, count: int, seed: int, drawn
         unique, position = np.unique(block_ids, return_inverse=True)
         block_weights = np.concatenate([np.asarray(x, dtype=np.float64) for x in weights.iloc[first:last]])
         rows = drawn.places_of(unique)[position]
-        start = first
-        while start < last:
-            top = ends[start - 1] if start else 0
-            stop = min(last, max(start + 1, int(np.searchsorted(ends, top + SUMMED_FEATURES, side="right"))))
-            here = slice(top - base, ends[stop - 1] - base)
-            terms = drawn.table[rows[here]]
-            terms *= block_weights[here, None]
-            filled = start + np.flatnonzero(sizes[start:stop])
-            if len(filled):
-                projected[filled] = np.add.reduceat(terms, ends[filled] - sizes[filled] - top, axis=0)
-            start = stop
+        # A product per document, and per piece of a long one: frequencies are gathered into a core's cache and read once.
+        for row in first + np.flatnonzero(sizes[first:last]):
+            for start in range(ends[row] - sizes[row] - base, ends[row] - base, SUMMED_FEATURES):
+                here = slice(start, min(start + SUMMED_FEATURES, ends[row] - base))
+                projected[row] += block_weights[here] @ drawn.table[rows[here]]
         first = last
     return projected
 
@@ -150,7 +151,7 @@ def projected_array(features: Column, count: int, seed: int) -> Column:
 
     @F.pandas_udf("array<double>")
     def project(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        drawn = Drawn(count, seed)
+        drawn = kept_draws(count, seed)
         for ids, weights in batches:
             yield pd.Series(list(projections(ids, weights, count, seed, drawn)))
 
@@ -162,7 +163,7 @@ def fourier_array(features: Column, dims: int, gamma: float, seed: int) -> Colum
 
     @F.pandas_udf("array<double>")
     def project(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        drawn = Drawn(dims // 2, seed)
+        drawn = kept_draws(dims // 2, seed)
         for ids, weights in batches:
             yield pd.Series(list(fourier_rows(ids, weights, dims, gamma, seed, drawn)))
 

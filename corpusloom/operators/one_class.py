@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.classifier import label_code
 from corpusloom.operators.indexing import value_at_rank
-from corpusloom.operators.kernel import Drawn, projected_array, projections, waves
+from corpusloom.operators.kernel import kept_draws, projected_array, projections, waves
 from corpusloom.session import materialize
 from corpusloom.settings import Settings
 
@@ -46,7 +46,7 @@ class OneClassModels:
 
         @F.pandas_udf("array<double>")
         def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            drawn = Drawn(self.means.shape[1] // 2, self.seed)
+            drawn = kept_draws(self.means.shape[1] // 2, self.seed)
             for ids, weights in batches:
                 projected = projections(ids, weights, self.means.shape[1] // 2, self.seed, drawn)
                 columns = [self.own_scores(projected, code) for code in range(len(self.labels))]

@@ -31,7 +31,7 @@ ROW_BYTES = 32
 
 
 # Fixed value: entries of documents that a task weighs, sorts and scales at once.
-PACKED_ENTRIES = 1 << 18
+PACKED_ENTRIES = 1 << 16
 # Entries of documents, and documents, that ask a shuffled dictionary for their terms together.
 BUNDLED_ENTRIES = 1 << 19
 # Fixed value: a bundle's number has the task that made it above this bit.
@@ -239,13 +239,15 @@ def _pack(
     own, number = np.repeat(own, many), ids[place]
     absent = scores.mask[place] if scores.mask.any() else None
     w = np.sqrt(np.repeat(tf[hit], many)).astype(np.float32).astype(np.float64) * scores.data[place]
-    order = np.lexsort((w, number, own))
+    # Terms of a bag are in order, and so are ids that were given in term order.
+    if not ((np.diff(own) > 0) | (np.diff(number) > 0)).all():
+        order = np.lexsort((w, number, own))
+        number, w, absent = number[order], w[order], None if absent is None else absent[order]
     found = np.bincount(own, minlength=len(sizes))
     ends = np.concatenate([[0], np.cumsum(found)])
     some = found > 0
-    absent = None if absent is None else absent[order]
-    w = _scaled(w[order], absent, ends[:-1][some], found[some], scale)
-    pairs = pa.StructArray.from_arrays([pa.array(number[order]), pa.array(w, mask=absent)], names=["id", "w"])
+    w = _scaled(w, absent, ends[:-1][some], found[some], scale)
+    pairs = pa.StructArray.from_arrays([pa.array(number), pa.array(w, mask=absent)], names=["id", "w"])
     columns = [*(rows.column(k) for k in keys), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
     out = pa.RecordBatch.from_arrays(columns, names=[*keys, "features"])
     return out if keep_empty else out.filter(pa.array(some))

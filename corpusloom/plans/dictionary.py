@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import counts, selection
+from corpusloom.session import materialize, release
 from corpusloom.settings import Settings
 from corpusloom.sources.dictionary import write_dictionary, write_dictionary_text
 
@@ -43,8 +44,7 @@ def candidate_profiles(docs: DataFrame, settings: Settings) -> tuple[DataFrame,
     """
     docs = counts.members(docs, settings.category_names)
     totals = counts.CorpusTotals.of(counts.class_counts(docs, settings.category_names))
-    profiles = counts.term_profiles(counts.label_term_counts(counts.term_bags(docs)))
-    return counts.candidates(profiles), totals
+    return counts.candidates(counts.profiles(docs, totals.labels)), totals
 
 
 def score_corpus(docs: DataFrame, settings: Settings) -> tuple[DataFrame, counts.CorpusTotals]:
@@ -56,9 +56,12 @@ def score_corpus(docs: DataFrame, settings: Settings) -> tuple[DataFrame, counts
 def build_dictionary(docs: DataFrame, settings: Settings) -> DictionaryRun:
     """Score the terms of a corpus against its categories and keep the telling ones.
 
-    The id assignment writes one scored row per candidate term to the shared
-    folder; pruning is a filter on that table.
+    The counts of candidate terms are written once, since the sort by term reads
+    them twice. The id assignment writes one scored row per candidate term to
+    the shared folder; pruning is a filter on that table.
     """
     profiles, totals = candidate_profiles(docs, settings)
+    profiles = materialize(profiles, "profiles")
     scored = selection.feature_ids(profiles, lambda rows: selection.score_terms(rows, totals))
+    release(profiles)
     return DictionaryRun(totals, scored, selection.select_terms(scored, settings.score_threshold))
